@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import cut, prepare
 
 #: (action, host, path): the host itself and its subdomains, paths that start so.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -112,6 +112,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, *, rules=RULES, limit: flo
     labels = outcomes.where("bad IS NOT NULL AND page_id IS NOT NULL").groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     marked = seen.join(labels, "page_id", "left")
     counts = marked.groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    counts = cut(counts)  # one row per host, read several times below
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     bound = reputation(counts)
     method = F.when(F.col("host_low") > limit, "block").otherwise("allow")
