@@ -7,17 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import prepare
+from . import bpe, quality, toxicity
+from .ann import nearest
+from .common import crc_bucket, prepare
+from .licenses import scan_licenses
 from .near_dedup import near_duplicates
+from .order_minhash import compare_edits
 from .packing import pack_documents
 from .substring_dedup import dedup_report
+from .url_filter import judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _scored(spark, sf_dir, operator, label: str, folds: int, held: int, threshold: float) -> DataFrame:
+    """Fit on labelled rows outside the held-out fold, score every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = crc_bucket(F.col("doc_id"), folds)
+    model = operator.fit(docs, labels.where(fold != held).select("doc_id", F.col(label).alias("label")))
+    return operator.score(docs, model).withColumn("held_out", fold == held).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, toxicity, "toxic", 3, 1, 0.7)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, quality, "quality", 5, 0, 0.3)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -36,8 +56,27 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are read as page outcomes: bad where of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return judge_urls(table(spark, sf_dir, "pages"), outcomes)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_best_fit_packing, op4_substring_dedup, op5_minhash_near_dedup, op6_byte_level_bpe)
+    found = (op1_toxicity, op2_best_fit_packing, op3_quality_classifier, op4_substring_dedup, op5_minhash_near_dedup, op6_byte_level_bpe, op7_license_scan, op8_nearest_neighbours, op9_order_minhash, op10_url_filter)
     return {f.__name__: f for f in found}
 
 
