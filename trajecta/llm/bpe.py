@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import prepare
 from .wordhash import slices
 
-MAX_STATES = 200_000
-MAX_CACHED = 400_000
+MAX_STATES = 150_000
+#: Entries in each of a cache's two generations.
+MAX_CACHED = 150_000
 #: White_Space, as the pattern's \s means it.
 WS = "\t-\r \x85\xa0  -     　"
 #: Text splits into these first: a run without white space (with the one space
@@ -54,7 +56,7 @@ class Merges:
         self.token = {v: k for k, v in ranks.items()}
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self._spines: dict[int, tuple] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
 
     def parts(self, data: bytes) -> list[bytes]:
         """The state before the last merge of ``data`` merged on its own, or
@@ -91,7 +93,8 @@ class Merges:
     def fits(self, a: int, b: int) -> bool:
         """Whether b may follow a: no merge across the border comes before the
         merges that use up the parts at it (leftmost first among equals)."""
-        found = self._fits.get((a, b))
+        pair = a << 32 | b
+        found = self._fits.get(pair)
         if found is None:
             left, right = (self.spines(a) if a >= 0 else ((), ())), self.spines(b)
             found = left is not None and right is not None
@@ -103,7 +106,7 @@ class Merges:
                             found = False
             if len(self._fits) > MAX_CACHED:
                 self._fits.clear()
-            self._fits[a, b] = found
+            self._fits[pair] = found
         return found
 
 
@@ -115,8 +118,9 @@ class Transducer:
     def reset(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, bytes]]] = []
-        self.final: list[bytes] = []
+        #: state * 256 + byte -> next state, and what is sent where something is
+        self.next: dict[int, int] = {}
+        self.sent: dict[int, bytes] = {}
         self.add((-1, ((b"", ()),)))
 
     def add(self, state: tuple) -> int:
@@ -124,11 +128,9 @@ class Transducer:
         if found is None:
             found = self.ids[state] = len(self.states)
             self.states.append(state)
-            self.moves.append({})
-            self.final.append(np.array(state[1][-1][1], "<u4").tobytes())
         return found
 
-    def move(self, at: int, byte: int) -> tuple[int, bytes]:
+    def move(self, at: int, byte: int) -> int:
         """Make the move from state ``at`` on ``byte``."""
         last, places = self.states[at]
         ranks, prefixes = self.merges.ranks, self.merges.prefixes
@@ -137,55 +139,87 @@ class Transducer:
             prefix += step
             if prefix in prefixes:
                 live.append((prefix, tokens))
-            token = ranks.get(prefix)
-            if ended is None and token is not None and self.merges.fits(tokens[-1] if tokens else last, token):
-                ended = (*tokens, token)
-        live.append((b"", ended))
-        sent = 0
-        while all(len(t) > sent for _, t in live) and len({t[sent] for _, t in live}) == 1:
-            sent += 1
-        out = live[0][1][:sent]
-        live = tuple((p, t[sent:]) for p, t in live)
-        last = out[-1] if out else last
-        if all(t for _, t in live):
-            last = -2  # nothing looks at it any more
-        move = self.moves[at][byte] = (self.add((last, live)), np.array(out, "<u4").tobytes() if out else b"")
-        return move
+            if ended is None:
+                token = ranks.get(prefix)
+                if token is not None and self.merges.fits(tokens[-1] if tokens else last, token):
+                    ended = (*tokens, token)
+        if not live:  # all that is open has ended here
+            out, live, last = ended, ((b"", ()),), ended[-1]
+        else:
+            live.append((b"", ended))
+            sent, least = 0, min(len(t) for _, t in live)
+            while sent < least and all(t[sent] == ended[sent] for _, t in live):
+                sent += 1
+            out = ended[:sent]
+            live = tuple((p, t[sent:]) for p, t in live) if sent else tuple(live)
+            last = -2 if least > sent else out[-1] if out else last  # -2: nothing looks at it
+        to = self.next[at << 8 | byte] = self.add((last, live))
+        if out:
+            self.sent[at << 8 | byte] = struct.pack(f"<{len(out)}I", *out)
+        return to
 
     def encode(self, piece: bytes) -> bytes:
         """Token ids of one pre-token as little-endian unsigned 32-bit."""
         if len(self.states) > MAX_STATES:
             self.reset()
-        at, out, moves = 0, [], self.moves
+        at, out, step, sent = 0, b"", self.next.get, self.sent
         for byte in piece:
-            at, sent = moves[at].get(byte) or self.move(at, byte)
-            if sent:
-                out.append(sent)
-        out.append(self.final[at])
-        return b"".join(out)
+            move = at << 8 | byte
+            to = step(move)
+            if to is None:
+                to = self.move(at, byte)
+            if move in sent:
+                out += sent[move]
+            at = to
+        left = self.states[at][1][-1][1]  # what the last place has decided
+        return out + struct.pack(f"<{len(left)}I", *left)
+
+
+class Generations(dict):
+    """A bounded cache. A full generation becomes the old one and displaces
+    the one before; what is asked for again moves back to the young one."""
+
+    def __init__(self):
+        self.old: dict = {}
+
+    def keep(self, key, value):
+        if len(self) >= MAX_CACHED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
-class Encoder(dict):
+class Encoder(Generations):
     """Text to ids; also the cache of chunks (a dict, so lookups stay in C)."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
+        super().__init__()
+
         self.transducer = Transducer(ranks)
         # inside a chunk only the pattern's other branches can match
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WS}").replace(r"|\s+(?!\S)|\s+", ""))
 
     def __missing__(self, chunk: str) -> bytes:
-        if chunk[-1] != " " and not chunk.isspace():
-            pieces = self.pattern.findall(chunk)
-        else:
-            pieces = [chunk] if CHUNK.fullmatch(chunk) and not re.search(f"[^{WS}]", chunk) else self.pattern.findall(chunk)
-        ids = b"".join(self.transducer.encode(p.encode()) for p in pieces)
-        if len(chunk) <= 64:
-            if len(self) > MAX_CACHED:
-                self.clear()
-            self[chunk] = ids
-        return ids
+        ids = self.old.get(chunk)
+        if ids is None:
+            word = chunk[1:] if chunk[0] == " " else chunk
+            if word.isalpha():  # the pattern's letters, found faster
+                pieces = [chunk]
+            elif word[:-1].isalpha() and word[-1] in ".,;:!?":
+                pieces = [chunk[:-1], chunk[-1]]
+            elif chunk.isspace() and not re.search(f"[^{WS}]", chunk):
+                pieces = [chunk]
+            else:
+                pieces = self.pattern.findall(chunk)
+            encode = self.transducer.encode
+            if len(pieces) == 1:
+                ids = encode(chunk.encode())
+            else:  # pre-tokens are looked up like chunks
+                ids = b"".join([self.get(p) or encode(p.encode()) for p in pieces])
+        return self.keep(chunk, ids) if len(chunk) <= 64 else ids
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, CHUNK.findall(text)))
@@ -287,3 +321,23 @@ def decode(tokens: DataFrame, *, ranks_path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return tokens.select("doc_id", "ids").mapInArrow(scan, "doc_id long, ids binary, text string")
+
+
+def round_trip(docs: DataFrame, *, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, text): ``decode(encode(docs))`` in one pass and one
+    Python process a task."""
+    prepare(docs.sparkSession)
+    path = ranks_path or public_path("byte_bpe_50k.tiktoken")
+
+    def scan(batches):
+        import public_tokenizers
+
+        encoder = _once(("encoder", path), lambda: Encoder(load_ranks(path), public_tokenizers.PATTERN))
+        decoder = _once(("decoder", path), lambda: Decoder(encoder.transducer.merges.ranks))
+        for whole in batches:
+            for b in slices(whole, "text"):
+                ids = [encoder.encode(t) if t else b"" for t in b.column("text").to_pylist()]
+                texts = ["".join(decoder.stream(x)) for x in ids]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, "doc_id long, ids binary, text string")

@@ -34,7 +34,7 @@ from . import bloom
 from .common import cut, prepare
 from .wordhash import LANES, Batch, mix, slices, span_sums
 
-BLOCK = 1 << 21  # windows
+BLOCK = 1 << 20  # windows
 PLACE_BITS = 22
 SHARD = 1 << 21  # windows, about
 EXACT_SHARD = 1 << 20

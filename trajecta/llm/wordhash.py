@@ -66,7 +66,7 @@ class Batch:
     ``first[i]:first[i + 1]`` are the words of text i (null: no words).
     """
 
-    def __init__(self, column: pa.Array, *, lower: bool = False):
+    def __init__(self, column: pa.Array, *, lower: bool = False, separators: np.ndarray = SPACE):
         column = column.cast(pa.large_binary())
         n = len(column)
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int64, count=n + 1 + column.offset)[column.offset :]
@@ -85,7 +85,7 @@ class Batch:
         else:
             for i in np.flatnonzero(lengths):
                 self.bytes[self.begin[i] : self.begin[i] + lengths[i]] = raw[offsets[i] : offsets[i] + lengths[i]]
-        self.space = SPACE[self.bytes]
+        self.space = separators[self.bytes]
         edge = np.diff(self.space.astype(np.int8), prepend=1)
         self.starts = np.flatnonzero(edge == -1)
         self.ends = np.flatnonzero(edge == 1)
@@ -131,7 +131,7 @@ def windows(hashes: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
     return mix(span_sums(hashes, at, at + size, LANES[1 - lane]))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Cut a record batch into runs of rows of at most ``limit`` text bytes
     (a longer text stands alone), to bound what the arrays above take."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
