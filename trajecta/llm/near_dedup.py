@@ -305,9 +305,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: int = 80, id_
 
 def keep_one(docs: DataFrame, *, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group; its columns are unchanged.
-    Rows without an id are kept; of rows repeating an id one stays."""
+    Rows without an id are kept; rows that repeat an id stay or go together."""
     groups = near_duplicates(docs, words=words, threshold=threshold, id_col=id_col, text_col=text_col)
-    gone = groups.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(left.where(F.col(id_col).isNull()))
+    gone = cut(groups.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
