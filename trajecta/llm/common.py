@@ -67,3 +67,11 @@ def text_or_empty(column: str = "text"):
 def crc_bucket(column, modulus: int):
     """crc32 of the id's decimal text, modulo ``modulus``."""
     return F.crc32(F.encode(column.cast("string"), "UTF-8")) % F.lit(modulus)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

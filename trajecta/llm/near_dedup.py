@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import cut, prepare, width
+from .common import cut, fresh, prepare, width
 from .components import components
 from .wordhash import Batch, mix, slices, span_sums, windows
 
@@ -307,5 +307,6 @@ def keep_one(docs: DataFrame, *, words: int = 5, threshold: int = 80, id_col: st
     """``docs`` with one document of each group; its columns are unchanged.
     Rows without an id are kept; rows that repeat an id stay or go together."""
     groups = near_duplicates(docs, words=words, threshold=threshold, id_col=id_col, text_col=text_col)
-    gone = cut(groups.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    name = fresh(docs, "_gone")
+    gone = cut(groups.where("NOT kept").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")

@@ -18,6 +18,7 @@ strengthen it. Damped and plain sums go into a logistic regression.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .wordhash import slices
+from .wordhash import mix, slices
 
 #: Bounds of what is learned from.
 MAX_PER_LABEL = 3000
@@ -228,11 +229,13 @@ def _sample(labels: DataFrame, per_label: int) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _family(words: set[str]) -> int:
-    """Near copies mostly share it: the least word by CRC."""
-    import zlib
-
-    return min((zlib.crc32(w.encode()) for w in words), default=0)
+def _family(words: set[str]) -> tuple:
+    """Near copies mostly share it, others hardly ever: the words that are
+    least by each of six hashes."""
+    coded = np.array([zlib.crc32(w.encode()) for w in words], np.uint64)
+    if not len(coded):
+        return ()
+    return tuple(int(mix(coded + np.uint64(k << 32)).min()) for k in range(1, 7))
 
 
 def _choose(rows: list[tuple[str, bool, list[int], int]], weight: np.ndarray, base: float) -> list[tuple[str, bool]]:
