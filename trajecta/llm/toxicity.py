@@ -244,23 +244,29 @@ def _choose(rows: list[tuple[str, bool, list[int], int]], weight: np.ndarray, ba
     earlier one implies."""
     support = np.array([weight[d].sum() for _, _, d, _ in rows])
     clean = np.array([c for *_, c in rows], float)
-    total, share = support + clean, np.clip(support / np.maximum(support + clean, 1e-9), 1e-9, 1 - 1e-9)
-    evidence = total * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
-    order = np.lexsort(([-len(r[0]) for r in rows], [r[1] for r in rows], -support))
-    words, stems, chosen = set(), [], []
+
+    def evidence(toxic: float, other: float) -> float:
+        share = min(1 - 1e-9, max(1e-9, toxic / max(toxic + other, 1e-9)))
+        return (toxic + other) * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base))) * (share > base)
+
+    # a clean document weighs as much as ten toxic ones, and within some five
+    # in a hundred the longer term wins, so a stem comes after the longer, purer
+    # terms that it holds, and must add to them
+    strength = np.round(20 * np.log(np.maximum(support - 10 * clean, 1e-3)))
+    order = np.lexsort(([-len(r[0]) for r in rows], [r[1] for r in rows], -strength))
+    chosen: list[tuple[str, bool, set]] = []
     for i in order:
         text, is_stem, docs, _ = rows[i]
-        if evidence[i] < EVIDENCE or share[i] <= base or len(chosen) >= MAX_TERMS:
-            continue
-        if any(text.startswith(s) for s, _ in stems):
-            continue
-        if is_stem and any(t.startswith(text) and own >= set(docs) for t, own in chosen):
+        if len(chosen) >= MAX_TERMS:
+            break
+        if any(stem and text.startswith(t) for t, stem, _ in chosen):
             continue
-        chosen.append((text, set(docs)))
-        words.add((text, is_stem))
+        own = set(docs)
         if is_stem:
-            stems.append((text, None))
-    return [(t, (t, True) in words) for t, _ in chosen]
+            own = own.difference(*[d for t, _, d in chosen if t.startswith(text)])
+        if own and evidence(float(weight[list(own)].sum()), clean[i]) >= EVIDENCE:
+            chosen.append((text, is_stem, set(docs)))
+    return [(t, s) for t, s, _ in chosen]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = MAX_PER_LABEL, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
