@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, prepare
 
-K = 24
+K = 32
 #: Neighbours of a node that are compared in a round, per direction.
-SAMPLE = 16
+SAMPLE = 20
 ROUNDS = 8
 #: A round that changes a smaller share of all lists' entries is the last.
 SETTLED = 0.02
@@ -35,7 +35,7 @@ TREES = 6
 LEAF = 256
 PART = 1024
 PIVOTS = 32
-BEAM = 48
+BEAM = 160
 STEPS = 12
 
 
