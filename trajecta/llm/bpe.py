@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import prepare
 from .wordhash import slices
 
-MAX_STATES = 150_000
+MAX_STATES = 300_000
 #: Entries in each of a cache's two generations.
-MAX_CACHED = 150_000
+MAX_CACHED = 400_000
 #: White_Space, as the pattern's \s means it.
 WS = "\t-\r \x85\xa0  -     　"
 #: Text splits into these first: a run without white space (with the one space
