@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import cut, prepare
+from .common import cut, fresh, prepare
 from .wordhash import LANES, Batch, mix, slices, span_sums
 
 BLOCK = 1 << 20  # windows
@@ -52,22 +52,46 @@ def window_hashes(batch: Batch, size: int, lane: int):
 
 
 def _few_bytes(x: np.ndarray) -> bytes:
-    """Three bytes a value where they do, else four; see ``_wide``."""
+    """Two or three bytes a value where they do, else four; see ``_wide``."""
     x = x.astype("<u4")
-    if len(x) and int(x.max()) < 1 << 24:
-        return b"\3" + x.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-    return b"\4" + x.tobytes()
+    most = int(x.max()) if len(x) else 0
+    n = 2 if most < 1 << 16 else 3 if most < 1 << 24 else 4
+    return bytes((n,)) + x.view(np.uint8).reshape(-1, 4)[:, :n].tobytes()
 
 
 def _wide(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)[1:]
-    if data[0] == 4:
-        return raw.view("<u4").astype(np.int64)
-    out = np.zeros((len(raw) // 3, 4), np.uint8)
-    out[:, :3] = raw.reshape(-1, 3)
+    raw, n = np.frombuffer(data, np.uint8)[1:], data[0]
+    out = np.zeros((len(raw) // n, 4), np.uint8)
+    out[:, :n] = raw.reshape(-1, n)
     return out.view("<u4").ravel().astype(np.int64)
 
 
+def _few_ids(ids: np.ndarray) -> bytes:
+    """Ids as offsets from the least where they lie close together."""
+    base = int(ids.min()) if len(ids) else 0
+    near = len(ids) == 0 or int(ids.max()) - base < 1 << 32
+    return np.int64(base).tobytes() + (_few_bytes((ids - base).astype(np.int64)) if near else b"\10" + ids.tobytes())
+
+
+def _wide_ids(data: bytes) -> np.ndarray:
+    if data[8] == 8:
+        return np.frombuffer(data[9:], np.int64)
+    return _wide(data[8:]) + np.frombuffer(data[:8], np.int64)
+
+
+def _runs(places: np.ndarray) -> bytes:
+    """Sorted places as (start, end) pairs: repeats come in long runs."""
+    edge = np.flatnonzero(np.diff(places) != 1)
+    pairs = np.stack([np.concatenate((places[:1], places[edge + 1])), np.concatenate((places[edge], places[-1:])) + 1], axis=1)
+    return pairs.astype("<u4").tobytes()
+
+
+def _from_runs(data: bytes) -> np.ndarray:
+    pairs = np.frombuffer(data, "<u4").reshape(-1, 2).astype(np.int64)
+    n = pairs[:, 1] - pairs[:, 0]
+    return np.repeat(pairs[:, 0] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+
+
 def _rows(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
@@ -172,9 +196,9 @@ def _by_document(table: pa.Table) -> pa.Table:
     for at in range(0, len(directory), 64):
         doc, key, words, n = np.frombuffer(directory[at : at + 32], np.int64).tolist()
         lo, hi = np.searchsorted(hot, [start, start + n])
-        rows.append((doc, key, words, directory[at + 32 : at + 64], (hot[lo:hi] - start).astype("<u4").tobytes() if hi > lo else None))
+        rows.append((doc, key, words, directory[at + 32 : at + 64], _runs(hot[lo:hi] - start) if hi > lo else None, int(hi - lo)))
         start += n
-    return pa.Table.from_batches([_rows(rows, ["id", "row_key", "n_words", "sha", "hot"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()])])
+    return pa.Table.from_batches([_rows(rows, ["id", "row_key", "n_words", "sha", "hot", "n_hot"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()])])
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -202,7 +226,7 @@ def _first_places(estimated: DataFrame, window: int, shard_bits: int) -> DataFra
                 batch = Batch(b.column("text"))
                 hi, bounds = window_hashes(batch, window, 0)
                 lo, _ = window_hashes(batch, window, 1)
-                hot = [np.frombuffer(x, "<u4").astype(np.int64) for x in b.column("hot").to_pylist()]
+                hot = [_from_runs(x) for x in b.column("hot").to_pylist()]
                 count = [len(x) for x in hot]
                 place = np.concatenate(hot) if hot else np.zeros(0, np.int64)
                 at = place + np.repeat(bounds[:-1], count)
@@ -215,13 +239,12 @@ def _first_places(estimated: DataFrame, window: int, shard_bits: int) -> DataFra
                 hi, lo, ids, place = hi[new], lo[new], ids[new], place[new]
                 shard = (hi >> np.uint64(64 - shard_bits)).astype(np.int64)
                 edge = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]))
-                yield _rows([(int(shard[x]), hi[x:y].tobytes(), lo[x:y].tobytes(), ids[x:y].tobytes(), place[x:y].astype("<u4").tobytes()) for x, y in zip(edge[:-1], edge[1:], strict=True) if y > x], names, types)
+                yield _rows([(int(shard[x]), hi[x:y].tobytes(), lo[x:y].tobytes(), _few_ids(ids[x:y]), _few_bytes(place[x:y])) for x, y in zip(edge[:-1], edge[1:], strict=True) if y > x], names, types)
 
     def first(table: pa.Table) -> pa.Table:
-        def whole(name, kind):
-            return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-
-        hi, lo, ids, place = whole("hi", np.uint64), whole("lo", np.uint64), whole("id", np.int64), whole("place", "<u4")
+        hi, lo = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64) for c in ("hi", "lo"))
+        ids = np.concatenate([_wide_ids(x) for x in table.column("id").to_pylist()])
+        place = np.concatenate([_wide(x) for x in table.column("place").to_pylist()])
         order = np.lexsort((place, ids, lo, hi))
         hi, lo, ids, place = hi[order], lo[order], ids[order], place[order]
         new = np.ones(len(hi), bool)
@@ -230,7 +253,7 @@ def _first_places(estimated: DataFrame, window: int, shard_bits: int) -> DataFra
         order = np.argsort(ids, kind="stable")
         ids, place = ids[order], place[order]
         edge = np.concatenate(([0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]))
-        return pa.Table.from_batches([_rows([(int(ids[x]), place[x:y].tobytes()) for x, y in zip(edge[:-1], edge[1:], strict=True)], ["id", "first"], [pa.int64(), pa.binary()])])
+        return pa.Table.from_batches([_rows([(int(ids[x]), _few_bytes(place[x:y])) for x, y in zip(edge[:-1], edge[1:], strict=True)], ["id", "first"], [pa.int64(), pa.binary()])])
 
     shards = estimated.mapInArrow(scan, "shard long, hi binary, lo binary, id binary, place binary")
     firsts = shards.groupBy("shard").applyInArrow(first, "id long, first binary")
@@ -253,7 +276,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
     shard_bits = int(np.ceil(np.log2(max(MIN_SHARDS, size / 6 / SHARD))))
 
     pieces = _sketches(source, window, shard_bits).groupBy("shard").applyInArrow(_merge, "block long, kind int, a binary")
-    rows = pieces.groupBy("block").applyInArrow(_by_document, "id long, row_key long, n_words long, sha binary, hot binary")
+    rows = pieces.groupBy("block").applyInArrow(_by_document, "id long, row_key long, n_words long, sha binary, hot binary, n_hot long")
     rows = cut(rows.dropDuplicates(["id", "row_key"]))
 
     copies = rows.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("id").alias("least"))
@@ -261,7 +284,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
     rows = cut(rows)
 
     estimated = rows.where("NOT copy AND hot IS NOT NULL").select("id", "row_key", "hot")
-    n_hot = rows.where("NOT copy").select(F.coalesce(F.sum(F.octet_length("hot") / 4), F.lit(0))).first()[0]
+    n_hot = rows.where("NOT copy").select(F.coalesce(F.sum("n_hot"), F.lit(0))).first()[0]
     exact_bits = int(np.ceil(np.log2(max(MIN_SHARDS, n_hot / EXACT_SHARD))))
     firsts = _first_places(_texts_of(source, estimated), window, exact_bits)
 
@@ -271,8 +294,8 @@ def repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
 
         out = []
         for h, f, n in zip(hot, firsts_, words, strict=True):
-            place = np.frombuffer(h, "<u4").astype(np.int64)
-            kept = np.concatenate([np.frombuffer(x, "<u4") for x in f]).astype(np.int64) if f is not None and len(f) else np.zeros(0, np.int64)
+            place = _from_runs(h)
+            kept = np.concatenate([_wide(x) for x in f]) if f is not None and len(f) else np.zeros(0, np.int64)
             place = np.setdiff1d(place, kept)
             cover = np.zeros(int(n) + 1, np.int64)
             np.add.at(cover, place, 1)
@@ -336,12 +359,12 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
     the text."""
     spans = cut(repeated_spans(docs, window=window, id_col=id_col, text_col=text_col))
     kept = kept_texts(docs, spans, id_col=id_col, text_col=text_col)
-    gone = spans.where("n_words > 0 AND size(removed) = 1 AND removed[0].end - removed[0].start = n_words").select("id", "row_key", F.lit(True).alias("_gone"))
-    change = kept.join(gone, ["id", "row_key"], "full_outer").select(F.col("id").alias("_id"), F.col("row_key").alias("_key"), F.col("kept").alias("_kept"), "_gone")
+    gone = spans.where("n_words > 0 AND size(removed) = 1 AND removed[0].end - removed[0].start = n_words").select("id", "row_key", F.lit(True).alias("gone"))
+    n_id, n_key, n_kept, n_gone = (fresh(docs, n) for n in ("_id", "_key", "_kept", "_gone"))
+    change = kept.join(gone, ["id", "row_key"], "full_outer").select(F.col("id").alias(n_id), F.col("row_key").alias(n_key), F.col("kept").alias(n_kept), F.col("gone").alias(n_gone))
     ident = _identified(docs, id_col, text_col)
-    joined = docs.join(change, (ident[0] == F.col("_id")) & (ident[1] == F.col("_key")), "left").where("_gone IS NULL")
-    text = F.coalesce("_kept", text_col)
-    columns = {c: F.col(c) for c in docs.columns} | {text_col: text}
+    joined = docs.join(change, (ident[0] == F.col(n_id)) & (ident[1] == F.col(n_key)), "left").where(F.col(n_gone).isNull())
+    columns = {c: F.col(c) for c in docs.columns} | {text_col: F.coalesce(n_kept, text_col)}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col(n_kept).isNotNull(), F.char_length(n_kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return joined.select(*[v.alias(k) for k, v in columns.items()])
