@@ -272,8 +272,8 @@ def _distances(pairs: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFr
         order, qorder = np.argsort(ids), np.argsort(qs)
         a, b = pair.column("query").to_numpy(), pair.column("node").to_numpy()
         d = np.empty(len(a))
-        for lo in range(0, len(a), 65536):
-            s = slice(lo, lo + 65536)
+        for lo in range(0, len(a), 8192):
+            s = slice(lo, lo + 8192)
             left, right = w[qorder[np.searchsorted(qs[qorder], a[s])]], v[order[np.searchsorted(ids[order], b[s])]]
             d[s] = np.sqrt(((left - right) ** 2).sum(axis=1))
         return pa.table({"query": pa.array(a), "node": pa.array(b), "dist": pa.array(d)})
