@@ -88,6 +88,37 @@ def test_near_duplicates_around_one_base(spark):
     assert sum(got[i] != want[i] for i in got) == 0
 
 
+def edited_copies(n, rng, edits):
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.sample(range(100), edits[i % len(edits)]):
+            w[at] = f"z{i}_{at}"
+        rows.append((i, " ".join(w)))
+    return rows, " ".join(base)
+
+
+def test_near_duplicates_of_thousands_of_copies(spark):
+    """Copies that reach the threshold with the base alone, in one region."""
+    rows, base = edited_copies(5200, random.Random(5), [2])
+    df = spark.createDataFrame([*rows, (9000, base)], "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, words=4).collect()}
+    assert len(got) == 5201 and set(got.values()) == {0}
+
+
+def test_near_duplicates_in_overfull_regions(spark, monkeypatch):
+    """Regions far above LEAF without a base: every pair is met."""
+    rows, _ = edited_copies(300, random.Random(6), [1, 3])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    want = {i: c for i, (_, c) in brute_groups(dict(rows), 4, 87).items()}
+    assert 1 < len(set(want.values())) < 300
+    monkeypatch.setattr(near_dedup, "LEAF", 16)
+    monkeypatch.setattr(near_dedup, "WIDE", 48, raising=False)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, words=4, threshold=87).collect()}
+    assert got == want
+
+
 def test_substring_dedup(spark, docs, odd, none):
     seen, want = set(), {}
     for i, t in sorted(texts(docs).items()):

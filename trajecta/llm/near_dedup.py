@@ -5,17 +5,19 @@ Plan (n documents, all steps linear in n):
 1. One scan gives every document a 128-bit hash of its shingle set and a
    MinHash signature. Equal sets fall into one class, so copies by the
    thousand cost one row from here on.
-2. Forest: the signature is cut into ``TREES`` keys. For each tree all class
-   representatives are range-partitioned and sorted by key; rows with a common
-   prefix of ``MIN_DEPTH`` values are neighbours. A region that holds more
-   than ``LEAF`` such rows is read in overlapping runs of the sorted order, so
-   the prefix that its candidates share deepens with its density, and every
-   run also holds the region's first row. Candidates are thinned by a sketch
-   of the signature that misses a true pair with a chance below 1e-6.
+2. Forest: the signature is cut into ``TREES`` keys. For each tree the class
+   representatives with a common prefix of ``MIN_DEPTH`` values are a region,
+   and all pairs of a region are met. Candidates are thinned by a sketch of
+   the signature that misses a true pair with a chance below 1e-6.
 3. Candidate groups are confirmed on full shingle sets: first the groups of
    ``FIRST_TREES`` trees, then from the other trees only groups that join
    different components. Only a spanning set of links leaves a group.
-4. Components of the links by contraction (``components``).
+4. In a region of more than ``LEAF`` rows all rows first meet its hub, the row
+   whose keys most others repeat; step 3 reads it in overlapping runs of the
+   sorted order. Then every two of its rows that are still in different
+   components meet in a pair of blocks (``block_groups``). Rows of its largest
+   component do not meet each other, so a family that is linked costs one pass.
+5. Components of the links by contraction (``components``).
 
 A pair at the threshold shares a prefix in at least one tree with probability
 1 - (1 - 0.8**2)**12 > 0.99999.
@@ -37,6 +39,8 @@ TREES = 12
 DEPTH = 8
 MIN_DEPTH = 2
 LEAF = 512
+#: Rows of a block of an overfull region whose sketches are compared in one task.
+WIDE = 1024
 FIRST_TREES = 2
 HASHES = TREES * DEPTH
 _MULT = (np.random.default_rng(20240501).integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -107,7 +111,8 @@ def signatures(docs: DataFrame, *, words: int, id_col: str = "doc_id", text_col:
 
 def _tree_rows(reps: DataFrame) -> DataFrame:
     """One row per representative and tree: the tree's key (big-endian, so
-    bytes sort as values do) and a two-bit sketch of the whole signature."""
+    bytes sort as values do), its region's prefix and a two-bit sketch of the
+    whole signature."""
     schema = "tree int, key binary, rep long, sketch binary"
 
     def scan(batches):
@@ -123,16 +128,29 @@ def _tree_rows(reps: DataFrame) -> DataFrame:
                 key = _binary(sig[:, t * DEPTH : (t + 1) * DEPTH].astype(">u4"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), key, ids, sketch], ["tree", "key", "rep", "sketch"])
 
-    return reps.select("doc_id", "sig").mapInArrow(scan, schema)
+    rows = reps.select("doc_id", "sig").mapInArrow(scan, schema)
+    return rows.withColumn("prefix", F.substring("key", 1, 4 * MIN_DEPTH))
+
+
+def _least(threshold: int) -> float:
+    """Sketch agreement below which a pair is not at the threshold."""
+    j = threshold / 100
+    p = j + (1 - j) / 4
+    return HASHES * p - 5 * np.sqrt(HASHES * p * (1 - p))
+
+
+def _planes(sketch: np.ndarray) -> np.ndarray:
+    """Sketches as (row, plane, 64-bit word)."""
+    half = sketch.shape[1] // 2
+    words = np.zeros((len(sketch), 2, -(-half // 8) * 8), np.uint8)
+    words[:, 0, :half], words[:, 1, :half] = sketch[:, :half], sketch[:, half:]
+    return words.view(np.uint64)
 
 
 def _clusters(sketch: np.ndarray, least: float) -> list[np.ndarray]:
     """Index sets, of two rows or more, connected by sketch agreement."""
     m = len(sketch)
-    half = sketch.shape[1] // 2
-    words = np.zeros((m, 2, -(-half // 8) * 8), np.uint8)
-    words[:, 0, :half], words[:, 1, :half] = sketch[:, :half], sketch[:, half:]
-    words = words.view(np.uint64)
+    words = _planes(sketch)
     out, seen = [], np.zeros(m, bool)
     for i in range(m):
         if seen[i]:
@@ -156,13 +174,15 @@ def _clusters(sketch: np.ndarray, least: float) -> list[np.ndarray]:
 
 def candidate_groups(tree_rows: DataFrame, *, threshold: int) -> DataFrame:
     """(tree, gid, member): groups that may hold pairs at the threshold; a
-    group's id is a hash of its members, so trees that agree repeat it."""
-    j = threshold / 100
-    p = j + (1 - j) / 4
-    least = HASHES * p - 5 * np.sqrt(HASHES * p * (1 - p))
+    group's id is a hash of its members, so trees that agree repeat it.
+    ``tree_rows`` carry ``size``, the rows of their region. Regions up to
+    ``LEAF`` are read whole; of larger ones only near rows of the sorted order
+    meet here."""
+    least = _least(threshold)
     schema = "tree int, gid long, member long"
     n = width(tree_rows.sparkSession)
-    ordered = tree_rows.repartitionByRange(n, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
+    full = tree_rows.where(F.col("size") <= LEAF).repartition(n, "tree", "prefix").sortWithinPartitions("tree", "key", "rep")
+    over = tree_rows.where(F.col("size") > LEAF).repartitionByRange(n, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
 
     def emit(tree, ids, sketch):
         for found in _clusters(sketch, least):
@@ -211,13 +231,76 @@ def candidate_groups(tree_rows: DataFrame, *, threshold: int) -> DataFrame:
         if rows:
             yield from flush(tree, rows)
 
-    return ordered.mapInArrow(scan, schema)
+    return full.mapInArrow(scan, schema).unionByName(over.mapInArrow(scan, schema))
+
+
+def hub_groups(hot: DataFrame) -> DataFrame:
+    """(gid, member, lead): every row of the overfull regions beside its
+    region's hub, the lead. The text that many others were made from repeats the most keys."""
+    same = hot.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"))
+    score = hot.join(same, ["tree", "key"]).groupBy("rep").agg(F.sum("n").alias("score"))
+    hub = hot.join(score, "rep").groupBy("tree", "prefix").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub"))
+    pairs = cut(hot.join(hub, ["tree", "prefix"]).select("hub", "rep").distinct())
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("parts"))
+    parts = pairs.join(parts, "hub").withColumn("gid", F.xxhash64("hub", F.pmod(F.xxhash64("rep"), "parts"), F.lit("hub")))
+    each = parts.select("gid", "hub", F.explode(F.array("hub", "rep")).alias("member"))
+    return each.select("gid", "member", F.expr("member = hub").alias("lead")).distinct()
+
+
+def block_groups(hot: DataFrame, label: DataFrame, *, threshold: int) -> DataFrame:
+    """(gid, member, known): groups that hold, for every two rows of an overfull
+    region in different components of ``label(node, component)`` whose
+    sketches agree, both of them.
+
+    The rows outside the region's largest component are dealt to blocks by a
+    hash, as are those inside; every outer block meets every block."""
+    least = _least(threshold)
+    place = ["tree", "prefix"]
+    h = hot.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    h = cut(h.select(*place, "rep", "sketch", F.coalesce("component", "rep").alias("known")))
+    per = h.groupBy(*place, "known").agg(F.count(F.lit(1)).alias("n"))
+    top = per.groupBy(*place).agg(F.max_by("known", F.struct("n", "known")).alias("top"), F.max("n").alias("inner"), F.sum("n").alias("all"))
+    top = top.where("all > inner").select(*place, "top", F.ceil(F.col("inner") / WIDE).alias("inside"), F.ceil((F.col("all") - F.col("inner")) / WIDE).alias("outside"))
+    h = h.join(top, place).withColumn("is_in", F.expr("known = top"))
+    h = h.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("is_in"), F.col("inside")).otherwise(F.col("outside"))))
+    # (kind, i, j, second): kind 1 has an inner block j; second tells the side
+    meets = F.expr("""explode(if(is_in,
+        transform(sequence(0L, outside - 1), i -> struct(1 AS kind, i AS i, own AS j, true AS second)),
+        concat(transform(sequence(0L, outside - 1), o -> struct(0 AS kind, least(own, o) AS i, greatest(own, o) AS j, own > o AS second)),
+               transform(sequence(0L, inside - 1), j -> struct(1 AS kind, own AS i, j AS j, false AS second)))))""")
+    h = h.select(*place, "rep", "known", "sketch", meets.alias("m")).select(*place, "m.*", "rep", "known", "sketch")
+
+    def meet(table: pa.Table) -> pa.Table:
+        ids, known, second = (table.column(c).to_numpy() for c in ("rep", "known", "second"))
+        words = _planes(np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1))
+        inside = not table.column("kind")[0].as_py() and table.column("i")[0] == table.column("j")[0]
+        order = np.argsort(ids)
+        left, right = (order, order) if inside else (order[~second[order]], order[second[order]])
+        step, gids, members = max(1, LEAF // 2), [], []
+        for x in range(0, len(left), step):
+            a = left[x : x + step]
+            for y in range(x if inside else 0, len(right), step):
+                b = right[y : y + step]
+                differ = sum(np.bitwise_count((words[a, None, 0, k] ^ words[None, b, 0, k]) | (words[a, None, 1, k] ^ words[None, b, 1, k])).astype(np.int64) for k in range(words.shape[2]))
+                near = (HASHES - differ >= least) & (known[a, None] != known[None, b])
+                found = np.unique(np.concatenate([a[near.any(axis=1)], b[near.any(axis=0)]]))
+                if len(found):
+                    members.append(found)
+                    gids.append(mix(ids[found].view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
+        flat = np.concatenate(members) if members else np.zeros(0, np.int64)
+        gid = np.repeat(np.array(gids, np.int64), [len(m) for m in members]) if members else flat
+        return pa.table({"gid": gid, "member": ids[flat], "known": known[flat]})
+
+    met = h.groupBy(*place, "kind", "i", "j").applyInArrow(meet, "gid long, member long, known long")
+    return met.distinct()
 
 
 def _confirm(docs: DataFrame, groups: DataFrame, *, words: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) on full shingle sets within ``groups(gid, member, known)``.
     ``known`` is the component already found; only links that join different
-    ones are looked for."""
+    ones are looked for. With a column ``lead``, only links of the leads are."""
+    if "lead" not in groups.columns:
+        groups = groups.withColumn("lead", F.lit(False))
     bits = bloom.build(groups.select("member"))
 
     def scan(batches):
@@ -237,16 +320,17 @@ def _confirm(docs: DataFrame, groups: DataFrame, *, words: int, threshold: int,
     def verify(table: pa.Table) -> pa.Table:
         ids, known, raw = table.column("member").to_pylist(), table.column("known").to_pylist(), table.column("shingles").to_pylist()
         one = {}
-        for i, k, s in zip(ids, known, raw, strict=True):
-            one.setdefault(i, (k, np.frombuffer(s, np.uint64)))
+        for i, k, s, x in zip(ids, known, raw, table.column("lead").to_pylist(), strict=True):
+            one.setdefault(i, (k, np.frombuffer(s, np.uint64), x))
         ids = sorted(one)
         sets_ = [one[i][1] for i in ids]
         size = np.array([len(s) for s in sets_])
         label = np.unique([one[i][0] for i in ids], return_inverse=True)[1]
+        at_lead = np.array([one[i][2] for i in ids], bool)
         links = []
-        for i in range(len(ids)):
+        for i in np.flatnonzero(at_lead).tolist() or range(len(ids)):
             small, large = np.minimum(size, size[i]), np.maximum(size, size[i])
-            others = np.flatnonzero((label != label[i]) & (np.arange(len(ids)) > i) & (100 * small >= threshold * large))
+            others = np.flatnonzero((label != label[i]) & ((np.arange(len(ids)) > i) | at_lead[i]) & (100 * small >= threshold * large))
             if not len(others) or not size[i]:
                 continue
             flat = np.concatenate([sets_[j] for j in others])
@@ -281,20 +365,36 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: int = 80, id_
     classes = some.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = cut(classes)
     reps = some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    found = cut(candidate_groups(_tree_rows(reps), threshold=threshold))
+    rows = cut(_tree_rows(reps))
+    sizes = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = cut(rows.join(sizes, ["tree", "prefix"]))
+    found = cut(candidate_groups(rows, threshold=threshold))
+    hot = rows.where(F.col("size") > LEAF).drop("size")
     how = {"words": words, "threshold": threshold, "id_col": id_col, "text_col": text_col}
 
-    first = found.where(F.col("tree") < FIRST_TREES).select("gid", "member").distinct().withColumn("known", F.col("member"))
-    links = cut(_confirm(docs, first, **how))
+    def labelled(groups: DataFrame) -> DataFrame:
+        """``groups`` that still join different components, with ``known``."""
+        own = groups.join(label.select(F.col("node").alias("member"), "component"), "member", "left")
+        own = cut(own.withColumn("known", F.coalesce("component", "member")).drop("component"))
+        some = own.groupBy("gid").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi").select("gid")
+        return own.join(some, "gid", "left_semi")
+
+    overfull = not hot.isEmpty()
+    trees = (F.col("tree") < FIRST_TREES, F.col("tree") >= FIRST_TREES)
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    if overfull:
+        hubs = hub_groups(hot)
+        links = cut(_confirm(docs, hubs.withColumn("known", F.col("member")), **how))
     label = components(links)
-
-    rest = found.where(F.col("tree") >= FIRST_TREES).select("gid", "member").distinct()
-    rest = rest.join(label.select(F.col("node").alias("member"), "component"), "member", "left")
-    rest = cut(rest.select("gid", "member", F.coalesce("component", "member").alias("known")))
-    open_groups = rest.groupBy("gid").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi").select("gid")
-    more = cut(_confirm(docs, rest.join(open_groups, "gid", "left_semi"), **how))
-    if not more.isEmpty():
-        label = components(links.unionByName(more))
+    for part in trees:
+        groups = labelled(found.where(part).select("gid", "member").distinct())
+        links = cut(links.unionByName(_confirm(docs, groups, **how)))
+        label = components(links)
+    for part in trees if overfull else ():
+        met = cut(block_groups(hot.where(part), label, threshold=threshold))
+        if not met.isEmpty():
+            links = cut(links.unionByName(_confirm(docs, met, **how)))
+            label = components(links)
 
     label = label.select(F.col("node").alias("rep"), "component")
     of_class = classes.join(label, "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))
