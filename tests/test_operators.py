@@ -96,6 +96,13 @@ def test_greedy_equals_the_sequential_choice(spark):
     assert got == want
 
 
+def test_greedy_leaves_no_feasible_link(spark):
+    """More equal links than 30 rounds of one link each would take."""
+    rows = [(1, a, b, 0.5) for a in range(40) for b in range(45)] + [(2, a, b, 0.5) for a in range(4) for b in range(a, 5)]
+    got = {(r.s, r.a, r.b) for r in ma.greedy(spark.createDataFrame(rows, "s int, a int, b int, score double"), ["s"]).where("accepted").collect()}
+    assert got == {(1, k, k) for k in range(40)} | {(2, k, k) for k in range(4)}
+
+
 def test_chains(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8)], "a long, b long")
     assert {r.node: (r.head, r.step) for r in ma.chains(links).collect()} == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), 7: (7, 0), 8: (7, 1)}

@@ -14,25 +14,37 @@ from ..session import cut
 FORBIDDEN = -1e6
 
 
-def greedy(links: DataFrame, scope: list[str], *, rounds: int = 30) -> DataFrame:
+def greedy(links: DataFrame, scope: list[str]) -> DataFrame:
     """Best-first one-to-one matching of ``links(scope, a, b, score)``: adds
     ``accepted``. With the strict order (score desc, a, b) the sequential
-    choice equals rounds of mutually best links, so every round is two windows
-    over what is left; most links fall in the first rounds.
+    choice equals rounds of mutually best links; rounds go on until no feasible
+    link is left. In a complete block of equal scores that are the best of all
+    its members, the k-th a takes the k-th b, so ties need one round.
     """
-    left, out = links, None
+    left, out = links.select(*scope, "a", "b", "score").dropna(subset=[*scope, "a", "b"]).distinct(), None
     order = [F.desc("score"), "a", "b"]
-    for _ in range(rounds):
-        best_a = F.row_number().over(Window.partitionBy(*scope, "a").orderBy(*order))
-        best_b = F.row_number().over(Window.partitionBy(*scope, "b").orderBy(*order))
-        ranked = left.withColumns({"_ra": best_a, "_rb": best_b})
-        won = ranked.where("_ra = 1 AND _rb = 1").drop("_ra", "_rb")
-        won = cut(won)
-        out = won if out is None else out.unionByName(won)
-        left = left.join(won.select(*scope, "a"), [*scope, "a"], "left_anti").join(won.select(*scope, "b"), [*scope, "b"], "left_anti")
-        left = cut(left)
-        if left.isEmpty():
+    of_a, of_b = Window.partitionBy(*scope, "a"), Window.partitionBy(*scope, "b")
+    while True:
+        ranked = left.withColumns({"_ra": F.row_number().over(of_a.orderBy(*order)), "_rb": F.row_number().over(of_b.orderBy(*order))})
+        ranked = ranked.withColumns({"_ta": F.max("score").over(of_a), "_tb": F.max("score").over(of_b)})
+        # links that are top for a or for b; a member of a block has no others
+        ranked = ranked.withColumn("_both", F.expr("score <=> _ta AND score <=> _tb"))
+        both = F.when(F.col("_both"), F.lit(1))
+        ranked = ranked.withColumns({"_na": F.count(both).over(of_a), "_nb": F.count(both).over(of_b)})
+        ranked = ranked.withColumns({"_pure_a": F.count(F.when(F.expr("score <=> _ta"), 1)).over(of_a) == F.col("_na"), "_pure_b": F.count(F.when(F.expr("score <=> _tb"), 1)).over(of_b) == F.col("_nb")})
+        top = ranked.withColumn("_set", F.sort_array(F.collect_list(F.when(F.col("_both"), F.col("b"))).over(of_a))).where("_both")
+        block = Window.partitionBy(*scope, "b", "_set")
+        top = top.withColumns({"_alike": F.count(F.lit(1)).over(block), "_clean": F.min(F.expr("_pure_a AND _pure_b")).over(block)})
+        # an a is in a block if all its top links are, seen from their b
+        top = top.withColumn("_whole", F.min(F.expr("_clean AND _alike = _nb")).over(of_a))
+        top = top.withColumns({"_ka": F.row_number().over(block.orderBy("a")), "_kb": F.row_number().over(of_a.orderBy("b"))})
+        won = cut(top.where("(_ra = 1 AND _rb = 1) OR (_whole AND _ka = _kb)").select(*scope, "a", "b", "score"))
+        if won.isEmpty():
             break
+        out = won if out is None else cut(out.unionByName(won))
+        left = cut(left.join(won.select(*scope, "a"), [*scope, "a"], "left_anti").join(won.select(*scope, "b"), [*scope, "b"], "left_anti"))
+    if out is None:
+        return links.withColumn("accepted", F.lit(False))
     accepted = out.withColumn("accepted", F.lit(True))
     return links.join(accepted.select(*scope, "a", "b", "accepted"), [*scope, "a", "b"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
