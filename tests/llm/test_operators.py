@@ -250,6 +250,21 @@ def test_toxicity(spark, docs, odd, none):
     assert toxicity.keep_clean(odd, model).columns == odd.columns
 
 
+def test_toxicity_beside_a_long_family(spark):
+    """Copies of one long toxic text do not crowd out words of other texts."""
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    long, common = " ".join(name() for _ in range(1500)), [name() for _ in range(60)]
+    rows = [(i, long, 1) for i in range(100)]
+    for i in range(100, 400):
+        w = [rng.choice(common) for _ in range(20)]
+        rows.append((i, " ".join([*w, rng.choice(["scumbag", "halfwit"])] if i % 2 else w), i % 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "label"))
+    assert {"scumbag", "halfwit"} <= {t for t, *_ in model.terms} | {w for w in ("scumbag", "halfwit") for t, s, _ in model.terms if s and w.startswith(t)}
+    assert toxicity.Scanner([("scum", True, 0)])["scum" + "x" * 60]
+
+
 def test_automaton_against_edit_distance():
     def distance(a, b):  # with swaps of neighbours
         d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]

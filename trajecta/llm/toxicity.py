@@ -32,7 +32,6 @@ from .wordhash import mix, slices
 
 #: Bounds of what is learned from.
 MAX_PER_LABEL = 3000
-MAX_CANDIDATES = 3000
 MAX_TERMS = 1000
 #: log of how many candidates there may be over the chance to admit a false one.
 EVIDENCE = 14.5
@@ -181,7 +180,9 @@ class Scanner(dict):
         self.automaton = Automaton(terms)
 
     def __missing__(self, word: str):
-        found = self.automaton.match(word) if len(word) <= 40 else None
+        found = self.automaton.match(word)
+        if len(word) > 40:
+            return found
         if len(self) > MAX_CACHED:
             self.clear()
         self[word] = found
@@ -255,17 +256,20 @@ def _choose(rows: list[tuple[str, bool, list[int], int]], weight: np.ndarray, ba
     strength = np.round(20 * np.log(np.maximum(support - 10 * clean, 1e-3)))
     order = np.lexsort(([-len(r[0]) for r in rows], [r[1] for r in rows], -strength))
     chosen: list[tuple[str, bool, set]] = []
+    stems: set[str] = set()
     for i in order:
         text, is_stem, docs, _ = rows[i]
         if len(chosen) >= MAX_TERMS:
             break
-        if any(stem and text.startswith(t) for t, stem, _ in chosen):
+        if any(text[:k] in stems for k in range(1, len(text) + 1)):
             continue
         own = set(docs)
         if is_stem:
             own = own.difference(*[d for t, _, d in chosen if t.startswith(text)])
         if own and evidence(float(weight[list(own)].sum()), clean[i]) >= EVIDENCE:
             chosen.append((text, is_stem, set(docs)))
+            if is_stem:
+                stems.add(text)
     return [(t, s) for t, s, _ in chosen]
 
 
@@ -286,12 +290,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = MAX_PER_LABEL, i
                     words = {w for w in TOKEN.findall(text.lower()) if WORD[0] <= len(w) <= WORD[1]}
                     terms = {(w, False) for w in words} | {(w[:n], True) for w in words for n in range(STEM[0], min(STEM[1], len(w) - 1) + 1)}
                     for t in terms:
-                        at = tally.setdefault(t, [0, []])
+                        at = tally.setdefault(t, [0, [], 0.0])
                         if label:
                             at[1].append(doc)
+                            at[2] += votes[doc]
                         else:
                             at[0] += 1
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in tally]), pa.array([s for _, s in tally], pa.bool_()), pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.list_(pa.int64()))], ["term", "stem", "clean", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in tally]), pa.array([s for _, s in tally], pa.bool_()), pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.list_(pa.int64())), pa.array([v[2] for v in tally.values()], pa.float64())], ["term", "stem", "clean", "toxic", "support"])
 
     toxic_docs = texts.where("label = 1").select("doc_id", "text").collect()  # bounded by per_label
     n_clean = texts.where("label = 0").count()
@@ -301,14 +306,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = MAX_PER_LABEL, i
     families = [_family(set(TOKEN.findall(r.text.lower()))) for r in toxic_docs]
     size = Counter(families)
     weight = np.array([1 / size[f] for f in families])
+    votes = {doc: float(weight[i]) for doc, i in index.items()}  # at most per_label
 
-    counted = texts.mapInArrow(count, "term string, stem boolean, clean long, toxic array<long>")
-    counted = counted.groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.flatten(F.collect_list("toxic")).alias("toxic"))
-    n = F.size("toxic")
-    odds = ((n + 0.5) / (len(toxic_docs) + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    few = counted.where((n >= 2) & (odds >= 8) & (F.col("clean") <= 0.002 * n_clean + 0.1 * n))
-    rows = few.orderBy(F.desc(n), "term", "stem").limit(MAX_CANDIDATES).collect()
+    counted = texts.mapInArrow(count, "term string, stem boolean, clean long, toxic array<long>, support double")
+    counted = counted.groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.flatten(F.collect_list("toxic")).alias("toxic"), F.sum("support").alias("support"))
+    # families vote, not documents; sums of shares are rounded
     base = len(toxic_docs) / (len(toxic_docs) + n_clean)
+    v = F.col("support") + 1e-6
+    odds = ((v + 0.5) / (len(size) + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
+    share = F.least(v / (v + F.col("clean")), F.lit(1 - 1e-9))
+    strong = (v + F.col("clean")) * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
+    few = counted.where((v >= 2) & (odds >= 8) & (F.col("clean") <= 0.002 * n_clean + 0.1 * v) & (share > base) & (strong >= EVIDENCE))
+    rows = few.orderBy(F.desc("support"), "term", "stem").collect()
     picked = _choose([(r.term, r.stem, [index[d] for d in r.toxic], r.clean) for r in rows], weight, base)
     if not picked:
         return ToxicityModel()
