@@ -55,6 +55,20 @@ def written(df: DataFrame, *, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved(df: DataFrame, name: str = "part") -> DataFrame:
+    """``written``, for tables that ``removed`` may delete once they are used."""
+    return written(df, name=name)
+
+
+def removed(table: DataFrame) -> None:
+    """Delete a table of ``saved`` that a later one replaces."""
+    sc = table.sparkSession.sparkContext
+    folder = table.inputFiles()
+    if folder:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder[0].rsplit("/", 1)[0])
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions to shuffle into: the session's own setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
