@@ -140,6 +140,36 @@ def test_substring_dedup(spark, docs, odd, none):
     assert out.columns == odd.columns and out.count() == len(ODD)
 
 
+def test_substring_dedup_of_repeated_and_missing_ids(spark):
+    rng = random.Random(8)
+    passages = [" ".join(f"p{k}w{j}" for j in range(24)) for k in range(3)]
+    rows = [(1, passages[0]), (5, passages[1] + " tail"), (5, passages[0] + " end"), (None, passages[2] + " a"), (None, passages[2] + " b"), (9, passages[2] + " c"), (9, passages[2] + " c")]
+    for _ in range(60):
+        words = [f"f{rng.randrange(10**6)}" for _ in range(rng.randrange(40))]
+        at = rng.randrange(len(words) + 1)
+        rows.append((rng.choice([None, *range(6)]), " ".join([*words[:at], rng.choice(passages), *words[at:]])))
+    first = {}
+    for i, t in rows:
+        w = WORD.findall(t)
+        for j in range(len(w) - 19):
+            key = tuple(w[j : j + 20])
+            first[key] = min(first.get(key, 99), -1 if i is None else i)
+    want = []
+    for i, t in rows:
+        w, cover, seen = WORD.findall(t), set(), set()
+        for j in range(len(w) - 19):
+            key = tuple(w[j : j + 20])
+            if first[key] < (-1 if i is None else i) or key in seen:
+                cover |= set(range(j, j + 20))
+            seen.add(key)
+        kept = " ".join(x for j, x in enumerate(w) if j not in cover)
+        want.append((-1 if i is None else i, len(w), len(cover), hashlib.sha256(kept.encode()).hexdigest()))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_report(df).collect()]
+    assert sorted(got) == sorted(want)
+    assert substring_dedup.remove_repeats(df).count() == len(rows)
+
+
 def test_packing(spark, docs, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer

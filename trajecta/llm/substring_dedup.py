@@ -35,6 +35,9 @@ from .common import cut, fresh, prepare
 from .wordhash import LANES, Batch, mix, slices, span_sums
 
 BLOCK = 1 << 20  # windows
+BLOCK_DOCS = 1 << 15
+#: At most so many word sequences count as hot copies, whatever the input.
+HOT_COPIES = 1000
 PLACE_BITS = 22
 SHARD = 1 << 21  # windows, about
 EXACT_SHARD = 1 << 20
@@ -66,19 +69,6 @@ def _wide(data: bytes) -> np.ndarray:
     return out.view("<u4").ravel().astype(np.int64)
 
 
-def _few_ids(ids: np.ndarray) -> bytes:
-    """Ids as offsets from the least where they lie close together."""
-    base = int(ids.min()) if len(ids) else 0
-    near = len(ids) == 0 or int(ids.max()) - base < 1 << 32
-    return np.int64(base).tobytes() + (_few_bytes((ids - base).astype(np.int64)) if near else b"\10" + ids.tobytes())
-
-
-def _wide_ids(data: bytes) -> np.ndarray:
-    if data[8] == 8:
-        return np.frombuffer(data[9:], np.int64)
-    return _wide(data[8:]) + np.frombuffer(data[:8], np.int64)
-
-
 def _runs(places: np.ndarray) -> bytes:
     """Sorted places as (start, end) pairs: repeats come in long runs."""
     edge = np.flatnonzero(np.diff(places) != 1)
@@ -151,7 +141,7 @@ def _sketches(docs: DataFrame, window: int, shard_bits: int) -> DataFrame:
                 n_words = np.diff(batch.first).tolist()
                 for i in range(b.num_rows):
                     n = int(bounds[i + 1] - bounds[i])
-                    if directory and size + n > BLOCK:
+                    if directory and (size + n > BLOCK or len(directory) >= BLOCK_DOCS):
                         yield from close()
                         seq, parts, directory, size = seq + 1, [], [], 0
                     directory.append((ids[i], keys[i], n_words[i], n, hashlib.sha256(batch.normal(i)).digest()))
@@ -215,10 +205,24 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.join(wanted, ["id", "row_key"])
 
 
+def _earliest(hi, lo, ids, keys, place):
+    """Order of the windows that start first: of equal digests those of the
+    least id, the first place in each of its rows."""
+    order = np.lexsort((place, keys, ids, lo, hi))
+    hi, lo, ids, keys = hi[order], lo[order], ids[order], keys[order]
+    new = np.ones(len(hi), bool)
+    new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    row = new.copy()
+    row[1:] |= (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+    least = ids[np.maximum.accumulate(np.where(new, np.arange(len(hi)), 0))] if len(hi) else ids
+    return order[row & (ids == least)]
+
+
 def _first_places(estimated: DataFrame, window: int, shard_bits: int) -> DataFrame:
-    """``estimated(id, text, hot)`` -> (id, first binary): places whose window
-    occurs nowhere earlier, by exact grouping of 128-bit digests."""
-    names, types = ["shard", "hi", "lo", "id", "place"], [pa.int64(), *[pa.binary()] * 4]
+    """``estimated(id, row_key, text, hot)`` -> (id, row_key, firsts): places
+    whose window occurs nowhere earlier, by exact grouping of 128-bit digests.
+    A shard's piece names its rows once; windows carry their number."""
+    names, types = ["shard", "hi", "lo", "rows", "row", "place"], [pa.int64(), *[pa.binary()] * 5]
 
     def scan(batches):
         for whole in batches:
@@ -230,34 +234,55 @@ def _first_places(estimated: DataFrame, window: int, shard_bits: int) -> DataFra
                 count = [len(x) for x in hot]
                 place = np.concatenate(hot) if hot else np.zeros(0, np.int64)
                 at = place + np.repeat(bounds[:-1], count)
-                ids = np.repeat(b.column("id").to_numpy(zero_copy_only=False), count)
+                ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row_key"))
+                row = np.repeat(np.arange(b.num_rows), count)
                 hi, lo = hi[at], lo[at]
-                order = np.lexsort((place, ids, lo, hi))
-                hi, lo, ids, place = hi[order], lo[order], ids[order], place[order]
-                new = np.ones(len(hi), bool)
-                new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-                hi, lo, ids, place = hi[new], lo[new], ids[new], place[new]
+                order = _earliest(hi, lo, ids[row], keys[row], place)
+                hi, lo, row, place = hi[order], lo[order], row[order], place[order]
                 shard = (hi >> np.uint64(64 - shard_bits)).astype(np.int64)
                 edge = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]))
-                yield _rows([(int(shard[x]), hi[x:y].tobytes(), lo[x:y].tobytes(), _few_ids(ids[x:y]), _few_bytes(place[x:y])) for x, y in zip(edge[:-1], edge[1:], strict=True) if y > x], names, types)
+                out = []
+                for x, y in zip(edge[:-1], edge[1:], strict=True):
+                    if y > x:
+                        some, number = np.unique(row[x:y], return_inverse=True)
+                        out.append((int(shard[x]), hi[x:y].tobytes(), lo[x:y].tobytes(), ids[some].tobytes() + keys[some].tobytes(), _few_bytes(number), _few_bytes(place[x:y])))
+                yield _rows(out, names, types)
 
     def first(table: pa.Table) -> pa.Table:
         hi, lo = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64) for c in ("hi", "lo"))
-        ids = np.concatenate([_wide_ids(x) for x in table.column("id").to_pylist()])
+        owners, numbers = [], []
+        for rows, number in zip(table.column("rows").to_pylist(), table.column("row").to_pylist(), strict=True):
+            owners.append(np.frombuffer(rows, np.int64).reshape(2, -1))
+            numbers.append(owners[-1][:, _wide(number)])
+        ids, keys = np.concatenate(numbers, axis=1)
         place = np.concatenate([_wide(x) for x in table.column("place").to_pylist()])
-        order = np.lexsort((place, ids, lo, hi))
-        hi, lo, ids, place = hi[order], lo[order], ids[order], place[order]
-        new = np.ones(len(hi), bool)
-        new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-        ids, place = ids[new], place[new]
-        order = np.argsort(ids, kind="stable")
-        ids, place = ids[order], place[order]
-        edge = np.concatenate(([0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]))
-        return pa.Table.from_batches([_rows([(int(ids[x]), _few_bytes(place[x:y])) for x, y in zip(edge[:-1], edge[1:], strict=True)], ["id", "first"], [pa.int64(), pa.binary()])])
-
-    shards = estimated.mapInArrow(scan, "shard long, hi binary, lo binary, id binary, place binary")
-    firsts = shards.groupBy("shard").applyInArrow(first, "id long, first binary")
-    return firsts.groupBy("id").agg(F.collect_list("first").alias("firsts"))
+        order = _earliest(hi, lo, ids, keys, place)
+        ids, keys, place = ids[order], keys[order], place[order]
+        order = np.lexsort((keys, ids))
+        ids, keys, place = ids[order], keys[order], place[order]
+        edge = np.concatenate(([0], np.flatnonzero((np.diff(ids) != 0) | (np.diff(keys) != 0)) + 1, [len(ids)]))
+        return pa.Table.from_batches([_rows([(int(ids[x]), int(keys[x]), _few_bytes(place[x:y])) for x, y in zip(edge[:-1], edge[1:], strict=True)], ["id", "row_key", "first"], [pa.int64(), pa.int64(), pa.binary()])])
+
+    shards = estimated.mapInArrow(scan, "shard long, hi binary, lo binary, rows binary, row binary, place binary")
+    firsts = shards.groupBy("shard").applyInArrow(first, "id long, row_key long, first binary")
+    return firsts.groupBy("id", "row_key").agg(F.collect_list("first").alias("firsts"))
+
+
+def _with_copies(rows: DataFrame, window: int) -> DataFrame:
+    """Adds ``copy``: a smaller id has the same words. Only texts with copies
+    are joined; the at most HOT_COPIES sequences with a large share of all
+    rows meet theirs by broadcast."""
+    long_ = rows.where(F.col("n_words") >= window)
+    copies = cut(long_.groupBy("sha").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "least", "n"))
+    most = max(1000, rows.count() // HOT_COPIES)
+    hot = F.broadcast(copies.where(F.col("n") > most).drop("n"))
+    copy = F.coalesce(F.col("id") > F.col("least"), F.lit(False)).alias("copy")
+    parts = [
+        rows.where(F.col("n_words") < window).select(*rows.columns, F.lit(False).alias("copy")),
+        long_.join(hot, "sha").select(*rows.columns, copy),
+        long_.join(hot, "sha", "left_anti").join(copies.where(F.col("n") <= most).drop("n"), "sha", "left").select(*rows.columns, copy),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,7 +292,8 @@ def repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
     A window of ``window`` words is repeated if its words also start earlier:
     in a smaller id, or earlier in the same document. Null texts have no words;
     a null id counts as smaller than any other and comes back as NULL_ID. Rows
-    with equal id and text are judged as one document. sha is the SHA-256 of
+    with equal id and text are judged as one document; rows with one id (or
+    none) and different texts are different documents, none before the other. sha is the SHA-256 of
     all words joined by one space.
     """
     spark = prepare(docs.sparkSession)
@@ -279,9 +305,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
     rows = pieces.groupBy("block").applyInArrow(_by_document, "id long, row_key long, n_words long, sha binary, hot binary, n_hot long")
     rows = cut(rows.dropDuplicates(["id", "row_key"]))
 
-    copies = rows.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("id").alias("least"))
-    rows = rows.join(copies, "sha", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("least"), F.lit(False))).drop("least")
-    rows = cut(rows)
+    rows = cut(_with_copies(rows, window))
 
     estimated = rows.where("NOT copy AND hot IS NOT NULL").select("id", "row_key", "hot")
     n_hot = rows.where("NOT copy").select(F.coalesce(F.sum("n_hot"), F.lit(0))).first()[0]
@@ -304,7 +328,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
             out.append([{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(on == 1), np.flatnonzero(on == -1), strict=True)])
         return pd.Series(out)
 
-    judged = estimated.join(rows.select("id", "row_key", "n_words"), ["id", "row_key"]).join(firsts, "id", "left")
+    judged = estimated.join(rows.select("id", "row_key", "n_words"), ["id", "row_key"]).join(firsts, ["id", "row_key"], "left")
     judged = cut(judged.select("id", "row_key", spans("hot", "firsts", "n_words").alias("spans")))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
@@ -354,16 +378,17 @@ def dedup_report(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", t
 
 def remove_repeats(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated windows cut out of the text (the kept words,
-    joined by one space). Texts that lose nothing stay as they are; documents
-    that lose every word are dropped. ``n_chars``, where there is one, follows
-    the text."""
+    joined by one space). No row is dropped: texts that lose nothing stay as
+    they are, those that lose every word become empty. ``n_chars``, where there
+    is one, follows the text. See ``repeated_spans`` for nulls, ties and
+    repeated rows; an empty table gives an empty result."""
     spans = cut(repeated_spans(docs, window=window, id_col=id_col, text_col=text_col))
     kept = kept_texts(docs, spans, id_col=id_col, text_col=text_col)
-    gone = spans.where("n_words > 0 AND size(removed) = 1 AND removed[0].end - removed[0].start = n_words").select("id", "row_key", F.lit(True).alias("gone"))
-    n_id, n_key, n_kept, n_gone = (fresh(docs, n) for n in ("_id", "_key", "_kept", "_gone"))
-    change = kept.join(gone, ["id", "row_key"], "full_outer").select(F.col("id").alias(n_id), F.col("row_key").alias(n_key), F.col("kept").alias(n_kept), F.col("gone").alias(n_gone))
+    gone = spans.where("n_words > 0 AND size(removed) = 1 AND removed[0].end - removed[0].start = n_words").select("id", "row_key", F.lit("").alias("kept"))
+    n_id, n_key, n_kept = (fresh(docs, n) for n in ("_id", "_key", "_kept"))
+    change = kept.select("id", "row_key", "kept").unionByName(gone).select(F.col("id").alias(n_id), F.col("row_key").alias(n_key), F.col("kept").alias(n_kept))
     ident = _identified(docs, id_col, text_col)
-    joined = docs.join(change, (ident[0] == F.col(n_id)) & (ident[1] == F.col(n_key)), "left").where(F.col(n_gone).isNull())
+    joined = docs.join(change, (ident[0] == F.col(n_id)) & (ident[1] == F.col(n_key)), "left")
     columns = {c: F.col(c) for c in docs.columns} | {text_col: F.coalesce(n_kept, text_col)}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(F.col(n_kept).isNotNull(), F.char_length(n_kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
