@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, width
+from .common import cut, prepare, width
 from .wordhash import LANES, mix, slices, span_sums
 
 K = 9
@@ -31,10 +31,10 @@ NULL_ID = -(1 << 63)
 
 
 def fingerprint(text: str) -> np.ndarray:
-    """HASHES components of 32 bits. k-mers have K code points, in texts under
-    6 * K a sixth of the length, so that short texts have several too."""
+    """HASHES components of 32 bits. k-mers have K code points; a shorter text
+    is one k-mer, as is the empty one."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-    size = max(1, min(K, len(points) // 6))
+    size = min(K, len(points))
     n = len(points) - size + 1 if len(points) else 1
     if len(points):
         at = np.arange(n)
@@ -88,30 +88,38 @@ def edited(text: str, following: str) -> str:
 
 
 def _in_ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows dealt into ranges of ids and sorted within them, so that a row's
-    follower stands next to it: (range, guest, id, text). Rows at a range's
-    start also visit the range before as guests, the very first the last.
-
-    Ranges are cut at quantiles of the ids, four to a shuffle partition; only
-    these bounds reach the driver. The texts move once.
+    """Rows dealt into ranges of (id, hash of the text) and sorted within
+    them, so that a row's follower stands next to it: (range, guest, id, text).
+    The first row of a range also visits the range before as a guest, that of
+    the very first the last.
+
+    Ranges are cut at quantiles of the ids, four to a shuffle partition; an id
+    that fills several of them is cut evenly by hash. Only these bounds and
+    the numbers of the ranges in use reach the driver. The texts move once.
     """
     n = 4 * width(docs.sparkSession)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    shares = [i / n for i in range(1, n)]
-    found = source.agg(F.min("id").alias("least"), F.percentile_approx("id", shares, 20 * n).alias("cuts")).first()
-    starts = np.array(sorted({found["least"], *found["cuts"]}) if found["least"] is not None else [0], np.int64)
-
-    @F.pandas_udf("array<int>")
-    def places(ids: pd.Series) -> pd.Series:
-        ids = ids.to_numpy()
-        at = np.searchsorted(starts, ids, side="right") - 1
-        opens = starts[at] == ids
-        # even: a range's own row; odd: a guest
-        return pd.Series([[2 * a, 2 * ((a - 1) % len(starts)) + 1] if o else [2 * a] for a, o in zip(at.tolist(), opens.tolist(), strict=True)])
-
-    dealt = source.select("id", "text", F.explode(places("id")).alias("place"))
-    dealt = dealt.select(F.shiftright("place", 1).alias("range"), F.pmod("place", F.lit(2)).alias("guest"), "id", "text")
-    return dealt.repartition(width(docs.sparkSession), "range").sortWithinPartitions("range", "guest", "id", "text")
+    text = F.coalesce(text_col, F.lit(""))
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    found = source.agg(F.percentile_approx("id", [i / n for i in range(n)], 20 * n).alias("cuts")).first()
+    ids, times = np.unique(np.array(found["cuts"] or [0], np.int64), return_counts=True)
+    base = np.concatenate(([0], np.cumsum(times)[:-1]))
+
+    @F.pandas_udf("int")
+    def range_of(id_: pd.Series, h: pd.Series) -> pd.Series:
+        at = np.maximum(np.searchsorted(ids, id_.to_numpy(), side="right") - 1, 0)
+        share = (h.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)) / np.float64(1 << 64)
+        own = ids[at] == id_.to_numpy()  # larger ids follow the last part of a cut one
+        part = np.where(own, np.minimum(share * times[at], times[at] - 1), times[at] - 1)
+        part = np.where(id_.to_numpy() < ids[0], 0, part)
+        return pd.Series((base[at] + part).astype(np.int32))
+
+    dealt = source.select(range_of("id", "h").alias("range"), "id", "h", "text")
+    firsts = cut(dealt.groupBy("range").agg(F.min(F.struct("id", "h", "text")).alias("f")))
+    used = sorted(r[0] for r in firsts.select("range").collect())
+    before = F.create_map(*[F.lit(x) for now, last in zip(used, used[-1:] + used[:-1], strict=True) for x in (now, last)]) if used else F.create_map()
+    guests = firsts.select(F.try_element_at(before, F.col("range")).cast("int").alias("range"), F.lit(1).alias("guest"), "f.id", "f.h", "f.text")
+    rows = dealt.select("range", F.lit(0).alias("guest"), "id", "h", "text").unionByName(guests)
+    return rows.repartition(width(docs.sparkSession), "range").sortWithinPartitions("range", "guest", "id", "h", "text")
 
 
 def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,9 +128,9 @@ def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. The next document is that of the next larger
-    (doc_id, text); after the last comes the first. Null texts are empty, null
-    ids come first. One document alone follows itself; an empty table gives an
-    empty result.
+    (doc_id, hash of the text, text); after the last comes the first. Null
+    texts are empty, null ids come first. One document alone follows itself; an
+    empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -140,8 +148,8 @@ def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             for b in slices(whole, "text"):
                 out = []
                 for at, guest, doc, text in zip(*(b.column(c).to_pylist() for c in ("range", "guest", "id", "text")), strict=True):
-                    if guest and held is None:
-                        continue  # only the first guest is a follower
+                    if guest and held_range != at:
+                        continue
                     now = (doc, text, fingerprint(text))
                     if held is not None and held_range == at:
                         out.append(row(held, now))
