@@ -72,6 +72,17 @@ def test_near_duplicates(spark, docs, odd, none):
     assert near_dedup.keep_one(odd).columns == odd.columns
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id on a copy and on a text of its own: each row by its own text."""
+    text = " ".join(f"a{i}" for i in range(30))
+    rows = [(1, text), (5, text), (5, " ".join(f"b{i}" for i in range(30))), (8, " ".join(f"b{i}" for i in range(30))), (None, text), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(df, words=4).collect())
+    assert got == [(0, 0, True), (1, 1, True), (5, 1, False), (5, 5, True), (6, 6, True), (8, 5, False)]
+    left = {(r.doc_id, r.text) for r in near_dedup.keep_one(df, words=4).collect()}
+    assert left == {rows[0], rows[2], rows[4], rows[5]}
+
+
 def test_near_duplicates_around_one_base(spark):
     """A large family of edited copies: links to the base, not to each other."""
     rng = random.Random(4)

@@ -42,6 +42,8 @@ LEAF = 512
 #: Rows of a block of an overfull region whose sketches are compared in one task.
 WIDE = 1024
 FIRST_TREES = 2
+#: At most so many sets count as hot, whatever the input.
+HOT_SETS = 1000
 HASHES = TREES * DEPTH
 _MULT = (np.random.default_rng(20240501).integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _SHORT = 0xA24BAED4963EE407
@@ -72,6 +74,16 @@ def shingle_sets(column: pa.Array, words: int):
     return flat, np.concatenate(([0], np.cumsum(sizes)))
 
 
+def set_hashes(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every shingle set; 0 for empty ones."""
+    hi, lo = np.zeros(len(bounds) - 1, np.uint64), np.zeros(len(bounds) - 1, np.uint64)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        hi[full] = np.add.reduceat(mix(flat), bounds[:-1][full])
+        lo[full] = np.add.reduceat(mix(flat ^ np.uint64(_SHORT)), bounds[:-1][full])
+    return hi.view(np.int64), lo.view(np.int64)
+
+
 def _binary(matrix: np.ndarray) -> pa.Array:
     """Rows of a matrix as a binary column."""
     matrix = np.ascontiguousarray(matrix)
@@ -81,9 +93,10 @@ def _binary(matrix: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, *, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_hi, set_lo, sig): sig holds HASHES MinHash
-    values, null for texts without words."""
-    schema = "doc_id long, n_shingles long, set_hi long, set_lo long, sig binary"
+    """(doc_id, row_key, n_shingles, set_hi, set_lo, sig): row_key is a hash
+    of the text, sig holds HASHES MinHash values, null for texts without
+    words."""
+    schema = "doc_id long, row_key long, n_shingles long, set_hi long, set_lo long, sig binary"
 
     def scan(batches):
         for whole in batches:
@@ -93,20 +106,18 @@ def signatures(docs: DataFrame, *, words: int, id_col: str = "doc_id", text_col:
                 full = np.flatnonzero(sizes)
                 at = bounds[:-1][full]
                 n = b.num_rows
-                hi, lo = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+                hi, lo = set_hashes(flat, bounds)
                 sig = np.zeros((n, HASHES), np.uint32)
                 if len(full):
-                    hi[full] = np.add.reduceat(mix(flat), at)
-                    lo[full] = np.add.reduceat(mix(flat ^ np.uint64(_SHORT)), at)
                     x = (flat >> np.uint64(32)).astype(np.uint32)
                     for j in range(HASHES):
                         sig[full, j] = np.minimum.reduceat(x * _MULT[j], at)
                 column = _binary(sig)
                 if len(full) < n:
                     column = pa.array([v if s else None for v, s in zip(column.to_pylist(), sizes.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), column], ["doc_id", "n_shingles", "set_hi", "set_lo", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("row_key"), pa.array(sizes), pa.array(hi), pa.array(lo), column], ["doc_id", "row_key", "n_shingles", "set_hi", "set_lo", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
 
 
 def _tree_rows(reps: DataFrame) -> DataFrame:
@@ -120,7 +131,7 @@ def _tree_rows(reps: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(b.num_rows, HASHES)
-            ids = b.column("doc_id")
+            ids = b.column("node")
             bits = mix(sig.astype(np.uint64))
             planes = [np.packbits(((bits >> np.uint64(s)) & np.uint64(1)).astype(np.uint8), axis=1) for s in (7, 41)]
             sketch = _binary(np.concatenate(planes, axis=1))
@@ -128,7 +139,7 @@ def _tree_rows(reps: DataFrame) -> DataFrame:
                 key = _binary(sig[:, t * DEPTH : (t + 1) * DEPTH].astype(">u4"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), key, ids, sketch], ["tree", "key", "rep", "sketch"])
 
-    rows = reps.select("doc_id", "sig").mapInArrow(scan, schema)
+    rows = reps.select("node", "sig").mapInArrow(scan, schema)
     return rows.withColumn("prefix", F.substring("key", 1, 4 * MIN_DEPTH))
 
 
@@ -295,13 +306,15 @@ def block_groups(hot: DataFrame, label: DataFrame, *, threshold: int) -> DataFra
     return met.distinct()
 
 
-def _confirm(docs: DataFrame, groups: DataFrame, *, words: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) on full shingle sets within ``groups(gid, member, known)``.
+def _confirm(docs: DataFrame, groups: DataFrame, classes: DataFrame, *, words: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) on full shingle sets within ``groups(gid, member, known)``,
+    members being nodes of ``classes(node, set_hi, set_lo, rep)``.
     ``known`` is the component already found; only links that join different
     ones are looked for. With a column ``lead``, only links of the leads are."""
     if "lead" not in groups.columns:
         groups = groups.withColumn("lead", F.lit(False))
-    bits = bloom.build(groups.select("member"))
+    wanted_sets = cut(classes.join(groups.select(F.col("member").alias("node")).distinct(), "node").select(F.col("node").alias("member"), "set_hi", "set_lo", "rep"))
+    bits = bloom.build(wanted_sets.select("rep"))
 
     def scan(batches):
         wanted = bloom.Bloom(bits)
@@ -310,12 +323,13 @@ def _confirm(docs: DataFrame, groups: DataFrame, *, words: int, threshold: int,
             whole = whole.filter(pa.array(wanted.might_contain(ids)))
             for b in slices(whole, "text"):
                 flat, bounds = shingle_sets(b.column("text"), words)
-                data = flat.tobytes()
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([data[8 * x : 8 * y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], ["member", "shingles"])
+                data, (hi, lo) = flat.tobytes(), set_hashes(flat, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), b.column("doc_id"), pa.array([data[8 * x : 8 * y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], ["set_hi", "set_lo", "rep", "shingles"])
 
     source = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     source = source.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = source.mapInArrow(scan, "member long, shingles binary")
+    sets = source.mapInArrow(scan, "set_hi long, set_lo long, rep long, shingles binary")
+    sets = sets.join(wanted_sets, ["set_hi", "set_lo", "rep"]).select("member", "shingles")
 
     def verify(table: pa.Table) -> pa.Table:
         ids, known, raw = table.column("member").to_pylist(), table.column("known").to_pylist(), table.column("shingles").to_pylist()
@@ -355,16 +369,22 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: int = 80, id_
     doc_id reachable over links), kept (doc_id = component_id).
 
     Nulls, empty texts and texts without words have an empty set, link with
-    nothing and are kept. Rows that repeat a doc_id with one text are in one
-    component and are returned once each. Other columns are ignored. An empty
-    table gives an empty result.
+    nothing and are kept. Rows without an id are neither compared nor merged.
+    Rows that repeat a doc_id are judged by their own text and returned once
+    each. Other columns are ignored. An empty table gives an empty result.
     """
+    return _judged(docs, words=words, threshold=threshold, id_col=id_col, text_col=text_col).drop("row_key")
+
+
+def _judged(docs: DataFrame, *, words: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
+    """``near_duplicates`` with row_key. Nodes of the link graph are classes of
+    equal sets."""
     prepare(docs.sparkSession)
     base = cut(signatures(docs, words=words, id_col=id_col, text_col=text_col))
-    some = base.where("n_shingles > 0")
+    some = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = cut(classes)
-    reps = some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["set_hi", "set_lo", "doc_id"]).dropDuplicates(["node"])
     rows = cut(_tree_rows(reps))
     sizes = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = cut(rows.join(sizes, ["tree", "prefix"]))
@@ -384,29 +404,39 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: int = 80, id_
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     if overfull:
         hubs = hub_groups(hot)
-        links = cut(_confirm(docs, hubs.withColumn("known", F.col("member")), **how))
+        links = cut(_confirm(docs, hubs.withColumn("known", F.col("member")), classes, **how))
     label = components(links)
     for part in trees:
         groups = labelled(found.where(part).select("gid", "member").distinct())
-        links = cut(links.unionByName(_confirm(docs, groups, **how)))
+        links = cut(links.unionByName(_confirm(docs, groups, classes, **how)))
         label = components(links)
     for part in trees if overfull else ():
         met = cut(block_groups(hot.where(part), label, threshold=threshold))
         if not met.isEmpty():
-            links = cut(links.unionByName(_confirm(docs, met, **how)))
+            links = cut(links.unionByName(_confirm(docs, met, classes, **how)))
             label = components(links)
 
-    label = label.select(F.col("node").alias("rep"), "component")
-    of_class = classes.join(label, "rep", "left").select("set_hi", "set_lo", F.coalesce("component", "rep").alias("component"))
-    joined = base.select("doc_id", "n_shingles", "set_hi", "set_lo").join(of_class.withColumn("n", F.lit(True)), ["set_hi", "set_lo"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("n"), F.col("component")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    # a component's id is its least document; classes of one row, in no
+    # component, need no join
+    placed = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.where("component <> node OR copies > 1").select("component").distinct().join(placed, "component").groupBy("component").agg(F.min("rep").alias("least"))
+    placed = cut(placed.join(least, "component").select("set_hi", "set_lo", "copies", F.col("least").alias("component_id")))
+    many = base.count() // HOT_SETS
+    hot = F.broadcast(placed.where(F.col("copies") > F.lit(max(1000, many))).drop("copies"))  # HOT_SETS rows at most
+    keys, result = ["set_hi", "set_lo"], ["doc_id", "row_key", "n_shingles"]
+    alone = base.where("n_shingles = 0 OR doc_id IS NULL").select(*result, F.col("doc_id").alias("component_id"))
+    of_hot = some.join(hot, keys).select(*result, "component_id")
+    others = some.join(hot, keys, "left_anti").join(placed.where(F.col("copies") <= F.lit(max(1000, many))), keys, "left")
+    others = others.select(*result, F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = alone.unionByName(of_hot).unionByName(others)
+    return joined.select(*result, "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group; its columns are unchanged.
-    Rows without an id are kept; rows that repeat an id stay or go together."""
-    groups = near_duplicates(docs, words=words, threshold=threshold, id_col=id_col, text_col=text_col)
-    name = fresh(docs, "_gone")
-    gone = cut(groups.where("NOT kept").select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
+    Rows without an id are kept; rows that repeat an id and a text stay or go
+    together. Nulls and empty texts stay; an empty table gives an empty result."""
+    groups = _judged(docs, words=words, threshold=threshold, id_col=id_col, text_col=text_col)
+    name, key = fresh(docs, "_gone"), fresh(docs, "_gone_key")
+    gone = cut(groups.where("NOT kept").select(F.col("doc_id").alias(name), F.col("row_key").alias(key)).distinct())
+    return docs.join(gone, (docs[id_col] == gone[name]) & (F.xxhash64(docs[text_col]) == gone[key]), "left_anti")
