@@ -5,15 +5,18 @@ statistics and those of the lines before and after it; the chain's transitions
 let a line's label lean on its neighbours' labels. A document's score is the
 mean of its lines' forward-backward marginals for "good", weighted by length.
 
-Only documents are labelled: for training, every line takes its document's
-label. The sample of labelled documents and of their lines is bounded, its
-features go to the driver, where the weights are fitted; scoring reads every
-line of every document in one pass without a shuffle.
+Only documents are labelled. Training relabels lines by the model itself,
+held to the document's label in the mean (``_train``), so that good and bad
+lines stand next to each other and the transitions have something to learn. The
+sample of labelled documents is bounded, as is the block of lines read of each;
+its features go to the driver, where the weights are fitted. Scoring reads
+every line of every document in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 from itertools import islice
 from operator import eq
@@ -29,6 +32,10 @@ from .wordhash import slices
 #: Bounds of what is learned from.
 MAX_PER_LABEL = 1500
 MAX_LINES = 64
+#: Share of a document's length that has its label, at least.
+MOSTLY = 0.9
+#: Relabellings, and steps of the weights after each.
+ROUNDS, STEPS = 3, 25
 _SYMBOL = re.compile(r"[^\w\s]")
 _RUN = re.compile(r"[^\w\s]{2,}")
 _DIGIT = re.compile(r"\d")
@@ -104,58 +111,90 @@ class QualityModel:
         return float(min(1.0, max(0.0, (self.good(lines) * length).sum() / length.sum())))
 
 
-def _train(chains: list[np.ndarray], labels: np.ndarray, steps: int = 300, ridge: float = 1e-3, rate: float = 0.05) -> QualityModel:
-    """Maximum conditional likelihood by Adam; chains are padded and run
-    through forward-backward together."""
+def _marginals(u: np.ndarray, off: np.ndarray, before: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over all chains at once: the marginals of "good" and
+    of every two neighbours' labels. ``u`` are log odds, first lines of all
+    chains first (``off`` bounds them), long chains before short ones;
+    ``before`` is the place of each later line's predecessor."""
+    e = np.stack([np.zeros(len(u)), np.clip(u, -30, 30)], axis=1)
+    a, b = e.copy(), np.zeros_like(e)
+    for lo, at, hi in zip(off[:-2], off[1:-1], off[2:], strict=True):
+        last = a[lo : lo + hi - at]
+        a[at:hi] += np.logaddexp(last[:, :1] + trans[0], last[:, 1:] + trans[1])
+    for lo, at, hi in zip(off[-3::-1], off[-2:0:-1], off[:1:-1], strict=True):
+        after = (e[at:hi] + b[at:hi])[:, None, :] + trans
+        b[lo : lo + hi - at] = np.logaddexp(after[..., 0], after[..., 1])
+    total = a + b
+    z = np.logaddexp(total[:, 0], total[:, 1])
+    later = slice(off[1], None)
+    pair = np.exp(a[before][:, :, None] + trans + (e + b)[later][:, None, :] - z[later][:, None, None])
+    return np.exp(total[:, 1] - z), pair
+
+
+def _first_weights(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
+    """Logistic regression of lines on their documents' labels, by Newton."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        curve = (x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        w = w + np.linalg.solve(curve, x.T @ (share * (y - p)) - ridge * w)
+    return w
+
+
+def _train(chains: list[np.ndarray], labels: np.ndarray, ridge: float = 1e-3, rounds: int = ROUNDS, steps: int = STEPS, rate: float = 0.05) -> QualityModel:
+    """Expectation-maximisation for labels that hold for documents only.
+
+    Lines first take their document's label. Then, in rounds, every chain is
+    relabelled by its own marginals, shifted only as far as the length-weighted
+    mean needs to reach MOSTLY in good documents and to stay under 1 - MOSTLY
+    in bad ones, so lines of both kinds stand side by side and the transitions
+    learn from them; the weights then climb the expected likelihood (Adam).
+    """
     flat = np.concatenate(chains)
     model = QualityModel(flat.mean(axis=0), flat.std(axis=0) + 1e-3)
-    longest = max(map(len, chains))
-    x = np.zeros((len(chains), longest, WIDTH + 1))
-    mask = np.zeros((len(chains), longest), bool)
-    for i, c in enumerate(chains):
-        x[i, : len(c), :-1] = (c - model.mean) / model.scale
-        x[i, : len(c), -1] = 1
-        mask[i, : len(c)] = True
-    y = np.repeat(labels[:, None], longest, axis=1)
-    # each label weighs the same in sum
-    share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
-    share = share / mask.sum(axis=1)
-    theta = np.zeros(WIDTH + 1 + 4)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
-        w, trans = theta[:-4], theta[-4:].reshape(2, 2)
-        u = np.zeros((len(chains), longest, 2))
-        u[..., 1] = np.clip(x @ w, -30, 30)
-        a, b = np.zeros_like(u), np.zeros_like(u)
-        a[:, 0] = u[:, 0]
-        for i in range(1, longest):
-            a[:, i] = u[:, i] + np.logaddexp(a[:, i - 1, :1] + trans[0], a[:, i - 1, 1:] + trans[1])
-        for i in range(longest - 2, -1, -1):
-            after = (u[:, i + 1] + b[:, i + 1])[:, None, :] + trans[None]
-            after = np.logaddexp(after[..., 0], after[..., 1])
-            b[:, i] = np.where(mask[:, i + 1, None], after, 0)
-        total = a + b
-        z = np.logaddexp(total[..., 0], total[..., 1])
-        p = np.exp(total[..., 1] - z) * mask
-        grad_w = ((((y * mask) - p) * share[:, None])[..., None] * x).sum(axis=(0, 1))
-        pair = a[:, :-1, :, None] + trans[None, None] + (u + b)[:, 1:, None, :] - z[:, 1:, None, None]
-        pair = np.exp(pair) * mask[:, 1:, None, None]
-        seen = np.zeros_like(pair)
-        both = mask[:, 1:]
-        seen[..., 1, 1] = (y[:, 1:] == 1) & both
-        seen[..., 0, 0] = (y[:, 1:] == 0) & both
-        grad_t = ((seen - pair) * share[:, None, None, None]).sum(axis=(0, 1)).ravel()
-        grad = np.concatenate([grad_w, grad_t]) - ridge * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    order = sorted(range(len(chains)), key=lambda i: -len(chains[i]))
+    count, labels = np.array([len(chains[i]) for i in order]), labels[order]
+    first = np.concatenate(([0], np.cumsum([len(c) for c in chains])))[order]
+    alive = [(count > t).sum() for t in range(count[0])]
+    off = np.concatenate(([0], np.cumsum(alive)))
+    chain = np.concatenate([np.arange(k) for k in alive])
+    line = np.repeat(np.arange(count[0]), alive)
+    before = np.arange(off[1], off[-1]) - np.repeat(alive[:-1], alive[1:])
+    flat = flat[first[chain] + line]
+    x = np.concatenate([(flat - model.mean) / model.scale, np.ones((len(flat), 1))], axis=1)
+    length = np.expm1(10 * flat[:, 0])
+    length /= np.bincount(chain, length)[chain]
+    # each label weighs the same in sum, and so does each document of a label
+    share = (np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum()) / count)[chain]
+    theta = np.concatenate([_first_weights(x, labels[chain].astype(float), share, ridge), np.zeros(4)])
+    m, v, step = np.zeros_like(theta), np.zeros_like(theta), 0
+
+    for _ in range(rounds):
+        u, trans = x @ theta[:-4], theta[-4:].reshape(2, 2)
+        lo, hi = np.where(labels == 1, 0.0, -30.0), np.where(labels == 1, 30.0, 0.0)
+        for _ in range(12):
+            shift = (lo + hi) / 2
+            mean = np.bincount(chain, _marginals(u + shift[chain], off, before, trans)[0] * length)
+            low = mean < np.where(labels == 1, MOSTLY, 1 - MOSTLY)
+            lo, hi = np.where(low, shift, lo), np.where(low, hi, shift)
+        shift = np.where(np.where(labels == 1, lo == 0, hi == 0), 0, (lo + hi) / 2)
+        want, want_pair = _marginals(u + shift[chain], off, before, trans)
+        for _ in range(steps):
+            w, trans = theta[:-4], theta[-4:].reshape(2, 2)
+            good, pair = _marginals(x @ w, off, before, trans)
+            grad_t = ((want_pair - pair) * share[off[1] :, None, None]).sum(axis=0).ravel()
+            grad = np.concatenate([((want - good) * share) @ x, grad_t]) - ridge * theta
+            step += 1
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+            theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     model.weights, model.transitions = theta[:-4], theta[-4:].reshape(2, 2)
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = MAX_PER_LABEL, max_lines: int = MAX_LINES, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Learn from ``labels(doc_id, label)``, label 1 good, on at most
-    ``per_label`` documents of each label (least hash first) and ``max_lines``
-    evenly spread lines of each. Without both labels every line weighs the
+    ``per_label`` documents of each label (least hash first) and a block of
+    at most ``max_lines`` consecutive lines of each. Without both labels every line weighs the
     same and non-empty texts score 0.5."""
     prepare(docs.sparkSession)
     clean = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
@@ -168,11 +207,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = MAX_PER_LABEL, m
         for whole in batches:
             for b in slices(whole, "text"):
                 out = []
-                for text in b.column("text").to_pylist():
+                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     lines = [x for x in text.split("\n") if x.strip()]
                     f = with_neighbours(line_features(lines)) if lines else np.zeros((0, WIDTH))
                     if len(f) > max_lines:
-                        f = f[np.linspace(0, len(f) - 1, max_lines).astype(int)]
+                        at = zlib.crc32(str(doc).encode()) % (len(f) - max_lines + 1)
+                        f = f[at : at + max_lines]
                     out.append(f.astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "features"])
 
