@@ -32,7 +32,6 @@ from .wordhash import mix, slices
 
 #: Bounds of what is learned from.
 MAX_PER_LABEL = 3000
-MAX_TERMS = 1000
 #: log of how many candidates there may be over the chance to admit a false one.
 EVIDENCE = 14.5
 STEM = (4, 8)
@@ -43,7 +42,7 @@ MAX_CACHED = 300_000
 RADIUS = 8
 
 TOKEN = re.compile(r"[^\W_]+")
-_QUOTES = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]|^>.*$", re.M)
+_QUOTES = re.compile(r"\"[^\"\n]+\"|“[^”\n]+”|«[^»\n]+»|„[^“”\n]+[“”]|^>.*$", re.M)
 #: Words that report or mention rather than abuse; words that address.
 REPORTING = frozenset("said says wrote called quote quoted quotes word words term phrase meaning definition dictionary".split())
 ADDRESS = frozenset("you your yours youre du dich dein ihr tu te toi vous usted ustedes".split())
@@ -197,7 +196,7 @@ class Scanner(dict):
         if not found:
             return []
         places = [m.start() for m in TOKEN.finditer(low)]
-        quoted = [m.span() for m in _QUOTES.finditer(low)] if len(low) == len(text) else []
+        quoted = [m.span() for m in _QUOTES.finditer(low)]
         at = [i for i, _ in found]
         out = []
         for i, (term, edits) in found:
@@ -236,7 +235,7 @@ def _family(words: set[str]) -> tuple:
     coded = np.array([zlib.crc32(w.encode()) for w in words], np.uint64)
     if not len(coded):
         return ()
-    return tuple(int(mix(coded + np.uint64(k << 32)).min()) for k in range(1, 7))
+    return tuple(int(mix(coded + np.uint64(k << 32)).min() >> np.uint64(1)) for k in range(1, 7))
 
 
 def _choose(rows: list[tuple[str, bool, list[int], int]], weight: np.ndarray, base: float) -> list[tuple[str, bool]]:
@@ -259,8 +258,6 @@ def _choose(rows: list[tuple[str, bool, list[int], int]], weight: np.ndarray, ba
     stems: set[str] = set()
     for i in order:
         text, is_stem, docs, _ = rows[i]
-        if len(chosen) >= MAX_TERMS:
-            break
         if any(text[:k] in stems for k in range(1, len(text) + 1)):
             continue
         own = set(docs)
@@ -298,12 +295,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = MAX_PER_LABEL, i
                             at[0] += 1
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in tally]), pa.array([s for _, s in tally], pa.bool_()), pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.list_(pa.int64())), pa.array([v[2] for v in tally.values()], pa.float64())], ["term", "stem", "clean", "toxic", "support"])
 
-    toxic_docs = texts.where("label = 1").select("doc_id", "text").collect()  # bounded by per_label
+    def family(batches):
+        for whole in batches:
+            for b in slices(whole, "text"):
+                found = [list(_family(set(TOKEN.findall(t.lower())))) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "family"])
+
+    toxic_docs = texts.where("label = 1").select("doc_id", "text").mapInArrow(family, "doc_id long, family array<long>").collect()  # six numbers each of at most per_label
     n_clean = texts.where("label = 0").count()
     if not toxic_docs or not n_clean:
         return ToxicityModel()
     index = {r.doc_id: i for i, r in enumerate(toxic_docs)}
-    families = [_family(set(TOKEN.findall(r.text.lower()))) for r in toxic_docs]
+    families = [tuple(r.family) for r in toxic_docs]
     size = Counter(families)
     weight = np.array([1 / size[f] for f in families])
     votes = {doc: float(weight[i]) for doc, i in index.items()}  # at most per_label
