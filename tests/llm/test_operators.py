@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trajecta.llm import ann, bpe, licenses, near_dedup, order_minhash, packing, quality, queries, substring_dedup, toxicity, url_filter
+from trajecta.llm import ann, bpe, components, licenses, near_dedup, order_minhash, packing, quality, queries, substring_dedup, toxicity, url_filter
 from trajecta.llm.common import crc_bucket
 
 from ..compare import connect, differences
@@ -467,3 +467,30 @@ def test_urls(spark):
     assert got[1] == ("a.example.com", "/en/7x", "example.com/en/7", "allow") and got[2][:3] == ("", "", None) and got[3][:2] == ("", "")
     assert got[4][:2] == ("h", "") and got[5] == ("b.net", "/de/8", "net/de/", "allow") and got[None][2:] == ("example.net/de/8", "block") and got[7][3] == "block"
     assert url_filter.judge_urls(pages.limit(0), outcomes).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["paths", "cycles", "stars", "random", "ties"])
+def test_components(spark, monkeypatch, shape):
+    rng = random.Random(shape)
+    links = {
+        "paths": [(i, i + 1) for i in range(120)] + [(i + 1, i) for i in range(500, 560)],
+        "cycles": [(i, (i + 1) % 40) for i in range(40)] + [(100, 100), (101, None)],
+        "stars": [(900, i) for i in range(80)] + [(901, i) for i in range(60, 140)],
+        "random": [(rng.randrange(300), rng.randrange(300)) for _ in range(220)],
+        "ties": [(1, 2), (2, 1), (1, 2), (3, 4)],
+    }[shape]
+    rng.shuffle(links)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    monkeypatch.setattr(components, "CHUNK", 7)
+    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted((x, find(x)) for x in root)

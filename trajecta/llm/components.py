@@ -1,42 +1,90 @@
-"""Connected components of a link table, wholly in joins and aggregates."""
+"""Connected components of a link table, in joins and aggregates."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Pointer jumps per round; each halves the depth of the pointer trees.
-JUMPS = 2
+#: Links that a task contracts at once.
+CHUNK = 1 << 20
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node reachable over these links) for all nodes but the
+    least ones: labels fall along links and pointers until nothing changes."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        old = label.copy()
+        # the links' ends hand each other's label to their own labels' nodes
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, old[a], low)
+        np.minimum.at(label, old[b], low)
+        while (label != label[label]).any():
+            label = label[label]
+        if (label == old).all():
+            break
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[other], nodes[label[other]]
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links of one partition as stars around the least nodes, ``a`` the
+    centre. Components that lie in one partition are done with that."""
+
+    def scan(batches):
+        held, size = [], 0
+
+        def flush():
+            node, root = _stars(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(node, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")))
+            size += batch.num_rows
+            if size >= CHUNK:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    return links.mapInArrow(scan, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` -> ``(node, component)``, component the least node.
 
-    Every round lets each node point to its least neighbour, shortens the
-    pointers and contracts the links, until no link joins two labels. A round
-    at least halves the labels that still have links. Nodes without links do
-    not appear. An empty table gives an empty result.
+    Every round contracts the links inside partitions, lets each node point to
+    its least centre, shortens the pointers once and keeps the links that join
+    two labels, until none does. Nodes without links do not appear; null ends
+    and loops are ignored; repeated links count once. An empty table gives an
+    empty result.
     """
-    left = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    left = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     labels = None
-    while not left.isEmpty():
-        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
-        to = to.select("node", F.least("node", "to").alias("to"))
-        for _ in range(JUMPS):
-            up = to.select(F.col("node").alias("to"), F.col("to").alias("up"))
-            to = to.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("to"))
-        to = cut(to)
+    while True:
+        stars = cut(_contracted(left))
+        if stars.isEmpty():
+            break
+        to = stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
+        up = to.select(F.col("node").alias("to"), F.col("to").alias("up"))
+        to = cut(to.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("to")))
+        # centres that are no other's member stand for themselves
         if labels is None:
-            labels = to.select("node", F.col("to").alias("component"))
+            own = stars.select(F.col("a").alias("node")).distinct().join(to, "node", "left_anti")
+            labels = to.unionByName(own.select("node", F.col("node").alias("to"))).withColumnRenamed("to", "component")
         else:
-            step = to.select(F.col("node").alias("component"), "to")
+            step = to.withColumnRenamed("node", "component")
             labels = cut(labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
         a = to.select(F.col("node").alias("a"), F.col("to").alias("x"))
         b = to.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        left = cut(left.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        ends = stars.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+        left = ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     if labels is None:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels
