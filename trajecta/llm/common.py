@@ -74,6 +74,22 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: At most so many keys of a join count as hot, whatever the input.
+HOT_KEYS = 1000
+
+
+def join_by_size(rows: DataFrame, table: DataFrame, keys: list[str], size: str, total: int, *, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, one row a key, whose column ``size``
+    counts the key's rows. A key with more than a HOT_KEYS-th of ``total`` rows
+    would meet in one task: these keys, at most HOT_KEYS, are broadcast; all
+    others are joined as usual. ``how`` is inner or left."""
+    most = F.lit(max(1000, total // HOT_KEYS))
+    hot = F.broadcast(table.where(F.col(size) > most))
+    others = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(size) <= most), keys, how)
+    met = rows.join(hot, keys)
+    return met.select(*others.columns).unionByName(others)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

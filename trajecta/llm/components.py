@@ -1,4 +1,4 @@
-"""Connected components of a link table, in joins and aggregates."""
+"""Connected components of a link table, in one shuffle a round."""
 
 from __future__ import annotations
 
@@ -33,25 +33,43 @@ def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-def _contracted(links: DataFrame) -> DataFrame:
-    """Links of one partition as stars around the least nodes, ``a`` the
-    centre. Components that lie in one partition are done with that."""
+def _round(links: DataFrame) -> DataFrame:
+    """One round over ``links(key, a, b)``, sorted by key in every partition:
+    links as stars around least nodes, ``a`` the centre, and a row of nulls if
+    a key had two centres or was a centre and a member. A chunk hands the link
+    of its last key to the next one."""
 
     def scan(batches):
         held, size = [], 0
 
-        def flush():
-            node, root = _stars(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
-            return pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(node, pa.int64())], ["a", "b"])
+        def flush(held):
+            key, a, b = (np.concatenate([h[k] for h in held]) for k in range(3))
+            node, root = _stars(a, b)
+            _, place = np.unique(key, return_inverse=True)
+            own = b == key
+            least, most = np.full(place.max() + 1, np.iinfo(np.int64).max), np.full(place.max() + 1, np.iinfo(np.int64).min)
+            np.minimum.at(least, place[own], a[own])
+            np.maximum.at(most, place[own], a[own])
+            mixed = np.bincount(place, own) * np.bincount(place, ~own) > 0
+            if (most > least).any() or mixed.any():
+                node, root = np.append(node, 0), np.append(root, 0)
+                gap = np.arange(len(node)) == len(node) - 1
+            else:
+                gap = np.zeros(len(node), bool)
+            at = np.searchsorted(node[: len(node) - gap.sum()], key[-1])
+            more = [(key[-1:], root[at : at + 1], key[-1:])] if at < len(node) - gap.sum() and node[at] == key[-1] else []
+            return pa.RecordBatch.from_arrays([pa.array(root, pa.int64(), mask=gap), pa.array(node, pa.int64(), mask=gap)], ["a", "b"]), more
 
         for batch in batches:
-            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")))
-            size += batch.num_rows
+            if batch.num_rows:
+                held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "a", "b")))
+                size += batch.num_rows
             if size >= CHUNK:
-                yield flush()
-                held, size = [], 0
+                out, held = flush(held)
+                size = 0
+                yield out
         if size:
-            yield flush()
+            yield flush(held)[0]
 
     return links.mapInArrow(scan, "a long, b long")
 
@@ -59,32 +77,19 @@ def _contracted(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` -> ``(node, component)``, component the least node.
 
-    Every round contracts the links inside partitions, lets each node point to
-    its least centre, shortens the pointers once and keeps the links that join
-    two labels, until none does. Nodes without links do not appear; null ends
-    and loops are ignored; repeated links count once. An empty table gives an
-    empty result.
+    A round sends every link to the partitions of both its ends, where links
+    are contracted to stars, until every node has one centre only: one shuffle
+    a round. Nodes without links do not appear; null ends and loops are
+    ignored; repeated links count once. An empty table gives an empty result.
     """
-    left = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    labels = None
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+    # links are contracted where they are before they travel
+    left = _round(ends.select(F.col("b").alias("key"), "a", "b")).where("a IS NOT NULL")
     while True:
-        stars = cut(_contracted(left))
-        if stars.isEmpty():
+        both = left.select(F.explode(F.array("a", "b")).alias("key"), "a", "b").repartition("key").sortWithinPartitions("key")
+        left = cut(_round(both))
+        done = left.where("a IS NULL").isEmpty()
+        left = left.where("a IS NOT NULL")
+        if done:
             break
-        to = stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
-        up = to.select(F.col("node").alias("to"), F.col("to").alias("up"))
-        to = cut(to.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("to")))
-        # centres that are no other's member stand for themselves
-        if labels is None:
-            own = stars.select(F.col("a").alias("node")).distinct().join(to, "node", "left_anti")
-            labels = to.unionByName(own.select("node", F.col("node").alias("to"))).withColumnRenamed("to", "component")
-        else:
-            step = to.withColumnRenamed("node", "component")
-            labels = cut(labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-        a = to.select(F.col("node").alias("a"), F.col("to").alias("x"))
-        b = to.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        ends = stars.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
-        left = ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    if labels is None:
-        return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels
+    return left.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(left.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()

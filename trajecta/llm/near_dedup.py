@@ -12,11 +12,11 @@ Plan (n documents, all steps linear in n):
 3. Candidate groups are confirmed on full shingle sets: first the groups of
    ``FIRST_TREES`` trees, then from the other trees only groups that join
    different components. Only a spanning set of links leaves a group.
-4. In a region of more than ``LEAF`` rows all rows first meet its hub, the row
-   whose keys most others repeat; step 3 reads it in overlapping runs of the
-   sorted order. Then every two of its rows that are still in different
-   components meet in a pair of blocks (``block_groups``). Rows of its largest
-   component do not meet each other, so a family that is linked costs one pass.
+4. In a region of more than ``LEAF`` rows all rows meet its hub, the row whose
+   keys most others repeat, in step 3. Then every two of its rows that are
+   still in different components meet in a pair of blocks (``block_groups``).
+   Rows of its largest component do not meet each other, so a family that is
+   linked costs one pass.
 5. Components of the links by contraction (``components``).
 
 A pair at the threshold shares a prefix in at least one tree with probability
@@ -27,11 +27,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import cut, fresh, prepare, width
+from .common import cut, fresh, join_by_size, prepare, width
 from .components import components
 from .wordhash import Batch, mix, slices, span_sums, windows
 
@@ -42,8 +42,6 @@ LEAF = 512
 #: Rows of a block of an overfull region whose sketches are compared in one task.
 WIDE = 1024
 FIRST_TREES = 2
-#: At most so many sets count as hot, whatever the input.
-HOT_SETS = 1000
 HASHES = TREES * DEPTH
 _MULT = (np.random.default_rng(20240501).integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _SHORT = 0xA24BAED4963EE407
@@ -184,81 +182,59 @@ def _clusters(sketch: np.ndarray, least: float) -> list[np.ndarray]:
 
 
 def candidate_groups(tree_rows: DataFrame, *, threshold: int) -> DataFrame:
-    """(tree, gid, member): groups that may hold pairs at the threshold; a
-    group's id is a hash of its members, so trees that agree repeat it.
-    ``tree_rows`` carry ``size``, the rows of their region. Regions up to
-    ``LEAF`` are read whole; of larger ones only near rows of the sorted order
-    meet here."""
+    """(tree, gid, member): groups that may hold pairs at the threshold, from
+    regions of at most ``LEAF`` rows; a group's id is a hash of its members, so
+    trees that agree repeat it."""
     least = _least(threshold)
-    schema = "tree int, gid long, member long"
     n = width(tree_rows.sparkSession)
-    full = tree_rows.where(F.col("size") <= LEAF).repartition(n, "tree", "prefix").sortWithinPartitions("tree", "key", "rep")
-    over = tree_rows.where(F.col("size") > LEAF).repartitionByRange(n, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-
-    def emit(tree, ids, sketch):
-        for found in _clusters(sketch, least):
-            members = ids[found]
-            gid = int(mix(members.view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
-            yield tree, gid, members
-
-    def region(tree, keys, ids, sketch):
-        """Runs of one tree's rows that share MIN_DEPTH values."""
-        prefix = keys[:, :MIN_DEPTH]
-        change = np.flatnonzero((prefix[1:] != prefix[:-1]).any(axis=1)) + 1
-        for lo, hi in zip([0, *change], [*change, len(ids)], strict=True):
-            if hi - lo < 2:
-                continue
-            if hi - lo <= LEAF:
-                yield from emit(tree, ids[lo:hi], sketch[lo:hi])
-                continue
-            for at in range(lo, hi - LEAF // 2, LEAF // 2):
-                run = np.arange(at, min(at + LEAF, hi))
-                if at > lo:
-                    run = np.concatenate(([lo], run))
-                yield from emit(tree, ids[run], sketch[run])
-
-    def flush(tree, rows):
-        keys = np.frombuffer(b"".join(k for k, _, _ in rows), ">u4").reshape(len(rows), DEPTH)
-        ids = np.array([i for _, i, _ in rows], np.int64)
-        sketch = np.frombuffer(b"".join(s for _, _, s in rows), np.uint8).reshape(len(rows), -1)
-        found = list(region(tree, keys, ids, sketch))
-        if found:
-            sizes = [len(m) for _, _, m in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([t for t, _, _ in found], sizes), pa.int32()), pa.array(np.repeat(np.array([g for _, g, _ in found], np.int64), sizes)), pa.array(np.concatenate([m for _, _, m in found]))], ["tree", "gid", "member"])
+    dealt = tree_rows.where(F.col("size") <= LEAF).repartition(n, "tree", "prefix").sortWithinPartitions("tree", "prefix", "rep")
+
+    def flush(rows):
+        ids = np.array([i for _, _, i, _ in rows], np.int64)
+        sketch = np.frombuffer(b"".join(s for *_, s in rows), np.uint8).reshape(len(rows), -1)
+        bounds = [i for i in range(len(rows)) if not i or rows[i][:2] != rows[i - 1][:2]] + [len(rows)]
+        trees, gids, members = [], [], []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            for found in _clusters(sketch[lo:hi], least) if hi - lo > 1 else ():
+                group = ids[lo:hi][found]
+                trees.append(np.full(len(group), rows[lo][0], np.int32))
+                gids.append(np.full(len(group), mix(group.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)))
+                members.append(group)
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (trees, gids, members)], ["tree", "gid", "member"])
 
     def scan(batches):
-        # rows arrive sorted; a region is closed when its prefix changes, and
-        # a long one is handed on in overlapping pieces, so memory is bounded
-        tree, rows, cut_at = None, [], 64 * LEAF
+        # rows arrive sorted; what is held ends with a whole region
+        rows = []
         for b in batches:
-            for t, k, i, s in zip(b.column("tree").to_pylist(), b.column("key").to_pylist(), b.column("rep").to_pylist(), b.column("sketch").to_pylist(), strict=True):
-                if rows and (t != tree or len(rows) >= cut_at):
-                    same = t == tree and k[: 4 * MIN_DEPTH] == rows[-1][0][: 4 * MIN_DEPTH]
-                    if t != tree or not same or len(rows) >= 2 * cut_at:
-                        yield from flush(tree, rows)
-                        rows = [rows[0], *rows[-(LEAF // 2) :]] if same else []
-                tree = t
-                rows.append((k, i, s))
+            for row in zip(*(b.column(c).to_pylist() for c in ("tree", "prefix", "rep", "sketch")), strict=True):
+                if len(rows) >= 16 * LEAF and row[:2] != rows[-1][:2]:
+                    yield from flush(rows)
+                    rows = []
+                rows.append(row)
         if rows:
-            yield from flush(tree, rows)
+            yield from flush(rows)
 
-    return full.mapInArrow(scan, schema).unionByName(over.mapInArrow(scan, schema))
+    return dealt.mapInArrow(scan, "tree int, gid long, member long")
 
 
-def hub_groups(hot: DataFrame) -> DataFrame:
+def hub_groups(hot: DataFrame, total: int) -> DataFrame:
     """(gid, member, lead): every row of the overfull regions beside its
     region's hub, the lead. The text that many others were made from repeats the most keys."""
+    place = ["tree", "prefix"]
     same = hot.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"))
-    score = hot.join(same, ["tree", "key"]).groupBy("rep").agg(F.sum("n").alias("score"))
-    hub = hot.join(score, "rep").groupBy("tree", "prefix").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub"))
-    pairs = cut(hot.join(hub, ["tree", "prefix"]).select("hub", "rep").distinct())
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("parts"))
-    parts = pairs.join(parts, "hub").withColumn("gid", F.xxhash64("hub", F.pmod(F.xxhash64("rep"), "parts"), F.lit("hub")))
-    each = parts.select("gid", "hub", F.explode(F.array("hub", "rep")).alias("member"))
-    return each.select("gid", "member", F.expr("member = hub").alias("lead")).distinct()
-
-
-def block_groups(hot: DataFrame, label: DataFrame, *, threshold: int) -> DataFrame:
+    scored = join_by_size(hot.select(*place, "key", "rep", "size"), same, ["tree", "key"], "n", total)
+    scored = cut(scored.withColumn("score", F.sum("n").over(Window.partitionBy("rep"))).select(*place, "rep", "size", "score"))
+    hub = scored.groupBy(*place).agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub"), F.count(F.lit(1)).alias("all"))
+    pairs = join_by_size(scored, hub, place, "all", total)
+    pairs = cut(pairs.groupBy("hub", "rep").agg(F.max("size").alias("size")).where("hub <> rep"))
+    parts = F.ceil(F.col("size") / LEAF)
+    pairs = pairs.withColumn("gid", F.xxhash64("hub", parts, F.pmod(F.xxhash64("rep"), parts)))
+    leads = pairs.select("gid", F.col("hub").alias("member"), F.lit(True).alias("lead")).distinct()
+    return leads.unionByName(pairs.select("gid", F.col("rep").alias("member"), F.lit(False).alias("lead")))
+
+
+def block_groups(hot: DataFrame, label: DataFrame, total: int, *, threshold: int) -> DataFrame:
     """(gid, member, known): groups that hold, for every two rows of an overfull
     region in different components of ``label(node, component)`` whose
     sketches agree, both of them.
@@ -271,8 +247,8 @@ def block_groups(hot: DataFrame, label: DataFrame, *, threshold: int) -> DataFra
     h = cut(h.select(*place, "rep", "sketch", F.coalesce("component", "rep").alias("known")))
     per = h.groupBy(*place, "known").agg(F.count(F.lit(1)).alias("n"))
     top = per.groupBy(*place).agg(F.max_by("known", F.struct("n", "known")).alias("top"), F.max("n").alias("inner"), F.sum("n").alias("all"))
-    top = top.where("all > inner").select(*place, "top", F.ceil(F.col("inner") / WIDE).alias("inside"), F.ceil((F.col("all") - F.col("inner")) / WIDE).alias("outside"))
-    h = h.join(top, place).withColumn("is_in", F.expr("known = top"))
+    top = top.where("all > inner").select(*place, "top", "all", F.ceil(F.col("inner") / WIDE).alias("inside"), F.ceil((F.col("all") - F.col("inner")) / WIDE).alias("outside"))
+    h = join_by_size(h, top, place, "all", total).withColumn("is_in", F.expr("known = top"))
     h = h.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("is_in"), F.col("inside")).otherwise(F.col("outside"))))
     # (kind, i, j, second): kind 1 has an inner block j; second tells the side
     meets = F.expr("""explode(if(is_in,
@@ -382,53 +358,49 @@ def _judged(docs: DataFrame, *, words: int, threshold: int, id_col: str, text_co
     prepare(docs.sparkSession)
     base = cut(signatures(docs, words=words, id_col=id_col, text_col=text_col))
     some = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = some.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["set_hi", "set_lo", "doc_id"]).dropDuplicates(["node"])
-    rows = cut(_tree_rows(reps))
-    sizes = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = cut(rows.join(sizes, ["tree", "prefix"]))
+    rows = _tree_rows(classes)
+    classes = classes.drop("sig")
+    sizes = cut(rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    total = TREES * classes.count()
+    rows = cut(join_by_size(rows, sizes, ["tree", "prefix"], "size", total))
     found = cut(candidate_groups(rows, threshold=threshold))
-    hot = rows.where(F.col("size") > LEAF).drop("size")
+    hot = rows.where(F.col("size") > LEAF)
     how = {"words": words, "threshold": threshold, "id_col": id_col, "text_col": text_col}
-
-    def labelled(groups: DataFrame) -> DataFrame:
-        """``groups`` that still join different components, with ``known``."""
-        own = groups.join(label.select(F.col("node").alias("member"), "component"), "member", "left")
-        own = cut(own.withColumn("known", F.coalesce("component", "member")).drop("component"))
-        some = own.groupBy("gid").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi").select("gid")
-        return own.join(some, "gid", "left_semi")
-
     overfull = not hot.isEmpty()
-    trees = (F.col("tree") < FIRST_TREES, F.col("tree") >= FIRST_TREES)
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    if overfull:
-        hubs = hub_groups(hot)
-        links = cut(_confirm(docs, hubs.withColumn("known", F.col("member")), classes, **how))
-    label = components(links)
-    for part in trees:
-        groups = labelled(found.where(part).select("gid", "member").distinct())
-        links = cut(links.unionByName(_confirm(docs, groups, classes, **how)))
-        label = components(links)
-    for part in trees if overfull else ():
-        met = cut(block_groups(hot.where(part), label, threshold=threshold))
-        if not met.isEmpty():
-            links = cut(links.unionByName(_confirm(docs, met, classes, **how)))
-            label = components(links)
+
+    # first trees and hubs
+    part = found.where(F.col("tree") < FIRST_TREES).select("gid", "member").distinct().withColumn("lead", F.lit(False))
+    part = cut(part.unionByName(hub_groups(hot, total)) if overfull else part)
+    links = cut(_confirm(docs, part.withColumn("known", F.col("member")), classes, **how))
+    label = cut(components(links))
+
+    # other trees' groups, where they join different components
+    own = found.where(F.col("tree") >= FIRST_TREES).select("gid", "member").distinct()
+    own = own.join(label.select(F.col("node").alias("member"), F.col("component").alias("known")), "member", "left").withColumn("known", F.coalesce("known", "member"))
+    whole = Window.partitionBy("gid")
+    own = cut(own.withColumns({"lo": F.min("known").over(whole), "hi": F.max("known").over(whole)}).where("lo <> hi").drop("lo", "hi"))
+    if not own.isEmpty():
+        links = cut(links.unionByName(_confirm(docs, own, classes, **how)))
+        label = cut(components(links))
+
+    # every pair of overfull regions that is still apart
+    met = cut(block_groups(hot, label, total, threshold=threshold)) if overfull else None
+    if met is not None and not met.isEmpty():
+        links = cut(links.unionByName(_confirm(docs, met, classes, **how)))
+        label = cut(components(links))
 
     # a component's id is its least document; classes of one row, in no
     # component, need no join
     placed = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.where("component <> node OR copies > 1").select("component").distinct().join(placed, "component").groupBy("component").agg(F.min("rep").alias("least"))
     placed = cut(placed.join(least, "component").select("set_hi", "set_lo", "copies", F.col("least").alias("component_id")))
-    many = base.count() // HOT_SETS
-    hot = F.broadcast(placed.where(F.col("copies") > F.lit(max(1000, many))).drop("copies"))  # HOT_SETS rows at most
-    keys, result = ["set_hi", "set_lo"], ["doc_id", "row_key", "n_shingles"]
+    result = ["doc_id", "row_key", "n_shingles"]
     alone = base.where("n_shingles = 0 OR doc_id IS NULL").select(*result, F.col("doc_id").alias("component_id"))
-    of_hot = some.join(hot, keys).select(*result, "component_id")
-    others = some.join(hot, keys, "left_anti").join(placed.where(F.col("copies") <= F.lit(max(1000, many))), keys, "left")
+    others = join_by_size(some, placed, ["set_hi", "set_lo"], "copies", base.count(), how="left")
     others = others.select(*result, F.coalesce("component_id", "doc_id").alias("component_id"))
-    joined = alone.unionByName(of_hot).unionByName(others)
+    joined = alone.unionByName(others)
     return joined.select(*result, "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 

@@ -31,13 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import cut, fresh, prepare
+from .common import cut, fresh, join_by_size, prepare
 from .wordhash import LANES, Batch, mix, slices, span_sums
 
 BLOCK = 1 << 20  # windows
 BLOCK_DOCS = 1 << 15
-#: At most so many word sequences count as hot copies, whatever the input.
-HOT_COPIES = 1000
 PLACE_BITS = 22
 SHARD = 1 << 21  # windows, about
 EXACT_SHARD = 1 << 20
@@ -269,20 +267,12 @@ def _first_places(estimated: DataFrame, window: int, shard_bits: int) -> DataFra
 
 
 def _with_copies(rows: DataFrame, window: int) -> DataFrame:
-    """Adds ``copy``: a smaller id has the same words. Only texts with copies
-    are joined; the at most HOT_COPIES sequences with a large share of all
-    rows meet theirs by broadcast."""
+    """Adds ``copy``: a smaller id has the same words."""
     long_ = rows.where(F.col("n_words") >= window)
     copies = cut(long_.groupBy("sha").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "least", "n"))
-    most = max(1000, rows.count() // HOT_COPIES)
-    hot = F.broadcast(copies.where(F.col("n") > most).drop("n"))
     copy = F.coalesce(F.col("id") > F.col("least"), F.lit(False)).alias("copy")
-    parts = [
-        rows.where(F.col("n_words") < window).select(*rows.columns, F.lit(False).alias("copy")),
-        long_.join(hot, "sha").select(*rows.columns, copy),
-        long_.join(hot, "sha", "left_anti").join(copies.where(F.col("n") <= most).drop("n"), "sha", "left").select(*rows.columns, copy),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    short = rows.where(F.col("n_words") < window).select(*rows.columns, F.lit(False).alias("copy"))
+    return short.unionByName(join_by_size(long_, copies, ["sha"], "n", rows.count(), how="left").select(*rows.columns, copy))
 
 
 def repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
