@@ -187,6 +187,11 @@ def test_importers(spark, tmp_path):
     (tmp_path / "d.xml").write_text('<sequence><frame num="1"><target_list><target id="4"><box left="1" top="2" width="3" height="4"/><attribute vehicle_type="others"/></target></target_list></frame></sequence>')
     d = im.detrac(spark, str(tmp_path / "d.xml")).first()
     assert (d.gt_id, d.frame_no, d["class"], d.x2, d.y2) == ("gt_4", 0, "car", 4.0, 6.0)
+    body = "".join(f'<target id="{i}"><box left="0" top="0" width="1" height="1"/>{a}</target>' for i, a in enumerate(['<attribute vehicle_type="Van"/>', '<attribute vehicle_type="truck"/>', '<attribute vehicle_type="hovercraft"/>', ""]))
+    (tmp_path / "e.xml").write_text(f'<sequence><frame num="1"><target_list>{body}</target_list></frame></sequence>')
+    assert [(r["class"], r.vehicle_type) for r in im.detrac(spark, str(tmp_path / "e.xml")).orderBy("gt_id").collect()] == [("car", "van"), ("truck", "truck"), ("car", None), ("car", None)]
+    (tmp_path / "classes.txt").write_text("".join(f"1,{c},0,0,1,1,1,{c},1\n" for c in range(1, 8)))
+    assert [r["class"] for r in im.mot(spark, str(tmp_path / "classes.txt")).orderBy("gt_id").collect()] == ["person", None, "car", "car", "truck", "bus", None]
     (tmp_path / "r.yaml").write_text("lines:\n- {id: a, points: [[0, 0], [1, 1]]}\nregions:\n- {id: b, points: [[0, 0], [1, 1], [1, 0]]}\n")
     assert im.regions(spark, str(tmp_path / "r.yaml")).count() == 2
 
@@ -210,3 +215,24 @@ def test_spread_and_empty_tables(spark):
     assert one(spark, a=tr.spread(F.lit(9), 5), b=tr.spread(F.lit(2), 5), c=tr.spread(F.lit(0), 5)) == ([0, 2, 4, 6, 8], [0, 1], [])
     empty = traj(spark, [])
     assert ev.stops(empty).count() == 0 and ev.thin(ev.candidate_windows(empty, lambda a, b: F.lit(True), 1, 2, 0)).count() == 0
+
+
+def test_global_ids_of_several_videos(spark):
+    tracks = spark.createDataFrame([(v, 0 if t == "x" else 1, t, float(i)) for v in ("v", "w") for i, t in enumerate(("x", "y"))], "video_id string, clip_no int, track string, t_first double")
+    links = spark.createDataFrame([("v", 0, "x", "y", 1.0)], "video_id string, clip_no int, a string, b string, score double")
+    got = {(r.video_id, r.track): r.global_id for r in ln.global_ids(tracks, links).collect()}
+    assert got[("v", "x")] == got[("v", "y")] and got[("w", "x")] != got[("w", "y")]
+
+
+def test_link_clips_in_order_of_clips(spark):
+    """At distance 2, clip 0 takes from clip 2 before clip 1 may."""
+    rows = [("v", 0, 2, "a", "c", 0.5), ("v", 1, 2, "b", "c", 0.9), ("w", 1, 2, "b", "c", 0.9), ("w", 0, 1, "a", "b", 0.4), ("w", 0, 2, "a", "d", 0.9)]
+    pairs = spark.createDataFrame([(*r, None) for r in rows], "video_id string, clip_no int, b_clip_no int, a string, b string, score double, failed_gate string")
+    got = {(r.video_id, r.a, r.b) for r in ln.link_clips(pairs, 2).collect()}
+    assert got == {("v", "a", "c"), ("w", "a", "b"), ("w", "b", "c")}
+
+
+def test_greedy_takes_all_of_a_chain(spark):
+    links = [("s", f"a{i:03}", f"b{i + k:03}", 1.0 - (2 * i + k) / 1000) for i in range(80) for k in (0, 1)]
+    got = ma.greedy(spark.createDataFrame(links, "scope string, a string, b string, score double"), ["scope"]).where("accepted").collect()
+    assert len(got) == 80

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Events
-from ..functions.geometry import clip01, in_polygon, segments_cross
+from ..functions.geometry import along, clip01, in_polygon, segments_cross, turn
 
 
 def stops(traj: DataFrame, cfg: Events = Events(), *, key: str = "obj") -> DataFrame:
@@ -60,6 +60,54 @@ def thin(candidates: DataFrame, *, key: str = "obj") -> DataFrame:
     return candidates.select(key, "i", "j").groupBy(key).applyInPandas(choose, schema)
 
 
+def _spans(traj: DataFrame, windows: DataFrame, key: str) -> DataFrame:
+    """Windows (key, i, j) with both ends' samples as a_* and b_*."""
+    cols = ["t", "x", "y", "heading"]
+    a, b = (traj.select(key, F.col("pos").alias(p), *[F.col(c).alias(f"{s}_{c}") for c in cols]) for s, p in (("a", "i"), ("b", "j")))
+    return windows.join(a, [key, "i"]).join(b, [key, "j"])
+
+
+def turns(traj: DataFrame, cfg: Events = Events(), *, key: str = "obj") -> DataFrame:
+    """TURN: (key, i, j, start_t, end_t, confidence), the heading changed by
+    ``turn_degrees`` or more; twice that is certain."""
+    found = candidate_windows(traj, lambda a, b: F.abs(turn(a["heading"], b["heading"])) >= cfg.turn_degrees, *cfg.turn_window, cfg.moving_speed, key=key)
+    spans = _spans(traj, thin(found, key=key), key)
+    confidence = clip01(F.abs(turn(F.col("a_heading"), F.col("b_heading"))) / (2 * cfg.turn_degrees))
+    return spans.select(key, "i", "j", F.col("a_t").alias("start_t"), F.col("b_t").alias("end_t"), confidence.alias("confidence"))
+
+
+def lane_changes(traj: DataFrame, cfg: Events = Events(), *, key: str = "obj") -> DataFrame:
+    """LANE_CHANGE: (key, i, j, start_t, end_t, lateral, confidence). Onward
+    along the first heading and ``lane_pixels`` or more to its side, while the
+    heading changes by less than ``lane_degrees``."""
+
+    def moved(a, b):
+        return along(b["x"] - a["x"], b["y"] - a["y"], a["heading"])
+
+    def test(a, b):
+        onward, lateral = moved(a, b)
+        return (F.abs(turn(a["heading"], b["heading"])) < cfg.lane_degrees) & (onward > 0) & (lateral >= cfg.lane_pixels)
+
+    found = candidate_windows(traj, test, *cfg.lane_window, cfg.moving_speed, key=key)
+    spans = _spans(traj, thin(found, key=key), key)
+    lateral = moved(*({c: F.col(f"{s}_{c}") for c in ("x", "y", "heading")} for s in ("a", "b")))[1]
+    return spans.select(key, "i", "j", F.col("a_t").alias("start_t"), F.col("b_t").alias("end_t"), lateral.alias("lateral"), clip01(lateral / (2 * cfg.lane_pixels)).alias("confidence"))
+
+
+def event_log(traj: DataFrame, regions: DataFrame | None = None, cfg: Events = Events(), *, key: str = "obj") -> DataFrame:
+    """All events of single objects as one table: (key, type, start_t, end_t,
+    confidence, region_id). Overtakes, which have two objects, come apart."""
+    none = F.lit(None).cast("string").alias("region_id")
+    columns = [key, "type", "start_t", "end_t", "confidence"]
+    log = stops(traj, cfg, key=key).select(*columns, none)
+    for name, found in (("TURN", turns(traj, cfg, key=key)), ("LANE_CHANGE", lane_changes(traj, cfg, key=key))):
+        log = log.unionByName(found.withColumn("type", F.lit(name)).select(*columns, none))
+    if regions is not None:
+        crossed = crossings(traj, regions, key=key).withColumns({"type": F.lit("CROSSES"), "confidence": F.lit(1.0)})
+        log = log.unionByName(crossed.select(*columns, "region_id"))
+    return log
+
+
 def crossings(traj: DataFrame, regions: DataFrame, *, key: str = "obj") -> DataFrame:
     """CROSSES between consecutive samples. ``regions(region_id, points)``:
     two points are a line, more a polygon (then ``direction`` enter or exit).

@@ -5,13 +5,14 @@ Gates are a CASE chain: a failed pair carries the first gate that rejects it.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Association, Linking
 from ..functions.geometry import box, diagonal, iou, prediction_error
 from ..functions.vectors import cosine
-from .matching import assign, chains, greedy
+from .matching import assign, best_pairs, chains, greedy
 
 
 def _sides(tracks: DataFrame, columns: list[str], keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -78,24 +79,40 @@ def clip_pairs(tracks: DataFrame, cfg: Linking = Linking(), *, attributes: tuple
 
 
 def link_clips(pairs: DataFrame, distance: int = 1) -> DataFrame:
-    """Optimal assignment between clips. Adjacent clips do not disturb each
-    other and are solved in parallel; farther ones follow, without the ends
-    that nearer ones took."""
-    good, out = pairs.where("failed_gate IS NULL"), None
-    for d in range(1, distance + 1):
-        part = good.where(F.col("b_clip_no") - F.col("clip_no") == d)
-        if out is not None:
-            part = part.join(out.select("video_id", "a"), ["video_id", "a"], "left_anti").join(out.select("video_id", "b"), ["video_id", "b"], "left_anti")
-        won = assign(part, ["video_id", "clip_no"])
-        out = won if out is None else out.unionByName(won)
-    return out
+    """Optimal assignment between clips: (video_id, clip_no, a, b, score).
+
+    At distance 1 no pair of clips disturbs another and all are solved in
+    parallel. Beyond, a video's pairs of clips are solved in the order of the
+    first, then the second clip, each without the ends that earlier ones took,
+    in one task a video."""
+    good = pairs.where("failed_gate IS NULL")
+    if distance == 1:
+        return assign(good.where("b_clip_no - clip_no = 1"), ["video_id", "clip_no"])
+    kinds = dict(good.dtypes)
+    columns = ["video_id", "clip_no", "a", "b", "score"]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, left, right = [], set(), set()
+        for _, part in pdf.groupby(["clip_no", "b_clip_no"], sort=True):
+            part = part[~part["a"].isin(left) & ~part["b"].isin(right)]
+            if len(part):
+                won = best_pairs(part)
+                left.update(won["a"])
+                right.update(won["b"])
+                out.append(won)
+        return pd.concat(out)[columns] if out else pdf.iloc[:0][columns]
+
+    near = good.where((F.col("b_clip_no") - F.col("clip_no")).between(1, distance)).select(*columns, "b_clip_no")
+    return near.groupBy("video_id").applyInPandas(fold, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def global_ids(tracks: DataFrame, links: DataFrame) -> DataFrame:
     """(video_id, track, global_id): chains of links, numbered by their
-    earliest member (t_first, clip_no, track). Track ids are video-wide."""
-    head = chains(links.select("a", "b"))
-    member = tracks.join(head.select(F.col("node").alias("track"), "head"), "track", "left").withColumn("head", F.coalesce("head", "track"))
+    earliest member (t_first, clip_no, track). ``links(video_id, a, b)``; track
+    ids are unique in a video."""
+    ends = [F.struct("video_id", F.col(c).alias("track")).alias(c) for c in ("a", "b")]
+    head = chains(links.select(*ends)).select("node.video_id", "node.track", F.col("head.track").alias("head"))
+    member = tracks.join(head, ["video_id", "track"], "left").withColumn("head", F.coalesce("head", "track"))
     first = member.groupBy("video_id", "head").agg(F.min(F.struct("t_first", "clip_no", "track")).alias("k"))
     ids = first.withColumn("global_id", F.format_string("obj_%04d", F.row_number().over(Window.partitionBy("video_id").orderBy("k"))))
     return member.join(ids.drop("k"), ["video_id", "head"]).select("video_id", "track", "global_id")

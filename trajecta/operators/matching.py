@@ -78,6 +78,19 @@ def hungarian(score: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if flip else (a, b) for a, b in pairs)
 
 
+def best_pairs(pdf: pd.DataFrame, largest: int = 4096) -> pd.DataFrame:
+    """The rows (a, b, score) of one scope that the optimal assignment takes."""
+    pdf = pdf.sort_values(["a", "b"])
+    rows, cols = (pd.Index(sorted(pdf[c].unique())) for c in ("a", "b"))
+    if max(len(rows), len(cols)) > largest:
+        raise ValueError(f"a scope has {len(rows)} x {len(cols)} members")
+    score = np.full((len(rows), len(cols)), FORBIDDEN)
+    r, c = rows.get_indexer(pdf["a"]), cols.get_indexer(pdf["b"])
+    score[r, c] = pdf["score"].to_numpy()
+    chosen = {(i, j) for i, j in hungarian(score) if score[i, j] > FORBIDDEN / 2}
+    return pdf[[(i, j) in chosen for i, j in zip(r, c, strict=True)]]
+
+
 def assign(cells: DataFrame, scope: list[str], *, largest: int = 4096) -> DataFrame:
     """Optimal one-to-one assignment in every scope of ``cells(scope, a, b,
     score)``: most pairs first, then the largest total. Cells not listed are
@@ -88,15 +101,7 @@ def assign(cells: DataFrame, scope: list[str], *, largest: int = 4096) -> DataFr
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*scope, "a", "b", "score"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"])
-        rows, cols = (pd.Index(sorted(pdf[c].unique())) for c in ("a", "b"))
-        if max(len(rows), len(cols)) > largest:
-            raise ValueError(f"a scope has {len(rows)} x {len(cols)} members")
-        score = np.full((len(rows), len(cols)), FORBIDDEN)
-        r, c = rows.get_indexer(pdf["a"]), cols.get_indexer(pdf["b"])
-        score[r, c] = pdf["score"].to_numpy()
-        chosen = {(i, j) for i, j in hungarian(score) if score[i, j] > FORBIDDEN / 2}
-        return pdf[[(i, j) in chosen for i, j in zip(r, c, strict=True)]][[*scope, "a", "b", "score"]]
+        return best_pairs(pdf, largest)[[*scope, "a", "b", "score"]]
 
     return cells.select(*scope, "a", "b", "score").groupBy(*scope).applyInPandas(solve, schema)
 
@@ -113,5 +118,5 @@ def chains(links: DataFrame, *, rounds: int = 40) -> DataFrame:
         nxt = cut(up.join(far, "head").select("node", F.col("_head").alias("head"), (F.col("step") + F.col("_step")).alias("step"), (F.col("_step") > 0).alias("_moved")))
         up = nxt.drop("_moved")
         if nxt.where("_moved").isEmpty():
-            break
-    return up
+            return up
+    raise ValueError("links form a cycle")

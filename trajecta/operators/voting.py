@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Voting
@@ -14,20 +14,35 @@ def weigh(readings: DataFrame, cfg: Voting = Voting()) -> DataFrame:
     return readings.withColumn("weight", F.greatest(F.lit(cfg.floor), w))
 
 
+#: Weights are summed in whole billionths, so that no order of addition shows;
+#: shares are whole millionths until the end.
+UNIT, SHARE = 1_000_000_000, 1_000_000
+
+
+def _units(weight: Column) -> Column:
+    return F.round(weight * UNIT).cast("decimal(20,0)")
+
+
+def _millionths(part: str, whole: str) -> Column:
+    """part / whole in whole millionths, halves up."""
+    return F.expr(f"CAST((2 * {part} * {SHARE} + {whole}) DIV (2 * {whole}) AS BIGINT)")
+
+
 def shares(votes: DataFrame, keys: list[str]) -> DataFrame:
     """``votes(keys, value, weight)`` -> one row per value: n, weight, share
     (6 digits) and rank (heaviest first, ties by value)."""
-    by = votes.where("value IS NOT NULL").groupBy(*keys, "value").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
+    by = votes.where("value IS NOT NULL").groupBy(*keys, "value").agg(F.sum(_units(F.col("weight"))).alias("_w"), F.count(F.lit(1)).alias("n"))
     all_ = Window.partitionBy(*keys)
-    return by.withColumn("share", F.round(F.col("weight") / F.sum("weight").over(all_), 6)).withColumn("rank", F.row_number().over(all_.orderBy(F.desc(F.round("weight", 9)), "value")))
+    ranked = by.withColumns({"_all": F.sum("_w").over(all_), "rank": F.row_number().over(all_.orderBy(F.desc("_w"), "value"))})
+    return ranked.withColumns({"weight": F.col("_w").cast("double") / UNIT, "ppm": _millionths("_w", "_all")}).withColumn("share", F.col("ppm") / SHARE).drop("_w", "_all")
 
 
 def vote(votes: DataFrame, keys: list[str], cfg: Voting = Voting()) -> DataFrame:
     """One row per key: winner, n_votes, margin, uncertain and why. Keys whose
     values are all null (nothing admitted) get a row too."""
     s = shares(votes, keys)
-    top = s.groupBy(*keys).agg(F.max(F.when(F.col("rank") == 1, F.col("value"))).alias("winner"), F.sum("n").alias("n_votes"), F.max(F.when(F.col("rank") == 1, F.col("share"))).alias("_a"), F.max(F.when(F.col("rank") == 2, F.col("share"))).alias("_b"))
-    out = votes.select(*keys).distinct().join(top, keys, "left").withColumn("margin", F.round(F.col("_a") - F.coalesce("_b", F.lit(0.0)), 6))
+    top = s.groupBy(*keys).agg(F.max(F.when(F.col("rank") == 1, F.col("value"))).alias("winner"), F.sum("n").alias("n_votes"), F.max(F.when(F.col("rank") == 1, F.col("ppm"))).alias("_a"), F.max(F.when(F.col("rank") == 2, F.col("ppm"))).alias("_b"))
+    out = votes.select(*keys).distinct().join(top, keys, "left").withColumn("margin", (F.col("_a") - F.coalesce("_b", F.lit(0))) / SHARE)
     n = F.coalesce("n_votes", F.lit(0))
     reason = F.when(n == 0, "no_evidence").when(n < cfg.min_evidence, "insufficient_evidence").when(F.col("margin") < cfg.min_margin, "low_margin")
     return out.select(*keys, "winner", n.alias("n_votes"), "margin", reason.isNotNull().alias("uncertain"), reason.alias("uncertain_reason"))
@@ -46,8 +61,9 @@ def merge_clips(clip_votes: DataFrame, keys: list[str]) -> DataFrame:
 def merge_distributions(value_shares: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, value, share, n_votes)`` of several sightings to one
     distribution: shares weighted by votes, uncertain ones included."""
-    by = value_shares.groupBy(*keys, "value").agg(F.sum(F.greatest("n_votes", F.lit(1)) * F.col("share")).alias("w"))
-    return by.select(*keys, "value", F.round(F.col("w") / F.sum("w").over(Window.partitionBy(*keys)), 6).alias("share"))
+    by = value_shares.groupBy(*keys, "value").agg(F.sum((F.greatest("n_votes", F.lit(1)) * F.round(F.col("share") * SHARE)).cast("decimal(20,0)")).alias("_w"))
+    by = by.withColumn("_all", F.sum("_w").over(Window.partitionBy(*keys)))
+    return by.select(*keys, "value", (_millionths("_w", "_all") / SHARE).alias("share"))
 
 
 def reconcile(pairs: DataFrame, cfg: Voting = Voting()) -> DataFrame:

@@ -55,7 +55,10 @@ def find_objects(objects: DataFrame, intent: Intent, *, involves: DataFrame | No
         enough = subject.groupBy("global_id").agg(F.count_distinct("type").alias("n")).where(F.col("n") == len(set(intent.events)))
         df = df.join(enough, "global_id", "left_semi")
     if intent.counterpart:
-        other = objects.where(" AND ".join(f"{k} = '{v}'" for k, v in intent.counterpart.items())) if intent.counterpart else objects
+        other = objects
+        for name, value in intent.counterpart.items():
+            if name in FILTERABLE:
+                other = other.where(F.col(name) == F.lit(value))
         edges = overtakes.join(other.select(F.col("global_id").alias("object_id")), "object_id", "left_semi")
         df = df.join(edges.select(F.col("subject_id").alias("global_id")), "global_id", "left_semi")
     if intent.region:

@@ -21,19 +21,19 @@ _READ = f"r AS (SELECT o_custkey AS track, year(o_orderdate) AS clip, o_orderpri
 
 
 def _vote_sql(keys: str) -> str:
-    return f"""{_READ}, s AS (SELECT {keys}, value, sum(weight) AS w, count(*) AS n FROM r GROUP BY {keys}, value),
-    sh AS (SELECT *, round(w / sum(w) OVER (PARTITION BY {keys}), 6) AS share, row_number() OVER (PARTITION BY {keys} ORDER BY round(w, 9) DESC, value) AS rank FROM s),
+    return f"""{_READ}, s AS (SELECT {keys}, value, sum(CAST(round(weight * 1000000000) AS HUGEINT)) AS w, count(*) AS n FROM r GROUP BY {keys}, value),
+    sh AS (SELECT *, (2 * w * 1000000 + sum(w) OVER (PARTITION BY {keys})) // (2 * sum(w) OVER (PARTITION BY {keys})) AS ppm, row_number() OVER (PARTITION BY {keys} ORDER BY w DESC, value) AS rank FROM s),
     v AS (SELECT {keys}, max(value) FILTER (WHERE rank = 1) AS winner, CAST(sum(n) AS BIGINT) AS n_votes,
-           round(max(share) FILTER (WHERE rank = 1) - coalesce(max(share) FILTER (WHERE rank = 2), 0.0), 6) AS margin FROM sh GROUP BY {keys}),
+           (max(ppm) FILTER (WHERE rank = 1) - coalesce(max(ppm) FILTER (WHERE rank = 2), 0)) / 1000000 AS margin FROM sh GROUP BY {keys}),
     vote AS (SELECT *, CASE WHEN n_votes < 3 THEN 'insufficient_evidence' WHEN margin < 0.15 THEN 'low_margin' END AS uncertain_reason FROM v)"""
 
 
 def f1_vote(spark, d):
     v = vo.vote(_readings(spark, d), ["track"])
-    return v.select("track", "winner", "n_votes", F.round("margin", 4).alias("margin"), "uncertain")
+    return v.select("track", "winner", "n_votes", "margin", "uncertain")
 
 
-F1 = f"WITH {_vote_sql('track')} SELECT track, winner, n_votes, round(margin, 4) AS margin, uncertain_reason IS NOT NULL AS uncertain FROM vote"
+F1 = f"WITH {_vote_sql('track')} SELECT track, winner, n_votes, margin, uncertain_reason IS NOT NULL AS uncertain FROM vote"
 
 
 def f2_merge_clips(spark, d):
@@ -53,11 +53,11 @@ def _distribution(spark, d):
 
 
 def f3_merge_distributions(spark, d):
-    return _distribution(spark, d).select("track", "value", F.round(F.col("share") + 1e-8, 5).alias("share"))
+    return _distribution(spark, d).select("track", "value", "share")
 
 
-F3 = f"""WITH {_vote_sql('track, clip')}, w AS (SELECT track, value, sum(nv * share) AS w FROM (SELECT *, sum(n) OVER (PARTITION BY track, clip) AS nv FROM sh) GROUP BY track, value)
-SELECT track, value, round(round(w / sum(w) OVER (PARTITION BY track), 6) + 1e-8, 5) AS share FROM w"""
+F3 = f"""WITH {_vote_sql('track, clip')}, w AS (SELECT track, value, sum(CAST(nv * ppm AS HUGEINT)) AS w FROM (SELECT *, sum(n) OVER (PARTITION BY track, clip) AS nv FROM sh) GROUP BY track, value)
+SELECT track, value, ((2 * w * 1000000 + sum(w) OVER (PARTITION BY track)) // (2 * sum(w) OVER (PARTITION BY track))) / 1000000 AS share FROM w"""
 
 
 def f4_majority(spark, d):
@@ -76,7 +76,7 @@ def _reconciled(spark, d):
 
 
 def q22_reconcile(spark, d):
-    return _reconciled(spark, d).select("track", "attribute", "outcome", "value", F.round("confidence", 4).alias("confidence"), "source", "uncertain")
+    return _reconciled(spark, d).select("track", "attribute", "outcome", "value", "confidence", "source", "uncertain")
 
 
 _REC = f"""{_vote_sql('track')}, best AS (SELECT o_custkey AS track, arg_max(o_orderpriority, (o_totalprice / 500000.0, o_orderkey)) AS best FROM orders GROUP BY o_custkey), p AS (
@@ -86,7 +86,7 @@ _REC = f"""{_vote_sql('track')}, best AS (SELECT o_custkey AS track, arg_max(o_o
  SELECT track, attribute, outcome, CASE WHEN outcome IN ('filled', 'corrected') THEN bv ELSE cv END AS value,
   CASE WHEN outcome IN ('filled', 'corrected') THEN 1.0 WHEN outcome = 'confirmed' THEN least(1.0, cc + 0.1) WHEN outcome = 'retained' THEN cc * 0.8 ELSE cc END AS confidence,
   CASE WHEN outcome IN ('filled', 'corrected') THEN 'best_shot' WHEN outcome = 'confirmed' THEN 'agreed' WHEN outcome = 'retained' THEN 'clip_voting' ELSE 'unconfirmed' END AS source FROM o)"""
-Q22 = f"WITH {_REC} SELECT track, attribute, outcome, value, round(confidence, 4) AS confidence, source, value IS NULL AS uncertain FROM rec"
+Q22 = f"WITH {_REC} SELECT track, attribute, outcome, value, round(confidence, 6) AS confidence, source, value IS NULL AS uncertain FROM rec"
 
 
 def f14_outcomes(spark, d):

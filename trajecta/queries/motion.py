@@ -86,6 +86,27 @@ SELECT obj, i, j FROM walk"""
 W3 = _WINDOWS.format(test="abs(b.x - a.x) >= 100")
 
 
+LANE = Events(lane_pixels=100.0, lane_degrees=60.0, lane_window=(6.0, 72.0), moving_speed=0.5)
+
+
+def w5_lane_change(spark, d):
+    """LANE_CHANGE: 100 units to the side, onward, within 60 degrees."""
+    return ev.lane_changes(trajectories(spark, d), LANE).select("obj", "i", "j", F.round("lateral", 5).alias("lateral"), F.round("confidence", 5).alias("confidence"))
+
+
+_LON = "((b.x - a.x) * cos(radians(a.heading)) + (b.y - a.y) * sin(radians(a.heading)))"
+_LAT = f"sqrt(pow(b.x - a.x - {_LON} * cos(radians(a.heading)), 2) + pow(b.y - a.y - {_LON} * sin(radians(a.heading)), 2))"
+W5 = _WINDOWS.format(test=f"abs((((b.heading - a.heading + 180) % 360) + 360) % 360 - 180) < 60 AND {_LON} > 0 AND {_LAT} >= 100").replace("SELECT obj, i, j FROM walk", f"SELECT w.obj, w.i, w.j, round({_LAT}, 5) AS lateral, round(least(1.0, {_LAT} / 200.0), 5) AS confidence FROM walk w JOIN traj a ON a.obj = w.obj AND a.pos = w.i JOIN traj b ON b.obj = w.obj AND b.pos = w.j")
+
+
+def k11_event_log(spark, d):
+    """Stops, parks, turns, lane changes and crossings in one log."""
+    regions = spark.createDataFrame(LINES, "region_id string, points array<struct<x:double,y:double>>")
+    cfg = Events(stop_speed=CFG.stop_speed, stop_seconds=CFG.stop_seconds, moving_speed=0.5, turn_window=(6.0, 72.0), lane_pixels=100.0, lane_degrees=60.0, lane_window=(6.0, 72.0))
+    log = ev.event_log(trajectories(spark, d), regions, cfg)
+    return log.groupBy("obj", "type").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("start_t"), 4).alias("first"), F.round(F.max("end_t"), 4).alias("last"))
+
+
 def w4_turns(spark, d):
     """TURN: heading changes by 45 degrees or more within a window."""
     return ev.thin(ev.candidate_windows(trajectories(spark, d), lambda a, b: F.abs(turn(a["heading"], b["heading"])) >= 45, 6.0, 72.0, 0.5))
@@ -94,6 +115,17 @@ def w4_turns(spark, d):
 W4 = _WINDOWS.format(test="abs((((b.heading - a.heading + 180) % 360) + 360) % 360 - 180) >= 45")
 
 
+def _walk(test: str, name: str) -> str:
+    """The greedy windows of ``test`` as CTEs named after ``name``."""
+    body = _WINDOWS.format(test=test).split(f"{TRAJECTORIES_SQL}, ", 1)[1].rsplit("\nSELECT obj, i, j FROM walk", 1)[0]
+    for t in ("cand", "nxt", "walk"):
+        body = body.replace(t, f"{t}_{name}")
+    return body
+
+
+_TURN = "abs((((b.heading - a.heading + 180) % 360) + 360) % 360 - 180)"
+
+
 def w6_crossings(spark, d):
     regions = spark.createDataFrame(LINES, "region_id string, points array<struct<x:double,y:double>>")
     c = ev.crossings(trajectories(spark, d), regions)
@@ -110,6 +142,13 @@ _CROSS = f"""WITH {TRAJECTORIES_SQL}, step AS (
    SELECT *, x < 400 AND x >= 100 AND y >= 20 AND y < 80 AS a, x2 < 400 AND x2 >= 100 AND y2 >= 20 AND y2 < 80 AS b FROM step WHERE x2 IS NOT NULL) WHERE a <> b)"""
 W6 = _CROSS + " SELECT obj, pos, region_id, direction, round(t, 5) AS start_t FROM c"
 
+K11 = f"""WITH RECURSIVE {_STOPS.split("WITH ", 1)[1]}, {_CROSS.split(f"WITH {TRAJECTORIES_SQL}, ", 1)[1].replace(", c AS (", ", crossed AS (")}, {_walk(f"{_TURN} >= 45", "turn")}, {_walk(f"{_TURN} < 60 AND {_LON} > 0 AND {_LAT} >= 100", "lane")},
+log_ AS (SELECT obj, type, start_t, end_t FROM stops
+  UNION ALL SELECT w.obj, 'TURN', a.t, b.t FROM walk_turn w JOIN traj a ON a.obj = w.obj AND a.pos = w.i JOIN traj b ON b.obj = w.obj AND b.pos = w.j
+  UNION ALL SELECT w.obj, 'LANE_CHANGE', a.t, b.t FROM walk_lane w JOIN traj a ON a.obj = w.obj AND a.pos = w.i JOIN traj b ON b.obj = w.obj AND b.pos = w.j
+  UNION ALL SELECT k.obj, 'CROSSES', k.t, n.t FROM crossed k JOIN traj n ON n.obj = k.obj AND n.pos = k.pos + 1)
+SELECT obj, type, count(*) AS n, round(min(start_t), 4) AS first, round(max(end_t), 4) AS last FROM log_ GROUP BY obj, type"""
+
 
 def w8_moved_to(spark, d):
     s = samples(spark, d).select("obj", F.col("class").alias("region_id"), F.col("t").alias("start_t"))
@@ -121,12 +160,12 @@ SELECT obj, region_id, row_number() OVER (PARTITION BY obj ORDER BY t, region_id
 
 
 def w10_numbering(spark, d):
-    s = ev.stops(trajectories(spark, d), CFG).select(F.lit("v1").alias("video_id"), "type", F.col("obj").cast("string").alias("subject_id"), F.lit(None).cast("string").alias("object_id"), F.format_string("%012.4f", F.round("start_t", 4)).alias("start_time"))
+    s = ev.stops(trajectories(spark, d), CFG).select(F.col("obj").cast("string").alias("video_id"), "type", F.col("obj").cast("string").alias("subject_id"), F.lit(None).cast("string").alias("object_id"), F.format_string("%012.4f", F.round("start_t", 4)).alias("start_time"))
     return ev.number_events(s, scope=["video_id"]).select("event_id", "type", "subject_id", "start_time")
 
 
 W10 = _STOPS + """, s AS (SELECT type, CAST(obj AS VARCHAR) AS subject_id, printf('%012.4f', round(start_t, 4)) AS start_time FROM stops)
-SELECT 'evt_' || lpad(CAST(row_number() OVER (ORDER BY start_time, type, subject_id) AS VARCHAR), 5, '0') AS event_id, type, subject_id, start_time FROM s"""
+SELECT 'evt_' || lpad(CAST(row_number() OVER (PARTITION BY subject_id ORDER BY start_time, type) AS VARCHAR), 5, '0') AS event_id, type, subject_id, start_time FROM s"""
 
 
 def e10_interpolate(spark, d):
@@ -198,10 +237,8 @@ def stream_daily_counts(spark, d):
     out = _stream_dir(spark)
     stream = live.windowed_counts(live.read(spark, d, schema, glob="events.parquet"), late="3650 days")
     flat = stream.select(F.col("window.start").alias("start"), "event_type", "n", "total")
-    name = f"live_{abs(hash(out))}"
-    q = flat.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", out).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    live.replace_once(flat, f"{out}/result", f"{out}/state")
+    return spark.read.parquet(f"{out}/result").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def _stream_dir(spark) -> str:
@@ -236,6 +273,7 @@ def d7_time_of_day(spark, d):
 D7 = "SELECT user_id, count(*) AS n, min(hh) AS first, max(hh) AS last FROM (SELECT user_id, strftime(ts, '%H:%M:%S') AS hh FROM events) WHERE hh >= '08:00:00' AND hh <= '12:00:00' GROUP BY user_id"
 
 QUERIES = {
+    "w5_lane_change": (w5_lane_change, W5), "k11_event_log": (k11_event_log, K11),
     "c1_frames": (c1_frames, C1), "c5_velocity": (c5_velocity, C5), "c8_track_summary": (c8_track_summary, C8), "w2_stop_park": (w2_stop_park, W2),
     "f9_event_counts": (f9_event_counts, F9), "w3_greedy_windows": (w3_greedy_windows, W3), "w4_turns": (w4_turns, W4), "w6_crossings": (w6_crossings, W6),
     "w8_moved_to": (w8_moved_to, W8), "w10_numbering": (w10_numbering, W10), "e10_interpolate": (e10_interpolate, E10), "f8_mean_heading": (f8_mean_heading, F8),

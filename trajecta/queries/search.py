@@ -91,30 +91,35 @@ G1 = f"WITH {_KNN} SELECT query_id, id, rank, round(distance, 6) AS distance FRO
 
 
 def q16_fuse(spark, d):
-    """Hits fused with the exact rows: members of the query's own label."""
+    """Hits fused with the graph's candidates, the 20 surest of the query's
+    own label."""
     v = _vectors(spark, d)
     hits = _hits(spark, d, 20).select("query_id", F.col("id").alias("global_id"), "rank", F.lit(None).cast("string").alias("hit_class"))
     own = v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "label")
-    rows = own.join(v.select(F.col("vec_id").alias("global_id"), "label"), "label").select("query_id", "global_id", F.col("label").cast("string").alias("class"), ((F.col("global_id") % 10) / 10).alias("confidence"))
+    sure = v.select(F.col("vec_id").alias("global_id"), "label", ((F.col("vec_id") % 10) / 10).alias("confidence"))
+    best = Window.partitionBy("label").orderBy(F.desc("confidence"), "global_id")
+    sure = sure.withColumn("r", F.row_number().over(best)).where("r <= 20")
+    rows = own.join(sure, "label").select("query_id", "global_id", F.col("label").cast("string").alias("class"), "confidence")
     return rt.fuse(hits, rows, constrained=False, keys=("query_id", "global_id")).select("query_id", "global_id", "class", "rank", "score")
 
 
-Q16 = f"""WITH {_KNN}, rows_ AS (SELECT a.vec_id AS query_id, b.vec_id AS global_id, CAST(b.label AS VARCHAR) AS class, (b.vec_id % 10) / 10 AS confidence FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0)
+Q16 = f"""WITH {_KNN}, sure AS (SELECT * FROM (SELECT vec_id, label, (vec_id % 10) / 10 AS confidence, row_number() OVER (PARTITION BY label ORDER BY vec_id % 10 DESC, vec_id) AS r FROM embeddings) WHERE r <= 20),
+rows_ AS (SELECT a.vec_id AS query_id, b.vec_id AS global_id, CAST(b.label AS VARCHAR) AS class, confidence FROM embeddings a JOIN sure b USING (label) WHERE a.vec_id % 100 = 0)
 SELECT coalesce(h.query_id, r.query_id) AS query_id, coalesce(h.id, r.global_id) AS global_id, coalesce(r.class, 'unknown') AS class, h.rank,
  round(0.5 * coalesce(61 / (60 + h.rank), 0) + 0.35 * CASE WHEN r.global_id IS NULL THEN 0 ELSE 1 END + 0.15 * coalesce(r.confidence, 0), 6) AS score
 FROM hits h FULL JOIN rows_ r ON h.query_id = r.query_id AND h.id = r.global_id"""
 
 
 def f7_mean_embedding(spark, d):
-    """Mean vector per label, normalised: its first three components."""
+    """Mean vector per label, normalised."""
     v = _vectors(spark, d).select("label", F.posexplode("vector").alias("i", "x"))
     m = v.groupBy("label", "i").agg(F.avg("x").alias("m"))
     n = F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy("label")))
-    return m.withColumn("u", F.col("m") / n).where("i < 3").select("label", "i", F.round("u", 6).alias("u"))
+    return m.withColumn("u", F.col("m") / n).select("label", "i", F.round("u", 6).alias("u"))
 
 
 F7 = """WITH x AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY 1, 2)
-SELECT label, CAST(i AS INTEGER) AS i, u FROM (SELECT label, i, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS u FROM m) WHERE i < 3"""
+SELECT label, CAST(i AS INTEGER) AS i, u FROM (SELECT label, i, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS u FROM m)"""
 
 
 def _fragments(spark, d):

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Class numbers of the CSV format, names of the XML format.
-MOT_CLASSES = {1: "person", 3: "car", 4: "bicycle", 5: "motorcycle", 6: "truck"}
-DETRAC_CLASSES = {"car": "car", "bus": "bus", "van": "car", "others": "car"}
+MOT_CLASSES = {1: "person", 3: "car", 4: "car", 5: "truck", 6: "bus"}
+#: The second is the body type that a name asserts, if any.
+DETRAC_CLASSES = {"car": ("car", None), "van": ("car", "van"), "bus": ("bus", "bus"), "truck": ("truck", "truck"), "others": ("car", None)}
 
 MOT_SCHEMA = "frame int, id int, x double, y double, w double, h double, conf double, class int, visibility double"
 GT_SCHEMA = "gt_id string, frame_no int, class string, x1 double, y1 double, x2 double, y2 double"
@@ -52,13 +53,15 @@ def mot(spark: SparkSession, path: str, *, offset: int = -1) -> DataFrame:
 
 
 def detrac(spark: SparkSession, path: str, *, offset: int = -1) -> DataFrame:
-    """XML boxes: frame@num / target_list / target@id / box, attribute."""
+    """XML boxes: frame@num / target_list / target@id / box, attribute. Unknown
+    and missing names are cars; ``vehicle_type`` is the body type, or null."""
     schema = "_num int, target_list struct<target:array<struct<_id:int,box:struct<_left:double,_top:double,_width:double,_height:double>,attribute:struct<_vehicle_type:string>>>>"
     raw = spark.read.format("xml").option("rowTag", "frame").schema(schema).load(path)
     t = raw.select("_num", F.explode("target_list.target").alias("t"))
-    classes = F.create_map(*[F.lit(x) for kv in DETRAC_CLASSES.items() for x in kv])
+    name = F.lower(F.coalesce(F.nullif("t.attribute._vehicle_type", F.lit("")), F.lit("car")))
+    classes, bodies = (F.create_map(*[F.lit(x) for k, v in DETRAC_CLASSES.items() for x in (k, v[i])]) for i in (0, 1))
     b = "t.box._"
-    return t.select(F.concat(F.lit("gt_"), F.col("t._id").cast("string")).alias("gt_id"), (F.col("_num") + offset).alias("frame_no"), F.try_element_at(classes, F.lower("t.attribute._vehicle_type")).alias("class"), F.round(f"{b}left", 2).alias("x1"), F.round(f"{b}top", 2).alias("y1"), F.round(F.col(f"{b}left") + F.col(f"{b}width"), 2).alias("x2"), F.round(F.col(f"{b}top") + F.col(f"{b}height"), 2).alias("y2"), F.lit(False).alias("ignored"))
+    return t.select(F.concat(F.lit("gt_"), F.col("t._id").cast("string")).alias("gt_id"), (F.col("_num") + offset).alias("frame_no"), F.coalesce(F.try_element_at(classes, name), F.lit("car")).alias("class"), F.round(f"{b}left", 2).alias("x1"), F.round(f"{b}top", 2).alias("y1"), F.round(F.col(f"{b}left") + F.col(f"{b}width"), 2).alias("x2"), F.round(F.col(f"{b}top") + F.col(f"{b}height"), 2).alias("y2"), F.lit(False).alias("ignored"), F.try_element_at(bodies, name).alias("vehicle_type"))
 
 
 def align(truth: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -33,3 +33,13 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "appe
     """Process what is there, write Parquet, stop. Exactly once per
     ``checkpoint``."""
     stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def replace_once(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process what is there and keep the complete result of an aggregation as
+    Parquet at ``path``; every micro-batch replaces the one before."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
