@@ -34,8 +34,11 @@ ROUNDS = 3
 END_ID = 0
 
 #: Chunks of a text whose ids a worker keeps, in each of two generations.
-MAX_CACHED = 300_000
+MAX_CACHED = 200_000
 LONGEST_CACHED = 64
+#: New chunks that go through the tokenizer at once.
+JOINED = 2000
+WHITE = frozenset(c for c in map(chr, range(0x3001)) if not CHUNK.fullmatch("x" + c))
 
 _vocabulary: dict = {}
 
@@ -57,6 +60,10 @@ class Tokenizer:
 
         self.model = tokenizers.Tokenizer.from_file(path)
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        #: bytes of every token: the vocabulary writes each byte as one character
+        self.width = np.zeros(self.model.get_vocab_size(), np.int64)
+        for token, i in self.model.get_vocab(with_added_tokens=False).items():
+            self.width[i] = len(token)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -69,14 +76,30 @@ class Tokenizer:
         wanted = set().union(*chunks).difference(self.known)
         self.known.update({c: self.older[c] for c in wanted if c in self.older})
         new = [c for c in wanted if c not in self.known]
-        for chunk, found in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(found.ids, "<u4").tobytes()
+        self._learn(new)
         out = [self._whole(text) if w else b"".join(map(self.known.__getitem__, c)) for text, w, c in zip(texts, whole, chunks, strict=True)]
         for chunk in new:
             if len(chunk) > LONGEST_CACHED:
                 del self.known[chunk]
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new chunks. Those that begin with a space and go on without
+        keep apart when joined, so that they go through together; their tokens'
+        bytes tell them apart again."""
+        joined = [c for c in new if len(c) > 1 and c[0] == " " and c[1] not in WHITE]
+        groups = [joined[lo : lo + JOINED] for lo in range(0, len(joined), JOINED)]
+        for some, found in zip(groups, self.model.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = np.cumsum(self.width[ids])
+            at = np.cumsum([len(c.encode()) for c in some])
+            cut_ = (np.searchsorted(ends, at) + 1).tolist()
+            if not np.array_equal(ends[np.array(cut_) - 1], at):
+                raise ValueError("a token spans two chunks")
+            data = ids.tobytes()
+            self.known.update(zip(some, (data[4 * x : 4 * y] for x, y in zip([0, *cut_[:-1]], cut_, strict=True)), strict=True))
+        self.known.update({c: self._whole(c) for c in new if c not in self.known})
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
