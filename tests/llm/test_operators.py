@@ -219,7 +219,7 @@ def test_packing_ids_are_those_of_tokenizers():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain, own, rng = Tokenizer.from_file(path), packing.Tokenizer(path), random.Random(5)
-    parts = ["<|endoftext|>", "<|endof", "hello", " ", "  ", "\n", "\t", "don't", "é", "漢字", "\u3000", "\x1c", "\x85", "12", "!?", "𝒳", "\ud7ff", "'ll", "x" * 90]
+    parts = ["<|endoftext|>", "<|endof", "hello", " ", "  ", "\n", "\t", "don't", "é", "漢字", "\u3000", "\x1c", "\x85", "12", "!?", "𝒳", "\ud7ff", "'ll", "x" * 90, "it", "'s", "'", "×", "²", "ß", "#", "_", ".", "α"]
     given = ["".join(rng.choices(parts, k=rng.randrange(0, 30))) for _ in range(500)] + ["", "a  <|endoftext|>  b", "y" * 300_000]
     for texts_ in (given, given[::-1]):  # the second time from the cache
         assert own.encode(texts_) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts_]

@@ -12,6 +12,7 @@ round. Only lengths and ids travel: nothing of the texts is shuffled.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CHUNK, public_path
+from .bpe import CHUNK, WS, public_path
 from .common import cut, prepare, width
 from .wordhash import slices
 
@@ -39,6 +40,10 @@ LONGEST_CACHED = 64
 #: New chunks that go through the tokenizer at once.
 JOINED = 2000
 WHITE = frozenset(c for c in map(chr, range(0x3001)) if not CHUNK.fullmatch("x" + c))
+#: Letters before an ASCII sign, white space or the end are a pre-token of their
+#: own, so that a word is learned once and not with every mark behind it.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+PART = re.compile(rf" ?[{LETTERS}]++(?=[!-@\[-`{{-~{WS}]|\Z)|{CHUNK.pattern}")
 
 _vocabulary: dict = {}
 
@@ -48,10 +53,10 @@ class Tokenizer:
     add_special_tokens=False)`` gives them.
 
     A text is read in chunks that share no pre-token: a run without white
-    space, with the one space before it, or other white space. A chunk's ids
-    are taken from ``tokenizers`` when it is first met and kept. A text that
-    holds an added token's string goes through ``tokenizers`` whole: white
-    space before such a string is cut differently.
+    space, with the one space before it, its first letters apart, or other
+    white space. A chunk's ids are taken from ``tokenizers`` when it is
+    first met and kept. A text that holds an added token's string goes through
+    ``tokenizers`` whole: white space before such a string is cut differently.
     """
 
     def __init__(self, path: str):
@@ -70,7 +75,7 @@ class Tokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         whole = [any(t in text for t in self.added) for text in texts]
-        chunks = [[] if w else CHUNK.findall(text) for text, w in zip(texts, whole, strict=True)]
+        chunks = [[] if w else PART.findall(text) for text, w in zip(texts, whole, strict=True)]
         if len(self.known) > MAX_CACHED:
             self.known, self.older = {}, self.known
         wanted = set().union(*chunks).difference(self.known)
