@@ -106,7 +106,7 @@ def time_of(iso: Column) -> Column:
 
 
 def pluralize(noun: Column, n: Column) -> Column:
-    plural = F.when(noun == "person", "people").when(noun.rlike("(?:s|x|ch|sh)$"), F.concat(noun, F.lit("es"))).otherwise(F.concat(noun, F.lit("s")))
+    plural = F.when(noun == "person", "people").when(noun == "bus", "buses").otherwise(F.concat(noun, F.lit("s")))
     return F.when(n == 1, noun).otherwise(plural)
 
 
@@ -114,6 +114,17 @@ def article(phrase: Column) -> Column:
     return F.concat(F.when(F.lower(phrase).rlike("^[aeiou]"), "an ").otherwise("a "), phrase)
 
 
+#: Phrases by which an answer says that it cannot tell.
+ABSTENTIONS = (
+    "insufficient evidence", "not enough information", "cannot determine", "can't determine", "cannot answer", "can't answer", "unable to determine", "no information", "not possible to",
+    "not specified", "not mentioned", "does not contain", "does not specify", "does not mention", "not provided", "no evidence", "not available in the",
+)
+
+
+def is_abstention(answer: Column) -> Column:
+    return F.lower(answer).rlike("|".join(ABSTENTIONS))
+
+
 def first_count(text: Column) -> Column:
     """The first number, in digits or in words up to twenty."""
     low = F.lower(text)
