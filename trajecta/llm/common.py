@@ -32,10 +32,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; only where that is
-    unset (tests, a laptop) a temporary folder of this machine."""
+    unset and the master is local (tests, a laptop) a temporary folder of this
+    machine."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="trajecta-"))
     return configured or sc._jsc.sc().getCheckpointDir().get()
 
