@@ -39,6 +39,17 @@ class Voting:
     penalty: float = 0.2
 
 
+@dataclass(frozen=True)
+class Crops:
+    caption_size: float = 96.0
+    shot_size: float = 128.0
+    reference_sharpness: float = 200.0
+    sharpness_cap: float = 500.0
+    view_weight: float = 0.5
+    front_aspect: float = 1.2
+    side_aspect: float = 2.2
+
+
 @dataclass(frozen=True)
 class Events:
     stop_speed: float = 5.0
@@ -71,6 +82,7 @@ class Settings:
     association: Association = field(default_factory=Association)
     linking: Linking = field(default_factory=Linking)
     voting: Voting = field(default_factory=Voting)
+    crops: Crops = field(default_factory=Crops)
     events: Events = field(default_factory=Events)
     retrieval: Retrieval = field(default_factory=Retrieval)
 

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, iou
+from ..functions.text import is_abstention
 from .matching import assign
 
+#: Question types whose cited objects are compared with the expected ones.
+CORRECTNESS_TYPES = ("factual", "counting", "temporal")
+
 
 def box_pairs(truth: DataFrame, found: DataFrame, scope: list[str]) -> DataFrame:
     """Overlapping boxes of one frame: (scope, a: true id, b: found id, score)."""
@@ -83,3 +87,48 @@ def set_scores(found: str, expected: str) -> dict:
     n, m = F.size(F.array_distinct(found)), F.size(F.array_distinct(expected))
     ok = m > 0
     return {"precision": F.when(ok, F.round(F.coalesce(F.try_divide(both, n), F.lit(0.0)), 4)), "recall": F.when(ok, F.round(both / m, 4)), "f1": F.when(ok, F.round(2 * both / (n + m), 4))}
+
+
+def frame_boxes(tracks: DataFrame, frames: DataFrame, *, prefix: str = "") -> DataFrame:
+    """Tracks with aligned arrays ``frames`` and ``boxes`` (struct x1, y1, x2,
+    y2) as one row per frame of ``frames(frame_id)`` and identity. Of boxes of
+    one identity in one frame the last one of the list stays, of repeated
+    tracks the one with the larger ``pos``."""
+    identity = F.concat(F.lit(prefix), F.concat_ws(":", "clip_id", F.col("track_id").cast("string")))
+    each = tracks.select(identity.alias("identity"), "pos", F.posexplode(F.arrays_zip("frames", "boxes")).alias("at", "z"))
+    each = each.select("identity", "z.frames", "z.boxes", F.struct("pos", "at").alias("o")).where("boxes IS NOT NULL").withColumnRenamed("frames", "frame_id")
+    last = each.groupBy("frame_id", "identity").agg(F.max_by("boxes", "o").alias("b"))
+    return frames.select("frame_id").distinct().join(last, "frame_id").select("frame_id", "identity", "b.*")
+
+
+def identity_votes(matches: DataFrame, keys: tuple = ()) -> DataFrame:
+    """``matches(keys.., a: true id, b: found id)``, one row a frame, as the true
+    id that each found id met most often, ties to the smaller: (keys.., b, a, n)."""
+    n = matches.groupBy(*keys, "b", "a").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys, "b").orderBy(F.desc("n"), "a")
+    return n.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def answer_scores(items: DataFrame, answers: DataFrame, true_ids: DataFrame, *, scored: tuple = CORRECTNESS_TYPES) -> DataFrame:
+    """One row per answer; a metric that does not apply is null, never 0.
+
+    ``items(question_id, question_type, answerable, expected_count,
+    expected_ids)``, ``answers(question_id, system, answer, said_count,
+    cited_ids, retrieved_ids)``, ``true_ids(b: cited id, a: true id)``. Ids
+    without a true id count for nothing."""
+    cited = answers.select("question_id", "system", F.explode("cited_ids").alias("b")).join(true_ids.select("b", "a"), "b")
+    mapped = cited.groupBy("question_id", "system").agg(F.collect_set("a").alias("mapped"))
+    df = items.join(answers, "question_id").join(mapped, ["question_id", "system"], "left")
+    df = df.withColumn("mapped", F.coalesce("mapped", F.array().cast("array<string>")))
+    quiet, ask = is_abstention(F.col("answer")), F.col("answerable")
+    judged = ask & F.col("question_type").isin(*scored) & (F.size("expected_ids") > 0)
+    some = {f"object_{k}": F.when(judged, v) for k, v in set_scores("mapped", "expected_ids").items()}
+    counted = ask & (F.col("question_type") == "counting") & F.col("expected_count").isNotNull()
+    own = {"grounded": F.size(F.array_except("cited_ids", "retrieved_ids")) == 0, "abstention_correct": quiet != ask, "counting_correct": F.when(counted, F.col("said_count").eqNullSafe(F.col("expected_count")))}
+    return df.select("question_id", "question_type", "system", *[c.alias(n) for n, c in {**own, **some}.items()])
+
+
+def answer_summary(scores: DataFrame, keys: tuple = ("system",)) -> DataFrame:
+    """Means over the answers that a metric applies to, null where none is."""
+    share = lambda c: F.round(F.avg(F.col(c).cast("double")), 4)
+    return scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_questions"), share("counting_correct").alias("counting_accuracy"), share("object_f1").alias("object_f1"), share("abstention_correct").alias("abstention_accuracy"), share("grounded").alias("grounded_rate"))

@@ -91,3 +91,39 @@ def interpolate(times: DataFrame, samples: DataFrame, keys: list[str]) -> DataFr
     df = both.withColumns({"_p": p, "_q": q}).where("_ask")
     share = F.when(F.col("_q.t") > F.col("_p.t"), (F.col("t") - F.col("_p.t")) / (F.col("_q.t") - F.col("_p.t"))).otherwise(0.0)
     return df.select(*keys, "t", *[(F.col(f"_p.{c}") + share * (F.col(f"_q.{c}") - F.col(f"_p.{c}"))).alias(c) for c in ("x", "y")])
+
+
+def nearest_samples(times: DataFrame, samples: DataFrame, keys: list[str], *, t: str = "t", order: tuple = ("pos",)) -> DataFrame:
+    """``times(keys.., at)`` each with the sample of its key that is nearest in
+    ``t``, ties by ``order``: both are one ordered stream, in which a time looks
+    at the sample before and the one behind it. Times without any sample of
+    their key stay, with a null."""
+    columns = [c for c in samples.columns if c not in keys]
+    s = samples.select(*keys, F.col(t).alias("_t"), F.struct(*columns).alias("_s"))
+    q = times.select(*keys, "at").distinct().select(*keys, F.col("at").alias("_t"), F.lit(None).cast(s.schema["_s"].dataType).alias("_s"), F.lit(True).alias("_q"))
+    first = s.groupBy(*keys, "_t").agg(F.min_by("_s", F.struct(*[F.col(f"_s.{c}") for c in order])).alias("_s"), F.lit(False).alias("_q"))
+    w = Window.partitionBy(*keys).orderBy("_t")
+    place = F.when(F.col("_s").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_s").alias("s")))
+    both = first.unionByName(q).withColumns({"_a": F.last(place, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "_b": F.first(place, ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))})
+    ahead, behind = F.col("_b.t") - F.col("_t"), F.col("_t") - F.col("_a.t")
+    earlier = F.struct(*[F.col(f"_a.s.{c}") for c in order]) <= F.struct(*[F.col(f"_b.s.{c}") for c in order])
+    one = F.when(F.col("_b").isNull() | (behind < ahead) | ((behind == ahead) & earlier), F.col("_a.s")).otherwise(F.col("_b.s"))
+    return both.where("_q").select(*keys, F.col("_t").alias("at"), one.alias("sample"))
+
+
+def sighting_at(times: DataFrame, sightings: DataFrame, keys: list[str]) -> DataFrame:
+    """``times(keys.., at)`` with the first of the key's ``sightings(first_seen,
+    last_seen, pos)`` that covers the time, else the one that begins nearest.
+    Sightings of a key are few (one a clip); ``times`` are stated."""
+    s = sightings.select(*keys, "first_seen", "last_seen", "pos")
+    covers = F.col("at").between(F.col("first_seen"), F.col("last_seen"))
+    rank = F.struct(~covers, F.when(covers, 0.0).otherwise(F.abs(F.col("at") - F.col("first_seen")).cast("double")), "pos")
+    joined = times.join(s, keys)
+    return joined.groupBy(*keys, "at").agg(F.min_by("pos", rank).alias("pos"), F.bool_or(covers).alias("covered"))
+
+
+def seconds_of_clock(clock):
+    """HH:MM:SS as seconds; null for other texts."""
+    part = F.split(clock, ":")
+    ok = clock.rlike(r"^\d+:\d+:\d+$")
+    return F.when(ok, part[0].cast("long") * 3600 + part[1].cast("long") * 60 + part[2].cast("long"))

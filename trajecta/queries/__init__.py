@@ -4,9 +4,9 @@ Modules hold ``QUERIES``: name -> (callable, SQL or None)."""
 
 from __future__ import annotations
 
-from . import documents, evidence, graph, motion, search
+from . import documents, evidence, graph, motion, review, search
 
-_ALL = {**motion.QUERIES, **evidence.QUERIES, **graph.QUERIES, **search.QUERIES, **documents.QUERIES}
+_ALL = {**motion.QUERIES, **evidence.QUERIES, **graph.QUERIES, **search.QUERIES, **documents.QUERIES, **review.QUERIES}
 
 
 def queries() -> dict:
