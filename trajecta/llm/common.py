@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -93,6 +94,16 @@ def join_by_size(rows: DataFrame, table: DataFrame, keys: list[str], size: str,
     return met.select(*others.columns).unionByName(others)
 
 
+def best_rows(df: DataFrame, keys: list[str], order: list, top: int) -> DataFrame:
+    """The first ``top`` rows of each key in ``order``, with their ``rank``.
+    Where a key has rows in every partition, groups of partitions choose first,
+    so that about the square root of their number meets in a task."""
+    groups = max(1, math.isqrt(width(df.sparkSession)))
+    few = df.withColumn("_group", F.spark_partition_id() % groups)
+    few = few.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "_group").orderBy(*order))).where(F.col("rank") <= top)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top).drop("_group")
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from . import bpe, quality, toxicity
 from .ann import nearest
 from .common import crc_bucket, prepare
+from .divergence import audit
+from .histogram_packing import pack_by_histogram
+from .lexical_search import search
 from .licenses import scan_licenses
 from .near_dedup import near_duplicates
 from .order_minhash import compare_edits
@@ -76,6 +79,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("host_rate", 6).alias("host_rate"), F.round("host_low", 6).alias("host_low"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=50)
+
+
+def op13_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_by_histogram(table(spark, sf_dir, "documents"))
+
+
 _TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
 
 
@@ -110,12 +125,44 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de
        round(m, 6) AS host_rate, round(l, 6) AS host_low FROM ruled JOIN low USING (host)"""
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_P = "1 + (1000000000 * ({} + 1)) // ({} + v)"
+
+OP11_SQL = rf"""WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+words AS (SELECT d, lang, source, unnest(words) AS term FROM docs),
+lt AS (SELECT lang, term, count(*) AS many FROM words GROUP BY 1, 2 HAVING count(DISTINCT d) >= 3),
+ls AS (SELECT lang, count(*) AS v, sum(many)::BIGINT AS total FROM lt GROUP BY 1),
+gt AS (SELECT lang, source, term, count(*) AS many FROM words JOIN (SELECT lang, term FROM lt) USING (lang, term) GROUP BY 1, 2, 3),
+gs AS (SELECT lang, source, coalesce(sum(many), 0)::BIGINT AS n FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN gt USING (lang, source) GROUP BY 1, 2),
+dense AS (SELECT lang, source, term, coalesce(gt.many, 0) AS many, {_P.format("coalesce(gt.many, 0)", "n")} AS p, {_P.format("lt.many", "total")} AS q
+  FROM gs JOIN lt USING (lang) JOIN ls USING (lang) LEFT JOIN gt USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM dense a JOIN dense b USING (lang, term) WHERE a.source <> b.source GROUP BY 1, 2, 3),
+every AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM gs a JOIN gs b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+terms AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM dense WHERE many > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM every
+UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM terms
+  QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= 200"""
+
+OP12_SQL = rf"""WITH words AS (
+  SELECT d, doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT *, row_number() OVER () AS d FROM documents)),
+tf AS (SELECT d, doc_id, term, count(*) AS tf FROM words GROUP BY 1, 2, 3),
+lengths AS (SELECT d, sum(tf)::BIGINT AS n FROM tf GROUP BY 1),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+asked AS (SELECT DISTINCT i, item_id, term FROM (SELECT i, item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT *, row_number() OVER () AS i FROM benchmark))),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY term, docs),
+scored AS (SELECT i, item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN lengths USING (d), whole GROUP BY 1, 2, 3, 4)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+  QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= 50"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_best_fit_packing, op3_quality_classifier, op4_substring_dedup, op5_minhash_near_dedup, op6_byte_level_bpe, op7_license_scan, op8_nearest_neighbours, op9_order_minhash, op10_url_filter)
+    found = (op1_toxicity, op2_best_fit_packing, op3_quality_classifier, op4_substring_dedup, op5_minhash_near_dedup, op6_byte_level_bpe, op7_license_scan, op8_nearest_neighbours, op9_order_minhash, op10_url_filter, op11_source_divergence, op12_lexical_search, op13_histogram_packing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other operators learn, iterate or tokenise beyond SQL; their tests
     hold them against brute force, round trips and held-out rows."""
-    return {"op10_url_filter": OP10_SQL}
+    return {"op10_url_filter": OP10_SQL, "op11_source_divergence": OP11_SQL, "op12_lexical_search": OP12_SQL}
