@@ -80,7 +80,7 @@ def test_audit_in_small_portions(spark, monkeypatch):
     rows = [(i, " ".join(f"{rng.choice('abcdefgh')}{rng.choice('xyz')}" for _ in range(30)), "en", f"s{i % 9}") for i in range(120)]
     postings = spark.createDataFrame([], COLUMNS)
     want = brute_audit(rows)
-    for name, value in (("GATHERED", 20), ("SENT", 30), ("SEARCHED", 10), ("PAIRS", 16), ("BROADCAST_GROUPS", 0)):
+    for name, value in (("GATHERED", 40), ("SEARCHED", 10), ("PAIRS", 16), ("BROADCAST_GROUPS", 0)):
         monkeypatch.setattr(divergence, name, value)
     assert audited(spark.createDataFrame(rows, COLUMNS)) == want and postings.isEmpty()
 

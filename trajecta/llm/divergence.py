@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import best_rows, prepare, written
-from .wordhash import LOWER, Batch, slices
+from .wordhash import LANES, LOWER, Batch, slices
 
 BILLION = 1_000_000_000
 #: Bytes between terms: ASCII but for letters.
@@ -35,77 +35,109 @@ LEAST_DOCS = 3
 TOP = 200
 #: Groups up to which their totals are broadcast; more meet in a shuffle.
 BROADCAST_GROUPS = 100_000
-#: Rows of counts that a task gathers before it adds them up, and sends.
-GATHERED, SENT = 1 << 19, 1 << 20
+#: Rows of counts that a task gathers before it adds them up; where more than
+#: half are left, it sends them.
+GATHERED = 1 << 20
 #: Postings that are searched together, pairs of postings made together, and
 #: sums of pairs that a task holds at once.
 SEARCHED, PAIRS = 1 << 18, 1 << 20
 
 _COUNTS = "lang string, source string, term string, many long, docs long"
-
-
-def _words(batch: Batch, groups: np.ndarray) -> pa.Table:
-    """(group, term, many, docs) of one batch of texts."""
-    hashes, second = batch.words(0), batch.words(1)
-    known, first, of = np.unique(hashes, return_index=True, return_inverse=True)
-    if not np.array_equal(second, second[first][of]):
-        raise ValueError("two terms of one batch share a 64-bit hash")
-    size = max(1, len(known))
-    cells, many = np.unique(batch.owners() * size + of, return_counts=True)
-    doc, word = np.divmod(cells, size)
-    both, at = np.unique(groups[doc] * size + word, return_inverse=True)
-    total, docs = (np.bincount(at, weights=w, minlength=len(both)).astype(np.int64) for w in (many, None))
-    lengths = batch.ends[first] - batch.starts[first]
-    ends = np.concatenate(([0], np.cumsum(lengths)))
-    place = np.repeat(batch.starts[first] - ends[:-1], lengths) + np.arange(ends[-1])
-    terms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(known), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(LOWER[batch.bytes][place])])
-    group, word = np.divmod(both, size)
-    return pa.table({"group": group, "term": terms.take(pa.array(word)), "many": total, "docs": docs})
+_NAMES = ["lang", "source", "term", "many", "docs"]
+
+
+def _distinct(key: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first places, number of each place's value) of the distinct rows of
+    (key, others). ``key`` alone orders them, unless it fails to tell the rest
+    apart."""
+    _, first, of = np.unique(key, return_index=True, return_inverse=True)
+    if all(np.array_equal(c, c[first][of]) for c in others):
+        return first, of
+    order = np.lexsort((*others, key))
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for c in (key, *others):
+        new[1:] |= c[order][1:] != c[order][:-1]
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
+class _Gathered:
+    """Counts of (group, term) in one task. Terms are told apart by two 64-bit
+    hashes; ``ref`` is the place of a term's text among the texts kept."""
+
+    def __init__(self):
+        self.columns: list[tuple[np.ndarray, ...]] = []
+        self.texts: list[pa.Array] = []
+        self.n = self.n_texts = 0
+
+    def add(self, batch: Batch, groups: np.ndarray) -> None:
+        hashes, second = batch.words(0), batch.words(1)
+        first, of = _distinct(hashes, second)
+        size = max(1, len(first))
+        cells, many = np.unique(batch.owners() * size + of, return_counts=True)
+        doc, word = np.divmod(cells, size)
+        both, at = np.unique(groups[doc] * size + word, return_inverse=True)
+        total, docs = (np.bincount(at, weights=w, minlength=len(both)).astype(np.int64) for w in (many, None))
+        group, word = np.divmod(both, size)
+        lengths = batch.ends[first] - batch.starts[first]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        place = np.repeat(batch.starts[first] - ends[:-1], lengths) + np.arange(ends[-1])
+        self.texts.append(pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(LOWER[batch.bytes[place]])))
+        self.columns.append((group, hashes[first][word], second[first][word], total, docs, self.n_texts + word))
+        self.n += len(group)
+        self.n_texts += len(first)
+
+    def merge(self) -> None:
+        if len(self.columns) > 1:
+            group, hashes, second, many, docs, ref = (np.concatenate(c) for c in zip(*self.columns, strict=True))
+            first, of = _distinct(hashes ^ (group.astype(np.uint64) * np.uint64(LANES[0])), hashes, second, group)
+            many, docs = (np.bincount(of, weights=c, minlength=len(first)).astype(np.int64) for c in (many, docs))
+            self.texts = [pa.concat_arrays(self.texts).take(pa.array(ref[first]))]
+            self.columns = [(group[first], hashes[first], second[first], many, docs, np.arange(len(first)))]
+            self.n = self.n_texts = len(first)
+
+    def rows(self, names: list[tuple[str, str]]):
+        """Arrow batches of all that is held, which is then let go."""
+        self.merge()
+        if self.columns:
+            group, _, _, many, docs, ref = self.columns[0]
+            lang, source = (pa.array([x[i] for x in names], pa.string()) for i in (0, 1))
+            for lo in range(0, len(group), 50_000):
+                g = pa.array(group[lo : lo + 50_000])
+                term = self.texts[0].take(pa.array(ref[lo : lo + 50_000])).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([lang.take(g), source.take(g), term, pa.array(many[lo : lo + 50_000]), pa.array(docs[lo : lo + 50_000])], _NAMES)
+        self.__init__()
 
 
 def term_counts(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(lang, source, term, many, docs), summed within tasks and then over
-    them; the term '' marks each group that occurs."""
+    them, dealt out by language and term; the term '' marks each group that
+    occurs."""
     prepare(docs.sparkSession)
 
     def scan(batches):
         number: dict[tuple[str, str], int] = {}
-        gathered: list[pa.Table] = []
-        n = 0
-
-        def merged() -> pa.Table:
-            t = pa.concat_tables(gathered).group_by(["group", "term"]).aggregate([("many", "sum"), ("docs", "sum")])
-            return t.select(["group", "term", "many_sum", "docs_sum"]).rename_columns(["group", "term", "many", "docs"])
-
-        def rows(t: pa.Table):
-            names = list(number)
-            group = t.column("group").to_numpy()
-            lang, source = (pa.array([x[i] for x in names], pa.string()).take(pa.array(group)) for i in (0, 1))
-            t = pa.table({"lang": lang, "source": source, "term": t.column("term").cast(pa.large_string()).cast(pa.string()), "many": t.column("many"), "docs": t.column("docs")})
-            yield from t.combine_chunks().to_batches(max_chunksize=50_000)
-
+        gathered = _Gathered()
         for whole in batches:
             for b in slices(whole, "text"):
                 keys = zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), strict=True)
                 groups = np.array([number.setdefault(k, len(number)) for k in keys], np.int64)
-                gathered.append(_words(Batch(b.column("text"), lower=True, separators=BETWEEN), groups))
-                n += gathered[-1].num_rows
-                if n > GATHERED:
-                    gathered = [merged()]
-                    n = gathered[0].num_rows
-                    if n > SENT:
-                        yield from rows(gathered.pop())
-                        n = 0
-        if gathered:
-            yield from rows(merged())
+                gathered.add(Batch(b.column("text"), lower=True, separators=BETWEEN), groups)
+                if gathered.n > GATHERED:
+                    gathered.merge()
+                    if gathered.n > GATHERED // 2:
+                        yield from gathered.rows(list(number))
+        yield from gathered.rows(list(number))
         if number:
             lang, source = zip(*number, strict=True)
             nothing = np.zeros(len(number), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(source), pa.array([""] * len(number)), pa.array(nothing), pa.array(nothing)], ["lang", "source", "term", "many", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(source), pa.array([""] * len(number)), pa.array(nothing), pa.array(nothing)], _NAMES)
 
     empty = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
     rows = docs.select(empty(lang_col, "lang"), empty(source_col, "source"), empty(text_col, "text")).mapInArrow(scan, _COUNTS)
-    return rows.groupBy("lang", "source", "term").agg(F.sum("many").alias("many"), F.sum("docs").alias("docs"))
+    return rows.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("many").alias("many"), F.sum("docs").alias("docs"))
 
 
 def probability(count: Column, total: Column, terms: Column) -> Column:
@@ -267,11 +299,13 @@ def audit(docs: DataFrame, *, least_docs: int = LEAST_DOCS, top: int = TOP, lang
     no pairs. Repeated rows count as often as they come; an empty table gives
     no rows; other columns are ignored.
     """
-    counts = written(term_counts(docs, lang_col=lang_col, source_col=source_col, text_col=text_col), name="counts")
-    lists = counts.where("term != ''").groupBy("lang", "term").agg(F.sum("many").alias("many"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", F.col("many").alias("count"))).alias("entries"))
-    kept = written(lists.where(F.col("docs") >= least_docs).drop("docs"), name="kept")
-    languages = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("many").alias("lang_total"))
-    single = kept.select("lang", "term", "many", F.inline("entries"))
+    counts = term_counts(docs, lang_col=lang_col, source_col=source_col, text_col=text_col)
+    often = counts.groupBy("lang", "term").agg(F.sum("many").alias("in_lang"), F.sum("docs").alias("of_lang")).where((F.col("of_lang") >= least_docs) | (F.col("term") == ""))
+    # dealt out by language and term: neither the totals nor the join deal anew
+    counts = written(counts.join(often.hint("shuffle_hash"), ["lang", "term"]).drop("docs", "of_lang"), name="kept")
+    kept = counts.where("term != ''")
+    languages = kept.groupBy("lang", "term").agg(F.max("in_lang").alias("many")).groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("many").alias("lang_total"))
+    single = kept.select("lang", "source", "term", F.col("in_lang").alias("many"), F.col("many").alias("count"))
     totals = single.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     groups = counts.where("term = ''").select("lang", "source").join(totals, ["lang", "source"], "left").join(languages, "lang", "left").fillna(0, ["total", "kept", "lang_total"])
     groups = groups.withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy("source")))
