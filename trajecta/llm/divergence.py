@@ -300,9 +300,10 @@ def audit(docs: DataFrame, *, least_docs: int = LEAST_DOCS, top: int = TOP, lang
     no rows; other columns are ignored.
     """
     counts = term_counts(docs, lang_col=lang_col, source_col=source_col, text_col=text_col)
-    often = counts.groupBy("lang", "term").agg(F.sum("many").alias("in_lang"), F.sum("docs").alias("of_lang")).where((F.col("of_lang") >= least_docs) | (F.col("term") == ""))
-    # dealt out by language and term: neither the totals nor the join deal anew
-    counts = written(counts.join(often.hint("shuffle_hash"), ["lang", "term"]).drop("docs", "of_lang"), name="kept")
+    # dealt out by language and term, so that the totals need no other exchange
+    term = Window.partitionBy("lang", "term")
+    counts = counts.withColumns({"in_lang": F.sum("many").over(term), "of_lang": F.sum("docs").over(term)})
+    counts = written(counts.where((F.col("of_lang") >= least_docs) | (F.col("term") == "")).drop("docs", "of_lang"), name="kept")
     kept = counts.where("term != ''")
     languages = kept.groupBy("lang", "term").agg(F.max("in_lang").alias("many")).groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("many").alias("lang_total"))
     single = kept.select("lang", "source", "term", F.col("in_lang").alias("many"), F.col("many").alias("count"))
