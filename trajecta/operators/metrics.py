@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, iou
-from ..functions.text import is_abstention
+from ..functions.text import first_count, is_abstention
 from .matching import assign
 
 #: Question types whose cited objects are compared with the expected ones.
@@ -80,13 +80,14 @@ def consistency(rows: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("consistency", F.when(F.col("n") < 2, "single").when(F.col("n_distinct") == 1, "consistent").otherwise("inconsistent"))
 
 
-def set_scores(found: str, expected: str) -> dict:
-    """Columns precision, recall, f1 of two array columns; null without any
-    expected element."""
+def set_scores(found: str, expected: str, *, digits: int | None = 4) -> dict:
+    """Columns precision, recall, f1 of two array columns, null without any
+    expected element; unrounded where they go into a mean (``digits`` None)."""
     both = F.size(F.array_intersect(found, expected))
     n, m = F.size(F.array_distinct(found)), F.size(F.array_distinct(expected))
     ok = m > 0
-    return {"precision": F.when(ok, F.round(F.coalesce(F.try_divide(both, n), F.lit(0.0)), 4)), "recall": F.when(ok, F.round(both / m, 4)), "f1": F.when(ok, F.round(2 * both / (n + m), 4))}
+    cut = lambda c: c if digits is None else F.round(c, digits)
+    return {"precision": F.when(ok, cut(F.coalesce(F.try_divide(both, n), F.lit(0.0)))), "recall": F.when(ok, cut(both / m)), "f1": F.when(ok, cut(2 * both / (n + m)))}
 
 
 def frame_boxes(tracks: DataFrame, frames: DataFrame, *, prefix: str = "") -> DataFrame:
@@ -115,14 +116,17 @@ def answer_scores(items: DataFrame, answers: DataFrame, true_ids: DataFrame, *,
     ``items(question_id, question_type, answerable, expected_count,
     expected_ids)``, ``answers(question_id, system, answer, said_count,
     cited_ids, retrieved_ids)``, ``true_ids(b: cited id, a: true id)``. Ids
-    without a true id count for nothing."""
+    without a true id count for nothing. Without ``said_count`` the count is
+    the first number of the answer."""
+    if "said_count" not in answers.columns:
+        answers = answers.withColumn("said_count", first_count(F.col("answer")))
     cited = answers.select("question_id", "system", F.explode("cited_ids").alias("b")).join(true_ids.select("b", "a"), "b")
     mapped = cited.groupBy("question_id", "system").agg(F.collect_set("a").alias("mapped"))
     df = items.join(answers, "question_id").join(mapped, ["question_id", "system"], "left")
     df = df.withColumn("mapped", F.coalesce("mapped", F.array().cast("array<string>")))
     quiet, ask = is_abstention(F.col("answer")), F.col("answerable")
     judged = ask & F.col("question_type").isin(*scored) & (F.size("expected_ids") > 0)
-    some = {f"object_{k}": F.when(judged, v) for k, v in set_scores("mapped", "expected_ids").items()}
+    some = {f"object_{k}": F.when(judged, v) for k, v in set_scores("mapped", "expected_ids", digits=None).items()}
     counted = ask & (F.col("question_type") == "counting") & F.col("expected_count").isNotNull()
     own = {"grounded": F.size(F.array_except("cited_ids", "retrieved_ids")) == 0, "abstention_correct": quiet != ask, "counting_correct": F.when(counted, F.col("said_count").eqNullSafe(F.col("expected_count")))}
     return df.select("question_id", "question_type", "system", *[c.alias(n) for n, c in {**own, **some}.items()])

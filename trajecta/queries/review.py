@@ -39,12 +39,12 @@ def c20_shot_scores(spark, d):
     li = li.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"), F.max("l_quantity").alias("q"), F.max("l_extendedprice").alias("p"), F.max("l_discount").alias("occlusion"))
     crops = li.select("l_orderkey", "l_linenumber", (F.col("q") * 2).alias("w"), (F.col("l_linenumber") * 15.0 - 14).alias("h"), (F.col("p") / 200).alias("sharpness"))
     out = cr.scored_shots(crops, li.where("flag = 'R'"), ["l_orderkey", "l_linenumber"])
-    return out.select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"), F.round(cr.caption_quality(F.col("w"), F.col("h"), F.col("sharpness")), 6).alias("caption_quality"))
+    return out.select("l_orderkey", "l_linenumber", F.round("score", 10).alias("score"), F.round(cr.caption_quality(F.col("w"), F.col("h"), F.col("sharpness")), 10).alias("caption_quality"))
 
 
 C20 = """WITH l AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS flag, max(CAST(l_quantity AS DOUBLE)) * 2 AS w, l_linenumber * 15.0 - 14 AS h, max(CAST(l_extendedprice AS DOUBLE)) / 200 AS s, max(CAST(l_discount AS DOUBLE)) AS o FROM lineitem GROUP BY 1, 2),
-q AS (SELECT *, least(1.0, sqrt(w * h) / 128) * least(1.0, s / 200) * (1 - CASE WHEN flag = 'R' THEN o ELSE 0.0 END) * (0.5 + 0.5 * least(1.0, greatest(0.0, (2.2 - w / h) / 1.0))) AS score FROM l WHERE w >= 2 AND h >= 2)
-SELECT l_orderkey, l_linenumber, round(score, 6) AS score, round(least(1.0, sqrt(w * h) / 96) * least(1.0, s / 200), 6) AS caption_quality FROM q WHERE score > 0"""
+q AS (SELECT *, least(1.0, sqrt(w * h) / 128) * least(1.0, s / 200) * (1 - CASE WHEN flag = 'R' THEN o ELSE 0.0 END) * (0.5 + 0.5 * least(1.0, greatest(0.0, (2.2 - w / h) / (CAST(2.2 AS DOUBLE) - CAST(1.2 AS DOUBLE))))) AS score FROM l WHERE w >= 2 AND h >= 2)
+SELECT l_orderkey, l_linenumber, round(score, 10) AS score, round(least(1.0, sqrt(w * h) / 96) * least(1.0, s / 200), 10) AS caption_quality FROM q WHERE score > 0"""
 
 
 def m5_identity_votes(spark, d):
@@ -68,7 +68,7 @@ def f18_answer_summary(spark, d):
 
 F18 = """WITH q AS (SELECT o_orderkey AS k, o_orderpriority AS system, k % 9 <> 0 AS ask, k % 6 IN (0, 1) AS quiet, k % 4 AS kind, list_distinct([k % 3 % 6, k % 11 % 6]) AS m, list_distinct([k % 7, k % 5]) AS e FROM orders),
 s AS (SELECT *, 2 * len(list_intersect(m, e)) / (len(m) + len(e)) AS f FROM q)
-SELECT system, count(*) AS n_questions, round(avg(CASE WHEN k % 2 = k % 3 THEN 1.0 ELSE 0.0 END) FILTER (WHERE ask AND kind = 1 AND k % 8 <> 5), 4) AS counting_accuracy, round(avg(round(f, 4)) FILTER (WHERE ask AND kind < 3), 4) AS object_f1,
+SELECT system, count(*) AS n_questions, round(avg(CASE WHEN k % 2 = k % 3 THEN 1.0 ELSE 0.0 END) FILTER (WHERE ask AND kind = 1 AND k % 8 <> 5), 4) AS counting_accuracy, round(avg(f) FILTER (WHERE ask AND kind < 3), 4) AS object_f1,
  round(avg(CASE WHEN quiet <> ask THEN 1.0 ELSE 0.0 END), 4) AS abstention_accuracy, round(avg(CASE WHEN k % 3 IN (1, 2) OR k % 3 = k % 11 THEN 1.0 ELSE 0.0 END), 4) AS grounded_rate FROM s GROUP BY system"""
 
 

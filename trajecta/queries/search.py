@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..adapters import table
+from ..adapters import SAMPLES_SQL, samples, table
 from ..config import Association
 from ..functions import text as tx
 from ..functions import vectors as ve
 from ..functions import vocabulary as V
 from ..operators import linking as ln
 from ..operators import retrieval as rt
+from ..operators import merging as mg
 from ..operators.matching import assign
 
 QUESTIONS = ["How many trucks stopped?", "What if the white car had stopped earlier?", "Which vehicle will turn next?", "What was the licence plate number of the red car?", "Find the grey lorry that overtook a bus", "Which cars were parked between 11:00 and 12:30?", "Show vehicles after 3pm", "Did two people cross before 10:15?"]
@@ -171,7 +172,70 @@ def g4_cosine(spark, d):
 G4 = """WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY 1, 2), a AS (SELECT label, list(x ORDER BY i) AS mean FROM m GROUP BY 1)
 SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), mean), 6) AS cosine FROM embeddings JOIN a USING (label)"""
 
+
+
+def _pieces(spark, d):
+    """Every seven samples of a user are a fragment; fragments are linked where
+    the pause between is at most a day."""
+    s = samples(spark, d).withColumn("part", F.floor(F.col("pos") / 7)).withColumn("track", F.col("obj") * 1000 + F.col("part")).withColumn("clip_id", F.lit(0))
+    t = s.groupBy("obj", "clip_id", "track", "part").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.min_by("class", "pos").alias("class"), F.array(F.avg("x"), F.lit(50.0), F.avg("y")).alias("embedding"))
+    gap = F.lead("first").over(Window.partitionBy("obj").orderBy("part")) - F.col("last")
+    links = t.withColumn("b", F.when(gap <= 24, F.col("track") + 1)).where("b IS NOT NULL").select("obj", "clip_id", F.col("track").alias("a"), "b")
+    crops = s.select("obj", "clip_id", "track", F.format_string("c%08d", "event_id").alias("path"), F.when(F.col("event_id") % 5 != 0, F.round("x")).alias("score"))
+    return t, s.select("obj", "clip_id", "track", "pos", "t", "x", "y"), crops, links
+
+
+SCOPE = ("obj", "clip_id")
+
+
+def k6_merge_tracks(spark, d):
+    """Merged tracks: fragments, path, weighted mean embedding, best crops."""
+    rows, _ = mg.merge_tracks(*_pieces(spark, d), scope=SCOPE)
+    e = [F.round(F.col("embedding")[i], 6).alias(f"e{i}") for i in range(3)]
+    return rows.select("obj", "track", "class", "n_fragments", "n_samples", F.round("heading", 5).alias("heading"), *e, F.array_join(F.transform("crops", lambda c: c["path"]), ",").alias("crops"))
+
+
+_CHAINS = f"""WITH {SAMPLES_SQL}, s AS (SELECT *, pos // 7 AS part, obj * 1000 + pos // 7 AS piece FROM samples),
+f AS (SELECT obj, piece, part, min(t) AS first, max(t) AS last, arg_min(class, pos) AS class, count(*) AS n, avg(x) AS a, avg(y) AS b FROM s GROUP BY 1, 2, 3),
+g AS (SELECT *, CASE WHEN first - lag(last) OVER (PARTITION BY obj ORDER BY part) <= 24 THEN 0 ELSE 1 END AS opens FROM f),
+c AS (SELECT *, sum(opens) OVER (PARTITION BY obj ORDER BY part) AS chain FROM g),
+m AS (SELECT *, min(piece) OVER (PARTITION BY obj, chain) AS track FROM c),
+w AS (SELECT s.*, m.track, row_number() OVER (PARTITION BY s.obj, m.track ORDER BY s.part, s.pos) - 1 AS p FROM s JOIN m USING (obj, piece))"""
+
+K6 = _CHAINS + """, u AS (SELECT *, sqrt(a * a + 2500 + b * b) AS l FROM m),
+e AS (SELECT obj, track, arg_min(class, part) AS class, count(*) AS n_fragments, sum(n) AS n_samples, sum(n * a / l) AS x, sum(n * 50 / l) AS y, sum(n * b / l) AS z FROM u GROUP BY 1, 2),
+h AS (SELECT obj, track, arg_max(x, p) - arg_min(x, p) AS dx, arg_max(y, p) - arg_min(y, p) AS dy FROM w GROUP BY 1, 2),
+r AS (SELECT obj, track, 'c' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS path, row_number() OVER (PARTITION BY obj, track ORDER BY CASE WHEN event_id % 5 <> 0 THEN round(x) ELSE 0 END DESC, event_id) AS r FROM w),
+b AS (SELECT obj, track, string_agg(path, ',' ORDER BY r) AS crops FROM r WHERE r <= 5 GROUP BY 1, 2)
+SELECT obj, track, class, n_fragments, CAST(n_samples AS BIGINT) AS n_samples, CASE WHEN dx <> 0 OR dy <> 0 THEN round(degrees(atan2(dy, dx)), 5) END AS heading,
+ round(x / sqrt(x * x + y * y + z * z), 6) AS e0, round(y / sqrt(x * x + y * y + z * z), 6) AS e1, round(z / sqrt(x * x + y * y + z * z), 6) AS e2, crops FROM e JOIN h USING (obj, track) JOIN b USING (obj, track)"""
+
+
+def k6_merged_samples(spark, d):
+    """Samples of the merged tracks, with velocities over the repaired gaps."""
+    _, s = mg.merge_tracks(*_pieces(spark, d), scope=SCOPE)
+    return s.select("obj", "track", "part_of", "pos", *[F.round(c, 6).alias(c) for c in ("t", "vx", "vy")])
+
+
+K6S = _CHAINS + """, v AS (SELECT *, t - lag(t) OVER q AS dt, x - lag(x) OVER q AS dx, y - lag(y) OVER q AS dy FROM w WINDOW q AS (PARTITION BY obj, track ORDER BY p))
+SELECT obj, track, piece AS part_of, CAST(p AS INTEGER) AS pos, round(t, 6) AS t, CASE WHEN dt > 0 THEN round(dx / dt, 6) ELSE 0.0 END AS vx, CASE WHEN dt > 0 THEN round(dy / dt, 6) ELSE 0.0 END AS vy FROM v"""
+
+
+def f6_running_embedding(spark, d):
+    """Running mean of the vectors of a label in order of their ids."""
+    v = table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    m = mg.running_mean(v, ["label"], "vec_id")
+    return m.select("label", "n", F.posexplode("embedding").alias("i", "x")).select("label", "n", "i", F.round("x", 6).alias("x"))
+
+
+F6 = """WITH u AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS l FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) - 1 AS k, count(*) OVER (PARTITION BY label) AS n FROM u WHERE l > 1e-12),
+w AS (SELECT label, n, v, l, CASE WHEN k = n - 1 THEN pow(0.9, k) ELSE 0.1 * pow(0.9, k) END AS w FROM r),
+x AS (SELECT label, n, generate_subscripts(v, 1) - 1 AS i, w * unnest(v) / l AS x FROM w)
+SELECT label, n, CAST(i AS INTEGER) AS i, round(sum(x), 6) AS x FROM x GROUP BY 1, 2, 3"""
+
 QUERIES = {
+    "k6_merge_tracks": (k6_merge_tracks, K6), "k6_merged_samples": (k6_merged_samples, K6S), "f6_running_embedding": (f6_running_embedding, F6),
     "h1_color": (h1_color, H1), "h5_all_colors": (h5_all_colors, H5), "h4_question_type": (h4_question_type, H4), "q17_citations": (q17_citations, Q17), "g1_knn": (g1_knn, G1),
     "q16_fuse": (q16_fuse, Q16), "f7_mean_embedding": (f7_mean_embedding, F7), "g4_cosine": (g4_cosine, G4), "e3_gate_join": (e3_gate_join, E3), "k4_greedy_links": (k4_greedy_links, None), "k3_assignment": (k3_assignment, None),
 }
