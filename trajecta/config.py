@@ -70,6 +70,8 @@ class Events:
 class Retrieval:
     k: int = 5
     candidates: int = 20
+    graph_limit: int = 50
+    widen: int = 2
     rrf_k: int = 60
     widen: int = 2
     weights: tuple = (0.5, 0.35, 0.15)

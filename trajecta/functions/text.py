@@ -60,40 +60,6 @@ def split_at_relation(text: Column, phrases: list[str] = V.EVENTS["OVERTAKE"]) -
     return F.when(end.isNull(), low).otherwise(F.substring(low, F.lit(1), end - 1)), F.when(end.isNull(), F.lit("")).otherwise(F.substring(low, end, F.length(low)))
 
 
-def clock_times(text: Column) -> Column:
-    """``HH:MM:SS`` of all clock times in order: with minutes or am/pm, hour at
-    most 23 and, unlike a bare number, a plausible minute and second."""
-    pattern = r"(?i)\b(\d{1,2})(?::([0-5]\d))?(?::([0-5]\d))?\s*(am|pm)?\b"
-    parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(n) for i, n in enumerate("hmsp", 1)])
-    named = F.transform(parts, lambda p: F.struct(p["h"].cast("int").alias("h"), p["m"].alias("m"), p["s"].alias("s"), F.lower(p["p"]).alias("p")))
-    ok = F.filter(named, lambda p: ((p["m"] != "") | (p["p"] != "")) & (p["h"] <= F.when(p["p"] != "", 12).otherwise(23)))
-
-    def fmt(p):
-        h = F.when((p["p"] == "pm") & (p["h"] != 12), p["h"] + 12).when((p["p"] == "am") & (p["h"] == 12), F.lit(0)).otherwise(p["h"])
-        return F.concat_ws(":", F.lpad(h.cast("string"), 2, "0"), F.lpad(p["m"], 2, "0"), F.lpad(p["s"], 2, "0"))
-
-    return F.transform(ok, fmt)
-
-
-def time_range(text: Column) -> Column:
-    """struct(after, before): ``between X and Y`` and ``from X to Y`` give
-    both; else the nearest keyword before a time decides which bound it is,
-    ``at`` and ``around`` set both."""
-    low = F.lower(text)
-    t = r"(\d{1,2}(?::[0-5]\d){0,2}\s*(?:am|pm)?)"
-
-    def after_word(words: str) -> Column:
-        raw = F.regexp_extract(low, rf"\b(?:{words})\s+{t}", 1)
-        return F.try_element_at(clock_times(raw), F.lit(1))
-
-    times = clock_times(low)
-    both = low.rlike(rf"\bbetween\b.*\band\b|\bfrom\s+{t}\s+(?:to|until|till)\b") & (F.size(times) >= 2)
-    at = after_word("at|around")
-    after = F.when(both, F.element_at(times, 1)).otherwise(F.coalesce(after_word("after|since|from|later than"), at))
-    before = F.when(both, F.element_at(times, 2)).otherwise(F.coalesce(after_word("before|until|till|prior to|earlier than"), at))
-    return F.struct(after.alias("after"), before.alias("before"))
-
-
 def citations(text: Column) -> Column:
     """array of (id, at) in order, repeats kept; times as HH:MM:SS."""
     ids, times = (F.regexp_extract_all(text, F.lit(CITATION), F.lit(i)) for i in (1, 2))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -78,32 +80,129 @@ def hungarian(score: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if flip else (a, b) for a, b in pairs)
 
 
+def sparse_assignment(rows: np.ndarray, columns: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Which of the listed cells an optimal assignment takes: most pairs first,
+    then the largest total. Shortest augmenting paths over the listed cells
+    alone, so that memory grows with their number and not with rows times
+    columns; a row may also go to a place of its own, at a price above all
+    that a path can gain, which leaves it without a pair."""
+    n, m = int(rows.max(initial=-1)) + 1, int(columns.max(initial=-1)) + 1
+    order = np.argsort(rows, kind="stable")
+    first = np.searchsorted(rows[order], np.arange(n + 1)).tolist()
+    column, cost = columns[order].tolist(), (-score[order]).tolist()
+    alone = 1.0 + 2.0 * (n + 1) * float(np.abs(score).max(initial=0.0))
+    u = [min(cost[first[i] : first[i + 1]], default=alone) for i in range(n)]
+    v: dict[int, float] = {}
+    of_column: dict[int, int] = {}
+    taken: list[int | None] = [None] * n  # a place in ``order``, or -1: alone, at its own column m + i
+    for i in range(n):
+        for e in range(first[i], first[i + 1]):
+            if cost[e] == u[i] and column[e] not in of_column:
+                of_column[column[e]] = i
+                taken[i] = e
+                break
+    for start in range(n):
+        if taken[start] is not None:
+            continue
+        i, far = start, 0.0
+        dist: dict[int, float] = {}
+        via: dict[int, tuple[int, int]] = {}
+        done: dict[int, float] = {}
+        heap: list[tuple[float, int]] = []
+        while True:
+            for e in (*range(first[i], first[i + 1]), -1):
+                j = column[e] if e >= 0 else m + i
+                if j not in done:
+                    d = far + (cost[e] if e >= 0 else alone) - u[i] - v.get(j, 0.0)
+                    if d < dist.get(j, np.inf):
+                        dist[j], via[j] = d, (i, e)
+                        heapq.heappush(heap, (d, j))
+            far, j = heapq.heappop(heap)
+            while j in done:
+                far, j = heapq.heappop(heap)
+            if j not in of_column:
+                break
+            done[j] = far
+            i = of_column[j]
+        for k, d in done.items():
+            u[of_column[k]] += far - d
+            v[k] = v.get(k, 0.0) - (far - d)
+        u[start] += far
+        while True:
+            i, e = via[j]
+            before = taken[i]
+            of_column[j], taken[i] = i, e
+            if i == start:
+                break
+            j = column[before] if before >= 0 else m + i
+    chosen = np.zeros(len(order), bool)
+    chosen[[e for e in taken if e >= 0]] = True
+    out = np.zeros(len(order), bool)
+    out[order] = chosen
+    return out
+
+
 def best_pairs(pdf: pd.DataFrame, largest: int = 4096) -> pd.DataFrame:
-    """The rows (a, b, score) of one scope that the optimal assignment takes."""
+    """The rows (a, b, score) of one scope that the optimal assignment takes;
+    beyond ``largest`` members over the listed cells alone."""
     pdf = pdf.sort_values(["a", "b"])
     rows, cols = (pd.Index(sorted(pdf[c].unique())) for c in ("a", "b"))
+    r, c = rows.get_indexer(pdf["a"]), cols.get_indexer(pdf["b"])
     if max(len(rows), len(cols)) > largest:
-        raise ValueError(f"a scope has {len(rows)} x {len(cols)} members")
+        return pdf[sparse_assignment(r, c, pdf["score"].to_numpy(float))]
     score = np.full((len(rows), len(cols)), FORBIDDEN)
-    r, c = rows.get_indexer(pdf["a"]), cols.get_indexer(pdf["b"])
     score[r, c] = pdf["score"].to_numpy()
     chosen = {(i, j) for i, j in hungarian(score) if score[i, j] > FORBIDDEN / 2}
     return pdf[[(i, j) in chosen for i, j in zip(r, c, strict=True)]]
 
 
+def components(links: DataFrame) -> DataFrame:
+    """``links(a, b)`` -> (node, component), the smallest node that can be
+    reached: large-star and small-star rounds, in which every node hangs its
+    greater, then its smaller neighbours on the least of them, until the links
+    are stars. About log2 of the longest path rounds."""
+    least = lambda df: F.least("u", F.min("v").over(Window.partitionBy("u")))
+    edges = cut(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.withColumn("m", least(both)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        w = Window.partitionBy("u")
+        small = large.withColumn("m", F.min("v").over(w))
+        hung = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v")
+        after = cut(hung.select(F.col("v").alias("u"), F.col("u").alias("v")).distinct())
+        if after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty():
+            break
+        edges = after
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+
+
 def assign(cells: DataFrame, scope: list[str], *, largest: int = 4096) -> DataFrame:
     """Optimal one-to-one assignment in every scope of ``cells(scope, a, b,
     score)``: most pairs first, then the largest total. Cells not listed are
-    infeasible. A scope (a frame, a pair of clips) is solved in one task and
-    may have ``largest`` rows and columns; a larger one is an error, not a
-    sample."""
+    infeasible.
+
+    A scope (a frame, a pair of clips) of at most ``largest`` rows and columns
+    is solved in one task. A larger one is first split into the components of
+    its feasible cells, which do not disturb each other; each of them is solved
+    in one task over its cells, so that only cells that are tied together ever
+    meet."""
     kinds = dict(cells.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*scope, "a", "b", "score"])
+    rows = cells.select(*scope, "a", "b", "score")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return best_pairs(pdf, largest)[[*scope, "a", "b", "score"]]
 
-    return cells.select(*scope, "a", "b", "score").groupBy(*scope).applyInPandas(solve, schema)
+    size = rows.groupBy(*scope).agg(F.greatest(F.count_distinct("a"), F.count_distinct("b")).alias("_size"))
+    large = cut(size.where(F.col("_size") > largest).select(*scope))
+    if large.isEmpty():
+        return rows.groupBy(*scope).applyInPandas(solve, schema)
+    few = rows.join(F.broadcast(large), scope, "left_anti").groupBy(*scope).applyInPandas(solve, schema)
+    rest = rows.join(F.broadcast(large), scope, "left_semi")
+    end = lambda side: F.struct(*scope, F.lit(side).alias("side"), F.col(side).cast("string").alias("id"))
+    parts = components(rest.select(end("a").alias("a"), end("b").alias("b"))).select("node", F.col("component").alias("_part"))
+    split = rest.withColumn("node", end("a")).join(parts, "node").drop("node")
+    return few.unionByName(split.groupBy(*scope, "_part").applyInPandas(solve, schema))
 
 
 def chains(links: DataFrame, *, rounds: int = 40) -> DataFrame:

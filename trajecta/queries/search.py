@@ -15,8 +15,6 @@ from ..operators import retrieval as rt
 from ..operators import merging as mg
 from ..operators.matching import assign
 
-QUESTIONS = ["How many trucks stopped?", "What if the white car had stopped earlier?", "Which vehicle will turn next?", "What was the licence plate number of the red car?", "Find the grey lorry that overtook a bus", "Which cars were parked between 11:00 and 12:30?", "Show vehicles after 3pm", "Did two people cross before 10:15?"]
-
 
 def _color_sql(column: str) -> str:
     whens = " ".join(f"WHEN regexp_matches(lower({column}), '\\b(?:{'|'.join(f)})\\b') THEN '{v}'" for v, f in V.COLOR.items())
@@ -39,16 +37,6 @@ def h5_all_colors(spark, d):
 H5 = "SELECT p_partkey, len(c) AS n, array_to_string(c, ',') AS colors FROM (SELECT p_partkey, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(p_name), '\\b(?:{'|'.join(x + '(?:e?s)?' for x in f)})\\b') THEN '{v}' END" for v, f in V.COLOR.items()) + "], lambda x: x IS NOT NULL) AS c FROM part)"
 
 
-def h4_question_type(spark, d):
-    q = spark.createDataFrame([(i, x) for i, x in enumerate(QUESTIONS)], "question_id long, question string")
-    t = tx.time_range(F.col("question"))
-    return q.select("question_id", tx.question_type(F.col("question")).alias("type"), F.array_join(tx.find_all(F.col("question"), V.EVENTS), ",").alias("events"), F.array_join(tx.find_all(F.col("question"), V.CLASSES), ",").alias("classes"), t["after"].alias("after"), t["before"].alias("before"))
-
-
-H4 = """SELECT * FROM (VALUES (0::BIGINT, 'counting', 'STOP', 'truck', NULL, NULL), (1, 'counterfactual', 'STOP', 'car', NULL, NULL), (2, 'forecast', 'TURN', 'car', NULL, NULL), (3, 'factual', '', 'car', NULL, NULL),
- (4, 'factual', 'OVERTAKE', 'truck,bus', NULL, NULL), (5, 'factual', 'PARK', 'car', '11:00:00', '12:30:00'), (6, 'factual', '', 'car', '15:00:00', NULL), (7, 'factual', 'CROSSES', 'person', NULL, '10:15:00')) t(question_id, type, events, classes, after, before)"""
-
-
 def _cited(spark, d):
     """Answers that cite each user's events, every third with a wrong time."""
     e = table(spark, d, "events").select(F.col("user_id").alias("answer_id"), F.concat(F.lit("obj_"), F.col("user_id").cast("string")).alias("id"), F.date_format("ts", "HH:mm:ss").alias("at"), "event_id")
@@ -236,6 +224,6 @@ SELECT label, n, CAST(i AS INTEGER) AS i, round(sum(x), 6) AS x FROM x GROUP BY
 
 QUERIES = {
     "k6_merge_tracks": (k6_merge_tracks, K6), "k6_merged_samples": (k6_merged_samples, K6S), "f6_running_embedding": (f6_running_embedding, F6),
-    "h1_color": (h1_color, H1), "h5_all_colors": (h5_all_colors, H5), "h4_question_type": (h4_question_type, H4), "q17_citations": (q17_citations, Q17), "g1_knn": (g1_knn, G1),
+    "h1_color": (h1_color, H1), "h5_all_colors": (h5_all_colors, H5), "q17_citations": (q17_citations, Q17), "g1_knn": (g1_knn, G1),
     "q16_fuse": (q16_fuse, Q16), "f7_mean_embedding": (f7_mean_embedding, F7), "g4_cosine": (g4_cosine, G4), "e3_gate_join": (e3_gate_join, E3), "k4_greedy_links": (k4_greedy_links, None), "k3_assignment": (k3_assignment, None),
 }
