@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..adapters import SAMPLES_SQL, TRAJECTORIES_SQL, samples, table, trajectories
@@ -11,7 +9,8 @@ from ..config import Events
 from ..functions.geometry import box, covered, iou, turn
 from ..operators import events as ev
 from ..operators import trajectory as tr
-from ..streaming import live
+from ..session import scratch
+from ..streaming import clips, live
 
 #: Thresholds for user trajectories: hours and units of value.
 CFG = Events(stop_speed=5.0, stop_seconds=6.0, moving_speed=0.5)
@@ -234,23 +233,29 @@ SELECT frame, track, x1, round(coalesce(max(inter / 50.0) FILTER (WHERE other),
 def stream_daily_counts(spark, d):
     """Tumbling counts from a file stream, run to its end."""
     schema = table(spark, d, "events").schema
-    out = _stream_dir(spark)
+    out = scratch(spark, "stream")
     stream = live.windowed_counts(live.read(spark, d, schema, glob="events.parquet"), late="3650 days")
     flat = stream.select(F.col("window.start").alias("start"), "event_type", "n", "total")
     live.replace_once(flat, f"{out}/result", f"{out}/state")
     return spark.read.parquet(f"{out}/result").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-def _stream_dir(spark) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        import uuid
+STREAM = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+
 
-        return f"{named}/stream-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="trajecta-stream-")
+def w14_running_clips(spark, d):
+    """Days of a user as clips of a video, from a file stream run to its end."""
+    out = scratch(spark, "clips")
+    e = live.read(spark, d, table(spark, d, "events").schema, glob="events.parquet")
+    frames = e.select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_no"), "ts")
+    live.run_once(clips.running_clips(frames, seconds=86400, every=5), f"{out}/result", f"{out}/state")
+    r = spark.read.schema(clips.OUT).parquet(f"{out}/result")
+    return r.select("video_id", "clip_no", F.date_format("first_frame", "HH:mm:ss").alias("first"), F.date_format("last_frame", "HH:mm:ss").alias("last"), "n_frames", "n_sampled")
 
 
-STREAM = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+W14 = """WITH f AS (SELECT user_id AS video_id, epoch_us(ts) // 86400000000 AS clip_no, min(ts) AS a, max(ts) AS b, count(*) AS n_frames, count(*) FILTER (WHERE event_id % 5 = 0) AS n_sampled FROM events GROUP BY 1, 2),
+m AS (SELECT *, max(clip_no) OVER (PARTITION BY video_id) AS last_no, (SELECT max(epoch_us(ts)) / 1e6 - 3600 FROM events) AS mark FROM f)
+SELECT video_id, clip_no, strftime(a, '%H:%M:%S') AS first, strftime(b, '%H:%M:%S') AS last, n_frames, n_sampled FROM m WHERE clip_no < last_no OR (clip_no + 1) * 86400 <= mark"""
 
 
 def w9_best_of_track(spark, d):
@@ -278,5 +283,5 @@ QUERIES = {
     "f9_event_counts": (f9_event_counts, F9), "w3_greedy_windows": (w3_greedy_windows, W3), "w4_turns": (w4_turns, W4), "w6_crossings": (w6_crossings, W6),
     "w8_moved_to": (w8_moved_to, W8), "w10_numbering": (w10_numbering, W10), "e10_interpolate": (e10_interpolate, E10), "f8_mean_heading": (f8_mean_heading, F8),
     "f5_evidence": (f5_evidence, F5), "e13_occlusion": (e13_occlusion, E13), "stream_daily_counts": (stream_daily_counts, STREAM), "w9_best_of_track": (w9_best_of_track, W9),
-    "d7_time_of_day": (d7_time_of_day, D7),
+    "w14_running_clips": (w14_running_clips, W14), "d7_time_of_day": (d7_time_of_day, D7),
 }

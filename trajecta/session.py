@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,3 +31,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Truncate the lineage of an iteration's state."""
     prepare(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the checkpoint directory, which all executors
+    see."""
+    return f"{prepare(spark).sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}-{uuid.uuid4().hex}"
