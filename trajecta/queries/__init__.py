@@ -4,9 +4,9 @@ Modules hold ``QUERIES``: name -> (callable, SQL or None)."""
 
 from __future__ import annotations
 
-from . import documents, evidence, graph, motion, questions, review, search
+from . import detections, documents, evidence, graph, motion, questions, review, search
 
-_ALL = {**motion.QUERIES, **evidence.QUERIES, **graph.QUERIES, **search.QUERIES, **documents.QUERIES, **review.QUERIES, **questions.QUERIES}
+_ALL = {**motion.QUERIES, **evidence.QUERIES, **graph.QUERIES, **search.QUERIES, **documents.QUERIES, **review.QUERIES, **questions.QUERIES, **detections.QUERIES}
 
 
 def queries() -> dict:
