@@ -202,3 +202,27 @@ def test_least_squares_are_optimal():
         assert sum(lengths) == 256
         np.add.at(used, list(lengths), n)
     assert (used <= wanted).all() and used.sum() > 0.5 * wanted.sum()
+
+
+def test_nearest_with_repeated_ids(spark):
+    """An id on several vectors: every row is a candidate and a query."""
+    from pyspark.sql import functions as F
+
+    from trajecta.llm import ann
+
+    rng = np.random.default_rng(7)
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip([*range(0, 300), *range(0, 300, 50), 100, 100], rng.normal(size=(308, 5)), strict=True)]
+    rows += [(100, rows[3][1]), (7, rows[8][1])] + rows[:5]
+    odd = [(None, [1.0] * 5), (400, None), (500, [0.0] * 5)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("node", "v", "code", "rank", "dist", "query_id")})
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in ann.nearest(df).collect())
+    every = sorted({(i, tuple(v)) for i, v in rows})
+    want = []
+    for i, v in every:
+        if i % 100 == 0:
+            near = sorted((math.dist(v, w), j) for j, w in every if (j, w) != (i, v))[:10]
+            want += [(i, r, j, round(d, 9)) for r, (d, j) in enumerate(near, 1)]
+    want = sorted(want)
+    hits = sum((collections.Counter(g for g in [(q, v, s) for q, _, v, s in got]) & collections.Counter((q, v, s) for q, _, v, s in want)).values())
+    assert len(got) == len(want) and hits >= 0.97 * len(want)
+    assert ann.nearest(df.where("vec_id % 100 <> 0")).count() == 0

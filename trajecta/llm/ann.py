@@ -386,8 +386,19 @@ def search(graph: DataFrame, queries: DataFrame, *, beam: int = BEAM) -> DataFra
     return state
 
 
+def _told_apart(nodes: DataFrame) -> DataFrame:
+    """Nodes with one least id get nodes of their own: the first by its vector
+    keeps the id, the others take a hash."""
+    r = F.row_number().over(Window.partitionBy("node").orderBy("v"))
+    own = nodes.withColumn("r", r)
+    return own.withColumn("node", F.when(F.col("r") == 1, F.col("node")).otherwise(F.xxhash64("node", "v"))).drop("r")
+
+
 def _nearest_of_length(good: DataFrame, every: int, k: int) -> DataFrame:
-    nodes = saved(nodes_of(good, k + 1), "nodes")
+    nodes = nodes_of(good, k + 1)
+    if not good.groupBy("vec_id").count().where("count > 1").isEmpty():
+        nodes = _told_apart(nodes)
+    nodes = saved(nodes, "nodes")
     asked = good.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
     # copies among the queries are searched once
     own = saved(asked.select("v").distinct().join(nodes.select("node", "v", "code"), "v"), "own")
@@ -408,12 +419,16 @@ def _nearest_of_length(good: DataFrame, every: int, k: int) -> DataFrame:
         with np.errstate(over="ignore"):
             dist = np.sqrt(np.square(v - v[asks][of]).sum(axis=1))
         members, count = _flat(table.column("members"), np.int64)
-        best = _nearest_of(np.repeat(q, count), members, np.repeat(dist, count), np.zeros(len(members), bool), k + 1)
-        return pa.table({"node": pa.array(best[0]), "vec_id": pa.array(best[1]), "dist": pa.array(best[2])})
+        # a node comes once a query; an id comes as often as it has vectors
+        owner, far = np.repeat(q, count), np.repeat(dist, count)
+        order = np.lexsort((members, far, owner))
+        order = order[_ranks(owner[order]) < k + 1]
+        return pa.table({"node": pa.array(owner[order]), "vec_id": pa.array(members[order]), "dist": pa.array(far[order])})
 
     hits = rows.groupBy(_bucket("query", n_queries).alias("bucket")).applyInArrow(exact, "node long, vec_id long, dist double")
-    hits = hits.join(own.select("node", "v"), "node").drop("node").join(asked, "v").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "vec_id"))
+    # other vectors are never 0 apart: that is the query's own row
+    hits = hits.join(own.select("node", "v"), "node").join(asked, "v").where("vec_id <> query_id OR dist > 0")
+    rank = F.row_number().over(Window.partitionBy("query_id", "node").orderBy("dist", "vec_id"))
     out = hits.withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("dist").alias("score"))
 
@@ -427,10 +442,10 @@ def nearest(vectors: DataFrame, *, every: int = 100, k: int = 10, id_col: str =
     without an id take no part, as queries neither. Vectors of different
     lengths have no distance: each length is searched by itself. Equal vectors
     are one node of the graph and all answer. Repeated rows of an id and a
-    vector count once; other columns are ignored; an empty table gives an empty
-    result.
+    vector count once; an id on several vectors is a row for each, as a query
+    too; other columns are ignored; an empty table gives an empty result.
     """
     prepare(vectors.sparkSession)
-    good = saved(valid_vectors(vectors, id_col=id_col, vector_col=vector_col).dropDuplicates(["vec_id"]), "vectors")
+    good = saved(valid_vectors(vectors, id_col=id_col, vector_col=vector_col).distinct(), "vectors")
     lengths = [r[0] for r in good.select(F.size("v")).distinct().collect()]
     return reduce(DataFrame.unionByName, [_nearest_of_length(good.where(F.size("v") == d), every, k) for d in sorted(lengths) or [0]])
