@@ -37,11 +37,17 @@ def overlap_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def match(a: np.ndarray, b: np.ndarray, far: float) -> list[tuple[int, int]]:
-    """Optimal pairs by overlap, of which those beyond ``far`` are given up."""
+    """Optimal pairs by overlap, of which those beyond ``far`` are given up.
+    Boxes without any overlap take no part in the choice."""
     if not len(a) or not len(b):
         return []
     overlap = overlap_matrix(a, b)
-    return [(i, j) for i, j in hungarian(overlap) if 1 - overlap[i, j] <= far]
+    rows, columns = np.flatnonzero(overlap.any(axis=1)), np.flatnonzero(overlap.any(axis=0))
+    if not len(rows):
+        return []
+    some = overlap[np.ix_(rows, columns)]
+    pairs = [np.unravel_index(some.argmax(), some.shape)] if min(some.shape) == 1 else hungarian(some)
+    return [(int(rows[i]), int(columns[j])) for i, j in pairs if 1 - some[i, j] <= far]
 
 
 class Track:
@@ -103,18 +109,22 @@ def follow(frames: DataFrame, detections: DataFrame, cfg: Tracking = Tracking(),
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["frame_id", "id"], kind="stable")
-        tracks, number, out = [], 1, []
-        for at, (_, part) in enumerate(pdf.groupby("frame_id", sort=True)):
-            real = part[part["confidence"].notna()]
-            boxes = real[["x1", "y1", "x2", "y2"]].to_numpy(float)
-            tracks, given, number = update(tracks, at, boxes, real["confidence"].to_numpy(float), cfg, number)
-            out.append(real.assign(track=given)[lambda r: r["track"] > 0])
-        found = pd.concat(out) if out else pdf.iloc[:0].assign(track=0)
-        n = found.groupby("track")["frame_id"].transform("size")
-        return found[n >= cfg.confirmed_after][[*columns, "track"]]
+        frame = pdf["frame_id"].to_numpy()
+        begins = np.flatnonzero(np.concatenate(([True], frame[1:] != frame[:-1])))
+        boxes, confidence = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["confidence"].to_numpy(float)
+        track = np.zeros(len(pdf), np.int64)
+        tracks, number = [], 1
+        for at, (lo, hi) in enumerate(zip(begins.tolist(), [*begins[1:].tolist(), len(pdf)], strict=True)):
+            real = lo + np.flatnonzero(~np.isnan(confidence[lo:hi]))
+            tracks, given, number = update(tracks, at, boxes[real], confidence[real], cfg, number)
+            track[real] = given
+        many = np.bincount(np.maximum(track, 0))[np.maximum(track, 0)]
+        return pdf.assign(track=track)[(track > 0) & (many >= cfg.confirmed_after)][[*columns, "track"]]
 
     schema = ", ".join([*[f"{c} {types[c]}" for c in columns], "track int"])
-    return rows.groupBy(*scope).applyInPandas(fold, schema)
+    # a stated number of partitions: the boxes are few, the work on them is not
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *scope)
+    return dealt.groupBy(*scope).applyInPandas(fold, schema)
 
 
 def track_summary(tracked: DataFrame, *, scope: tuple = ("video_id", "clip_id")) -> DataFrame:
