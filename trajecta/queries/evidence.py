@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..adapters import table
 from ..operators import metrics as me
 from ..operators import voting as vo
+from ..plans import answers as an
+from ..plans import graph as g
 
 _W = "CASE WHEN o_orderstatus = 'P' THEN 0.6 ELSE 1.0 END * (o_totalprice / 500000.0) * (1 - (o_orderkey % 5) / 10.0)"
 
@@ -147,7 +149,30 @@ def i19_set_scores(spark, d):
 I19 = """WITH g AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n, count(DISTINCT l_suppkey) FILTER (WHERE l_returnflag = 'R') AS m FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, CASE WHEN m > 0 THEN round(m / n, 4) END AS precision, CASE WHEN m > 0 THEN 1.0 END AS recall, CASE WHEN m > 0 THEN round(2 * m / (n + m), 4) END AS f1 FROM g"""
 
+
+
+def q4_distribution(spark, d):
+    """Candidates of each customer's attribute in the order shown."""
+    return an.distribution(_distribution(spark, d), ["track"]).select("track", "rank", "value", "share")
+
+
+Q4 = f"SELECT track, CAST(row_number() OVER (PARTITION BY track ORDER BY share DESC, value) AS INTEGER) AS rank, value, share FROM ({F3})"
+
+
+def q10_best_shot_audit(spark, d):
+    """Final values that the best shot decided, with their vote shares."""
+    r = _reconciled(spark, d).withColumnRenamed("track", "global_id")
+    shares = _distribution(spark, d).select(F.col("track").alias("global_id"), "value", "share").join(r.select("global_id", "attribute"), "global_id").select("global_id", "attribute", "value", "share")
+    edges = g.attribute_edges(shares, r.select("global_id", "attribute", "value", "confidence", "source", "uncertain"))
+    return an.best_shot_audit(edges).select("global_id", F.col("type").alias("attribute"), "value", F.round("share", 6).alias("share"), F.round("confidence", 6).alias("confidence"))
+
+
+Q10 = f"""WITH {_REC}, w AS (SELECT track, value, sum(CAST(nv * ppm AS HUGEINT)) AS w FROM (SELECT *, sum(n) OVER (PARTITION BY track, clip) AS nv FROM (WITH {_vote_sql("track, clip")} SELECT track, clip, value, n, ppm FROM sh)) GROUP BY track, value),
+d AS (SELECT track, value, ((2 * w * 1000000 + sum(w) OVER (PARTITION BY track)) // (2 * sum(w) OVER (PARTITION BY track))) / 1000000 AS share FROM w)
+SELECT rec.track AS global_id, attribute, rec.value, round(coalesce(share, 0), 6) AS share, round(confidence, 6) AS confidence FROM rec LEFT JOIN d ON d.track = rec.track AND d.value = rec.value WHERE source = 'best_shot' AND rec.value IS NOT NULL"""
+
 QUERIES = {
+    "q4_distribution": (q4_distribution, Q4), "q10_best_shot_audit": (q10_best_shot_audit, Q10),
     "f1_vote": (f1_vote, F1), "f2_merge_clips": (f2_merge_clips, F2), "f3_merge_distributions": (f3_merge_distributions, F3), "f4_majority": (f4_majority, F4),
     "q22_reconcile": (q22_reconcile, Q22), "f14_outcomes": (f14_outcomes, F14), "f15_uncertainty": (f15_uncertainty, F15), "f16_accuracy": (f16_accuracy, F16),
     "f17_consistency": (f17_consistency, F17), "w12_identity_changes": (w12_identity_changes, W12), "i19_set_scores": (i19_set_scores, I19),

@@ -14,6 +14,7 @@ from ..operators import linking as ln
 from ..operators import retrieval as rt
 from ..operators import merging as mg
 from ..operators.matching import assign
+from ..plans import answers as an
 
 
 def _color_sql(column: str) -> str:
@@ -222,7 +223,48 @@ w AS (SELECT label, n, v, l, CASE WHEN k = n - 1 THEN pow(0.9, k) ELSE 0.1 * pow
 x AS (SELECT label, n, generate_subscripts(v, 1) - 1 AS i, w * unnest(v) / l AS x FROM w)
 SELECT label, n, CAST(i AS INTEGER) AS i, round(sum(x), 6) AS x FROM x GROUP BY 1, 2, 3"""
 
+
+def h12_citation_pieces(spark, d):
+    """Answers cut at their citations."""
+    _, text = _cited(spark, d)
+    p = text.select("answer_id", F.posexplode(an.citation_pieces(F.col("text"))).alias("no", "p"))
+    return p.select("answer_id", "no", "p.offset", "p.kind", "p.piece", "p.id", "p.at")
+
+
+H12 = """WITH e AS (SELECT user_id AS answer_id, event_id, '[obj_' || user_id || ' @ ' || CASE WHEN event_id % 3 = 0 THEN '00:00:00' ELSE strftime(ts, '%H:%M:%S') END || ']' AS c FROM events),
+t AS (SELECT answer_id, event_id, row_number() OVER (PARTITION BY answer_id ORDER BY event_id) AS r, c, lead(c) OVER (PARTITION BY answer_id ORDER BY event_id) IS NULL AS last FROM e),
+p AS (SELECT answer_id, r * 3 AS k, CASE WHEN r = 1 THEN 'Seen ' ELSE '. Seen ' END AS piece, 'text' AS kind FROM t UNION ALL SELECT answer_id, r * 3 + 1, c, 'citation' FROM t UNION ALL SELECT answer_id, r * 3 + 2, '.', 'text' FROM t WHERE last)
+SELECT answer_id, CAST(row_number() OVER w - 1 AS INTEGER) AS no, CAST(sum(length(piece)) OVER w - length(piece) AS INTEGER) AS "offset", kind, piece,
+ CASE WHEN kind = 'citation' THEN 'obj_' || answer_id END AS id, CASE WHEN kind = 'citation' THEN substr(piece, length(piece) - 8, 8) END AS "at" FROM p WINDOW w AS (PARTITION BY answer_id ORDER BY k)"""
+
+
+def m10_transcripts(spark, d):
+    """Events of a user as captions, sixteen of them in at most 220 characters."""
+    s = samples(spark, d)
+    captions = s.select("obj", "pos", F.date_format("ts", "HH:mm:ss").alias("at"), F.concat("class", F.lit(" "), F.floor("x").cast("string")).alias("caption"))
+    return an.transcripts(captions, most=16, budget=220, keys=("obj",))
+
+
+M10 = f"""WITH {SAMPLES_SQL}, c AS (SELECT obj, pos, '[' || strftime(ts, '%H:%M:%S') || '] ' || class || ' ' || CAST(CAST(floor(x) AS BIGINT) AS VARCHAR) AS line, count(*) OVER (PARTITION BY obj) AS n FROM samples),
+k AS (SELECT * FROM c WHERE n <= 16 OR EXISTS (SELECT 1 FROM range(16) t(i) WHERE CAST(round_even(i * (n - 1) / 15.0, 0) AS BIGINT) = pos)),
+e AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY obj ORDER BY pos) - 1 AS e FROM k)
+SELECT obj, count(*) FILTER (WHERE e <= 220) AS n_lines, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE e <= 220), '') AS transcript FROM e GROUP BY obj"""
+
+
+def q19_evidence_frames(spark, d):
+    """First frames of the objects with a supported citation, by answer."""
+    e, text = _cited(spark, d)
+    found = text.select("answer_id", F.posexplode(tx.citations(F.col("text"))).alias("pos", "c")).select("answer_id", "pos", "c.id", "c.at")
+    v = rt.validate_citations(found, e.select("answer_id", "id", "at"))
+    f = an.evidence_frames(v, e.select("id", F.col("event_id").alias("frame_id")))
+    return f.select("answer_id", "id", F.array_join(F.col("frames").cast("array<string>"), ",").alias("frames"))
+
+
+Q19 = f"""WITH v AS ({Q17}), f AS (SELECT 'obj_' || user_id AS id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events)
+SELECT answer_id, id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS frames FROM (SELECT DISTINCT answer_id, id FROM v WHERE supported) JOIN f USING (id) WHERE r <= 5 GROUP BY 1, 2"""
+
 QUERIES = {
+    "h12_citation_pieces": (h12_citation_pieces, H12), "m10_transcripts": (m10_transcripts, M10), "q19_evidence_frames": (q19_evidence_frames, Q19),
     "k6_merge_tracks": (k6_merge_tracks, K6), "k6_merged_samples": (k6_merged_samples, K6S), "f6_running_embedding": (f6_running_embedding, F6),
     "h1_color": (h1_color, H1), "h5_all_colors": (h5_all_colors, H5), "q17_citations": (q17_citations, Q17), "g1_knn": (g1_knn, G1),
     "q16_fuse": (q16_fuse, Q16), "f7_mean_embedding": (f7_mean_embedding, F7), "g4_cosine": (g4_cosine, G4), "e3_gate_join": (e3_gate_join, E3), "k4_greedy_links": (k4_greedy_links, None), "k3_assignment": (k3_assignment, None),
