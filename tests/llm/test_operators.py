@@ -130,6 +130,47 @@ def test_near_duplicates_in_overfull_regions(spark, monkeypatch):
     assert got == want
 
 
+def brute_leaves(keys, leaf):
+    """Parts of (tree, key) rows by their prefixes: the shortest with at most ``leaf`` rows."""
+    out, left = set(), keys
+    for depth in range(near_dedup.MIN_DEPTH, near_dedup.DEPTH + 1):
+        parts = {}
+        for i, (tree, key) in left.items():
+            parts.setdefault((tree, key[:depth]), []).append(i)
+        out |= {(tree, depth, tuple(sorted(m))) for (tree, _), m in parts.items() if 1 < len(m) <= leaf}
+        over = {i for m in parts.values() if len(m) > leaf for i in m}
+        left = {i: k for i, k in left.items() if i in over}
+    return out
+
+
+@pytest.mark.parametrize("partitions", ["2", "50"])
+def test_forest_leaves_against_prefixes(spark, monkeypatch, partitions):
+    """Depths adapt region by region, wherever ranges and spans part the order."""
+    rng = random.Random(11)
+    keys = {i: (rng.randrange(2), tuple(min(rng.randrange(4), rng.randrange(4)) for _ in range(near_dedup.DEPTH))) for i in range(900)}
+    keys |= {1000 + i: (0, (1,) * near_dedup.DEPTH) for i in range(40)}
+    rows = [(t, np.array(k, ">u4").tobytes(), np.array(k[: near_dedup.MIN_DEPTH], ">u4").tobytes(), i, bytes(24)) for i, (t, k) in keys.items()]
+    monkeypatch.setattr(near_dedup, "LEAF", 12)
+    monkeypatch.setattr(near_dedup, "SPAN", 30)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        order = near_dedup.forest_order(spark.createDataFrame(rows, "tree int, key binary, prefix binary, rep long, sketch binary"))
+        places = sorted((r.pos, r.tree, r.key, r.rep) for r in order.collect())
+        found = near_dedup.candidate_groups(order, threshold=80).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert [p[0] for p in places] == list(range(len(places)))
+    assert [tuple(p[1:]) for p in places] == sorted(tuple(p[1:]) for p in places)
+    groups = {}
+    for r in found:
+        groups.setdefault((r.tree, r.depth, r.gid), []).append(r.member)
+    got = [(t, d, tuple(sorted(m))) for (t, d, _), m in groups.items()]
+    want = brute_leaves(keys, 12)
+    assert len({d for _, d, _ in want}) > 3
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_substring_dedup(spark, docs, odd, none):
     seen, want = set(), {}
     for i, t in sorted(texts(docs).items()):

@@ -5,18 +5,21 @@ Plan (n documents, all steps linear in n):
 1. One scan gives every document a 128-bit hash of its shingle set and a
    MinHash signature. Equal sets fall into one class, so copies by the
    thousand cost one row from here on.
-2. Forest: the signature is cut into ``TREES`` keys. For each tree the class
-   representatives with a common prefix of ``MIN_DEPTH`` values are a region,
-   and all pairs of a region are met. Candidates are thinned by a sketch of
-   the signature that misses a true pair with a chance below 1e-6.
-3. Candidate groups are confirmed on full shingle sets: first the groups of
-   ``FIRST_TREES`` trees, then from the other trees only groups that join
+2. Forest: the signature is cut into ``TREES`` keys, each of which puts the
+   class representatives in one sorted order. Neighbours in an order share a
+   prefix of their keys; a run of rows that share ``MIN_DEPTH`` values is a
+   region. A region of more than ``LEAF`` rows is split where its neighbours'
+   longest common prefix is shorter than 3 values, then 4, until the parts fit
+   (``leaves``); all pairs of a part are met. Candidates are thinned by a
+   sketch of the signature that misses a true pair with a chance below 1e-6.
+3. Candidate groups are confirmed on full shingle sets: first the shallow ones
+   of ``FIRST_TREES`` trees, then all others, but only those that join
    different components. Only a spanning set of links leaves a group.
-4. In a region of more than ``LEAF`` rows all rows meet its hub, the row whose
-   keys most others repeat, in step 3. Then every two of its rows that are
-   still in different components meet in a pair of blocks (``block_groups``).
-   Rows of its largest component do not meet each other, so a family that is
-   linked costs one pass.
+4. What a raised depth parts is still looked at. The rows of a region that was
+   split meet its hub, the row whose keys most others repeat, in step 3. Then
+   every two of its rows that are still in different components meet in a pair
+   of blocks (``block_groups``). Rows of its largest component do not meet each
+   other, so a family that is linked costs one pass.
 5. Components of the links by contraction (``components``).
 
 A pair at the threshold shares a prefix in at least one tree with probability
@@ -39,6 +42,9 @@ TREES = 12
 DEPTH = 8
 MIN_DEPTH = 2
 LEAF = 512
+#: Rows of a sorted order that a task splits into regions at once, without
+#: the LEAF rows it sees to either side.
+SPAN = 4096
 #: Rows of a block of an overfull region whose sketches are compared in one task.
 WIDE = 1024
 FIRST_TREES = 2
@@ -181,41 +187,100 @@ def _clusters(sketch: np.ndarray, least: float) -> list[np.ndarray]:
     return out
 
 
-def candidate_groups(tree_rows: DataFrame, *, threshold: int) -> DataFrame:
-    """(tree, gid, member): groups that may hold pairs at the threshold, from
-    regions of at most ``LEAF`` rows; a group's id is a hash of its members, so
-    trees that agree repeat it."""
-    least = _least(threshold)
-    n = width(tree_rows.sparkSession)
-    dealt = tree_rows.where(F.col("size") <= LEAF).repartition(n, "tree", "prefix").sortWithinPartitions("tree", "prefix", "rep")
-
-    def flush(rows):
-        ids = np.array([i for _, _, i, _ in rows], np.int64)
-        sketch = np.frombuffer(b"".join(s for *_, s in rows), np.uint8).reshape(len(rows), -1)
-        bounds = [i for i in range(len(rows)) if not i or rows[i][:2] != rows[i - 1][:2]] + [len(rows)]
-        trees, gids, members = [], [], []
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            for found in _clusters(sketch[lo:hi], least) if hi - lo > 1 else ():
-                group = ids[lo:hi][found]
-                trees.append(np.full(len(group), rows[lo][0], np.int32))
-                gids.append(np.full(len(group), mix(group.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)))
-                members.append(group)
-        if members:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (trees, gids, members)], ["tree", "gid", "member"])
+def _runs(rows: DataFrame) -> DataFrame:
+    """``rows`` in every tree's sorted order, by ranges of (tree, key, rep), less
+    those that share no region with a neighbour; the first and the last row of
+    a partition stay, as theirs are elsewhere."""
+    n = width(rows.sparkSession)
+    ordered = rows.repartitionByRange(n, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
 
     def scan(batches):
-        # rows arrive sorted; what is held ends with a whole region
-        rows = []
+        held, alike = None, True
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("tree", "prefix", "rep", "sketch")), strict=True):
-                if len(rows) >= 16 * LEAF and row[:2] != rows[-1][:2]:
-                    yield from flush(rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield from flush(rows)
+            if not b.num_rows:
+                continue
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            places = b.column("tree").to_numpy(zero_copy_only=False), np.array(b.column("prefix").to_pylist(), object)
+            same = (places[0][1:] == places[0][:-1]) & (places[1][1:] == places[1][:-1])
+            stays = np.concatenate(([alike], same[:-1])) | same if len(same) else np.zeros(0, bool)
+            yield b.slice(0, len(same)).filter(pa.array(stays, pa.bool_()))
+            # the last row waits for its next neighbour
+            held, alike = b.slice(len(same)), bool(same[-1]) if len(same) else alike
+        if held is not None:
+            yield held
+
+    return ordered.mapInArrow(scan, ordered.schema)
+
+
+def forest_order(rows: DataFrame) -> DataFrame:
+    """``_runs`` with ``pos``, every row's place in the one order of all trees."""
+    ordered = cut(_runs(rows)).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    # one number a partition
+    sizes = {r["_part"]: r["n"] for r in ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, at = [], 0
+    for part in range(max(sizes, default=0) + 1):
+        starts.append((part, at))
+        at += sizes.get(part, 0)
+    starts = F.broadcast(rows.sparkSession.createDataFrame(starts, "_part int, _start long"))
+    return ordered.join(starts, "_part").withColumn("pos", F.col("_start") + F.col("_at")).drop("_part", "_start", "_at")
+
+
+def common_prefix(tree: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Leading values that rows i and i + 1 have in common, none across trees."""
+    same = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(axis=1)
+    return np.where(tree[1:] == tree[:-1], same, 0)
+
+
+def leaves(lcp: np.ndarray, leaf: int, least: int, most: int) -> list[tuple[int, int, int]]:
+    """(depth, first row, end): the parts of a sorted order whose neighbours
+    share ``depth`` values, at the least depth from ``least`` to ``most`` at
+    which the part has at most ``leaf`` rows. Rows alone, and runs too large
+    at any depth, are in none."""
+    out, done = [], np.zeros(len(lcp) + 1, bool)
+    for depth in range(least, most + 1):
+        bounds = np.concatenate(([0], np.flatnonzero(lcp < depth) + 1, [len(lcp) + 1]))
+        size = np.diff(bounds)
+        for r in np.flatnonzero((size <= leaf) & ~done[bounds[:-1]]).tolist():
+            done[bounds[r] : bounds[r + 1]] = True
+            if size[r] > 1:
+                out.append((depth, int(bounds[r]), int(bounds[r + 1])))
+    return out
+
+
+def candidate_groups(order: DataFrame, *, threshold: int) -> DataFrame:
+    """(tree, depth, gid, member): groups that may hold pairs at the threshold,
+    from the leaves of the sorted orders ``forest_order``; a group's id is a
+    hash of its members, so trees that agree repeat it.
+
+    The order is dealt in spans of SPAN rows with LEAF rows of the spans beside
+    it: a run that reaches from a span's own rows to the end of what it sees is
+    too large in any case, so all spans agree on a leaf, and the span of its
+    first row returns it."""
+    least, leaf, span = _least(threshold), LEAF, SPAN
+    spans = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - leaf) / span)).cast("int"), F.floor((F.col("pos") + leaf) / span).cast("int")))
+    dealt = order.select("tree", "key", "rep", "sketch", "pos", spans.alias("span"))
+
+    def split(table: pa.Table) -> pa.Table:
+        pos = table.column("pos").to_numpy()
+        table, pos, own = table.take(pa.array(np.argsort(pos))), np.sort(pos), table.column("span")[0].as_py()
+        tree, ids = (table.column(c).to_numpy() for c in ("tree", "rep"))
+        keys = np.frombuffer(b"".join(table.column("key").to_pylist()), ">u4").reshape(len(ids), -1)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        trees, depths, gids, members = [], [], [], []
+        for depth, lo, hi in leaves(common_prefix(tree, keys), leaf, MIN_DEPTH, DEPTH):
+            if pos[lo] // span != own:
+                continue
+            for found in _clusters(sketch[lo:hi], least):
+                group = ids[lo:hi][found]
+                trees.append(np.full(len(group), tree[lo], np.int32))
+                depths.append(np.full(len(group), depth, np.int32))
+                gids.append(np.full(len(group), mix(group.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)))
+                members.append(group)
+        columns = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((trees, np.int32), (depths, np.int32), (gids, np.int64), (members, np.int64))]
+        return pa.table(dict(zip(("tree", "depth", "gid", "member"), columns, strict=True)))
 
-    return dealt.mapInArrow(scan, "tree int, gid long, member long")
+    return dealt.groupBy("span").applyInArrow(split, "tree int, depth int, gid long, member long")
 
 
 def hub_groups(hot: DataFrame, total: int) -> DataFrame:
@@ -362,22 +427,23 @@ def _judged(docs: DataFrame, *, words: int, threshold: int, id_col: str, text_co
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     rows = _tree_rows(classes)
     classes = classes.drop("sig")
-    sizes = cut(rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    total = TREES * classes.count()
-    rows = cut(join_by_size(rows, sizes, ["tree", "prefix"], "size", total))
-    found = cut(candidate_groups(rows, threshold=threshold))
-    hot = rows.where(F.col("size") > LEAF)
+    order = forest_order(rows)
+    found = cut(candidate_groups(order, threshold=threshold))
+    # regions that were split: at most a LEAF-th of the rows
+    split = cut(order.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LEAF))
     how = {"words": words, "threshold": threshold, "id_col": id_col, "text_col": text_col}
-    overfull = not hot.isEmpty()
+    total, overfull = TREES * classes.count(), not split.isEmpty()
+    hot = cut(join_by_size(order.drop("pos"), split, ["tree", "prefix"], "size", total)) if overfull else None
 
-    # first trees and hubs
-    part = found.where(F.col("tree") < FIRST_TREES).select("gid", "member").distinct().withColumn("lead", F.lit(False))
+    # whole regions of the first trees, and hubs of the others
+    first = (F.col("tree") < FIRST_TREES) & (F.col("depth") == MIN_DEPTH)
+    part = found.where(first).select("gid", "member").distinct().withColumn("lead", F.lit(False))
     part = cut(part.unionByName(hub_groups(hot, total)) if overfull else part)
     links = cut(_confirm(docs, part.withColumn("known", F.col("member")), classes, **how))
     label = cut(components(links))
 
-    # other trees' groups, where they join different components
-    own = found.where(F.col("tree") >= FIRST_TREES).select("gid", "member").distinct()
+    # all other leaves, where they join different components
+    own = found.where(~first).select("gid", "member").distinct()
     own = own.join(label.select(F.col("node").alias("member"), F.col("component").alias("known")), "member", "left").withColumn("known", F.coalesce("known", "member"))
     whole = Window.partitionBy("gid")
     own = cut(own.withColumns({"lo": F.min("known").over(whole), "hi": F.max("known").over(whole)}).where("lo <> hi").drop("lo", "hi"))
