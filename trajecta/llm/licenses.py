@@ -1,11 +1,14 @@
-"""Licence scan: winnowed fingerprints, then banded alignment.
+"""Licence scan: winnowed fingerprints, banded alignment, chained pieces.
 
 Templates are winnowed into an inverted index of k-gram hashes; it holds the
 templates only, so its size is fixed and it travels with the tasks. Every
 document is winnowed the same way: a shared run of ``GRAM + WINDOW - 1`` words
 is sure to share a fingerprint. Hits of one template on near diagonals make a
-candidate, which a local alignment in a band around them confirms or rejects.
-One pass, no shuffle.
+candidate; all candidates of a template in a batch are aligned together,
+locally, in a band around their diagonals. What lies in the text around the
+aligned runs is aligned again while it holds hits. Runs of one template in the
+order of both make a chain, so that words put in between, or left out, part a
+notice into spans and do not hide it. One pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare
@@ -26,6 +29,12 @@ WINDOW = 2
 #: Diagonals that a candidate may spread over, to either side.
 BAND = 12
 MIN_COVERAGE = 0.8
+#: Least coverage and words of a partial match.
+MIN_PARTIAL, MIN_WORDS = 0.25, 20
+#: A piece is worth its matched words times this, less the text words skipped.
+WORTH = 20
+#: Cells of the alignments made together.
+CELLS = 8_000_000
 #: ASCII other than letters and digits parts words; other bytes belong to them.
 _PARTS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _MATCH, _MISS, _GAP = 2, -1, -1
@@ -72,88 +81,178 @@ class Index:
         return self.hashes[at] == grams
 
 
-def align(template: np.ndarray, text: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Best local alignment within BAND of the diagonal text = template +
-    shift: (matched words, first text word, end text word)."""
-    width = 2 * BAND + 1
-    rows, cols = len(template), len(text)
-    score = [[0] * width for _ in range(rows + 1)]
-    step = [[0] * width for _ in range(rows + 1)]
-    best = (0, 0, 0)
-    t, d = template.tolist(), text.tolist()
-    for i in range(1, rows + 1):
-        above, here, steps = score[i - 1], score[i], step[i]
-        for k in range(width):
-            j = i + shift + k - BAND  # text words consumed
-            if j < 1 or j > cols:
-                continue
-            s, how = above[k] + (_MATCH if t[i - 1] == d[j - 1] else _MISS), 1
-            if k + 1 < width and above[k + 1] + _GAP > s:
-                s, how = above[k + 1] + _GAP, 2  # a template word is missing
-            if k and here[k - 1] + _GAP > s:
-                s, how = here[k - 1] + _GAP, 3  # a text word is extra
-            if s > 0:
-                here[k], steps[k] = s, how
-                if s > best[0]:
-                    best = (s, i, k)
-    s, i, k = best
-    end = i + shift + k - BAND
-    matched, start = 0, end
-    while s > 0 and step[i][k]:
-        j, how = i + shift + k - BAND, step[i][k]
-        if how == 1:
-            matched += t[i - 1] == d[j - 1]
-            start, i = j - 1, i - 1
-        elif how == 2:
-            i, k = i - 1, k + 1
-        else:
-            start, k = j - 1, k - 1
-        s = score[i][k]
-    return matched, start, end
-
-
-def _matches(index: Index, words: np.ndarray, grams: np.ndarray, hits: np.ndarray, least: float) -> list[tuple]:
-    """(template, matched, start, end) in one document, best first where they
-    overlap."""
+def align(template: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray, shift: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Best local alignment of ``template`` with each stretch ``low`` to
+    ``high`` of ``words`` within BAND of the diagonal word = place + shift:
+    the places of its matched words in the template and in ``words``."""
+    rows, width, n = len(template), 2 * BAND + 1, len(low)
+    k = np.arange(width)
+    left = (shift - BAND)[:, None] + k  # word met by the template's first, per diagonal
+    above = np.zeros((n, width), np.int32)
+    step = np.zeros((rows, n, width), np.uint8)
+    top, at_row, at_k = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    up = np.full((n, width), _GAP, np.int32)
+    for i in range(rows):
+        place = left + i
+        inside = (place >= low[:, None]) & (place < high[:, None])
+        same = words[np.clip(place, 0, len(words) - 1)] == template[i]
+        diagonal = above + np.where(same, _MATCH, _MISS)
+        up[:, :-1] = above[:, 1:] + _GAP  # a template word is missing
+        here = np.where(inside, np.maximum(np.maximum(diagonal, up), 0), 0)
+        # extra text words: the best cell to the left, less the way from it
+        here = np.maximum.accumulate(here - _GAP * k, axis=1) + _GAP * k
+        here = np.where(inside, here, 0).astype(np.int32)
+        step[i] = np.where(here == 0, 0, np.where(here == diagonal, 1, np.where(here == up, 2, 3)))
+        best = here.max(axis=1)
+        more = best > top
+        top[more], at_row[more], at_k[more] = best[more], i, here.argmax(axis=1)[more]
+        above = here
+    met = np.full((n, rows), -1, np.int64)
+    live = np.flatnonzero(top > 0)
+    while len(live):
+        i, j = at_row[live], at_k[live]
+        how, place = step[i, live, j], left[live, j] + i
+        hit = (how == 1) & (words[np.clip(place, 0, len(words) - 1)] == template[i])
+        met[live[hit], i[hit]] = place[hit]
+        at_row[live] -= (how == 1) | (how == 2)
+        at_k[live] += (how == 2).astype(np.int64) - (how == 3)
+        live = live[(how > 0) & (at_row[live] >= 0)]
+    found = [np.flatnonzero(m >= 0) for m in met]
+    return [(f, m[f]) for f, m in zip(found, met, strict=True)]
+
+
+def chains(pieces: list[tuple[np.ndarray, np.ndarray]], length: int) -> list[list[np.ndarray]]:
+    """Pieces of one template of ``length`` words, chained by the order of
+    template and text; where two overlap the later one gives way. Best chains
+    first, each piece in one: the text places of their matched words."""
+    pieces = sorted(pieces, key=lambda x: (x[1][-1], x[1][0]))
+    ends, of_ends = np.array([t[-1] for _, t in pieces]), np.array([q[-1] for q, _ in pieces])
+    value, back, trim = np.zeros(len(pieces), np.int64), np.full(len(pieces), -1), np.zeros(len(pieces), np.int64)
+    for i, (of, at) in enumerate(pieces):
+        value[i] = WORTH * len(at)
+        # a chain is worth WORTH * length at most: none from farther back gains
+        first = int(np.searchsorted(ends[:i], at[0] - WORTH * length))
+        if first < i:
+            off = np.maximum(np.searchsorted(of, of_ends[first:i] + 1), np.searchsorted(at, ends[first:i] + 1))
+            gap = at[np.minimum(off, len(at) - 1)] - ends[first:i] - 1
+            worth = np.where(off < len(at), value[first:i] + WORTH * (len(at) - off) - gap, 0)
+            j = int(worth.argmax())
+            if worth[j] > value[i]:
+                value[i], back[i], trim[i] = worth[j], first + j, off[j]
+    out, used = [], np.zeros(len(pieces), bool)
+    for i in np.argsort(-value, kind="stable").tolist():
+        part: list[np.ndarray] = []
+        while i >= 0 and not used[i]:
+            used[i] = True
+            before = int(back[i])
+            part.append(pieces[i][1][trim[i] if before >= 0 and not used[before] else 0 :])
+            i = before
+        if part:
+            out.append(part[::-1])
+    return out
+
+
+def _candidates(index: Index, doc: int, first: int, last: int, grams: np.ndarray, hits: np.ndarray) -> list[tuple]:
+    """(document, template, its first and end word, hits as rows of shift and
+    word) of near diagonals in one document."""
     by: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for p in hits.tolist():
         for t, q in index.places[int(grams[p])]:
-            by[t].append((p - q, p))
-    found = []
+            by[t].append((first + p - q, first + p))
+    out = []
     for t, spots in by.items():
-        template, spots = index.words[t], sorted(spots)
-        groups: list[list[tuple[int, int]]] = [[spots[0]]]
-        for spot in spots[1:]:
-            # a candidate: near diagonals
-            if spot[0] - groups[-1][0][0] <= BAND:
-                groups[-1].append(spot)
-            else:
-                groups.append([spot])
-        for g in groups:
-            shift = sorted(s for s, _ in g)[len(g) // 2]
-            lo = max(0, shift - BAND)
-            hi = min(len(words), shift + len(template) + BAND)
-            matched, start, end = align(template, words[lo:hi], shift - lo)
-            if matched >= least * len(template):
-                found.append((t, matched, lo + start, lo + end))
-    found.sort(key=lambda m: (-m[1], m[1] - len(index.words[m[0]]), m[2], m[0]))
-    kept: list[tuple] = []
-    for m in found:
-        if all(m[3] <= o[2] or m[2] >= o[3] for o in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: (m[2], m[0]))
+        rows = np.array(sorted(spots))
+        start = 0
+        while start < len(rows):
+            end = int(np.searchsorted(rows[:, 0], rows[start, 0] + BAND, side="right"))
+            out.append((doc, t, first, last, rows[start:end]))
+            start = end
+    return out
+
+
+def _aligned(index: Index, words: np.ndarray, todo: list[tuple]) -> dict[tuple[int, int], list]:
+    """Pieces of every (document, template): unbroken runs of its alignments."""
+    pieces: dict[tuple[int, int], list] = defaultdict(list)
+    while todo:
+        by: dict[int, list[tuple]] = defaultdict(list)
+        for c in todo:
+            by[c[1]].append(c)
+        todo = []
+        for t, group in by.items():
+            template = index.words[t]
+            many = max(1, CELLS // (len(template) * (2 * BAND + 1)))
+            for part in (group[a : a + many] for a in range(0, len(group), many)):
+                shift = np.array([c[4][len(c[4]) // 2, 0] for c in part])
+                low, high = np.array([c[2] for c in part]), np.array([c[3] for c in part])
+                for (doc, _, lo, hi, rows), (of, at) in zip(part, align(template, words, low, high, shift), strict=True):
+                    if not len(at):
+                        continue
+                    runs = np.flatnonzero((np.diff(of) != 1) | (np.diff(at) != 1)) + 1
+                    own = list(zip(np.split(of, runs), np.split(at, runs), strict=True))
+                    pieces[doc, t] += own
+                    # a path beyond this band may fill what lies between
+                    for a, z in zip([lo, *[int(x[-1]) + 1 for _, x in own]], [*[int(x[0]) for _, x in own], hi], strict=True):
+                        rest = rows[(rows[:, 1] >= a) & (rows[:, 1] + GRAM <= z)]
+                        if len(rest):
+                            todo.append((doc, t, a, z, rest))
+    return pieces
+
+
+def _matches(index: Index, words: np.ndarray, todo: list[tuple], least: float) -> dict[int, list[tuple]]:
+    """By document: (template, matched words, spans of words), best first where
+    they overlap, else in the order of the text."""
+    found: dict[int, list[tuple]] = defaultdict(list)
+    for (doc, t), pieces in _aligned(index, words, todo).items():
+        length = len(index.words[t])
+        for chain in chains(pieces, length):
+            matched = sum(map(len, chain))
+            if matched >= least * length or (matched >= MIN_WORDS and matched >= MIN_PARTIAL * length):
+                spans = [[int(chain[0][0]), int(chain[0][-1]) + 1]]
+                for x in chain[1:]:
+                    if x[0] - spans[-1][1] <= BAND:
+                        spans[-1][1] = int(x[-1]) + 1
+                    else:
+                        spans.append([int(x[0]), int(x[-1]) + 1])
+                found[doc].append((t, matched, spans))
+    out = {}
+    for doc, rows in found.items():
+        rows.sort(key=lambda m: (-m[1], m[1] - len(index.words[m[0]]), m[2][0][0], m[0]))
+        origin = min(m[2][0][0] for m in rows)
+        taken, kept = np.zeros(max(m[2][-1][1] for m in rows) - origin, bool), []
+        for m in rows:
+            if not any(taken[a - origin : z - origin].any() for a, z in m[2]):
+                kept.append(m)
+                for a, z in m[2]:
+                    taken[a - origin : z - origin] = True
+        out[doc] = sorted(kept, key=lambda m: (m[2][0][0], m[0]))
+    return out
+
+
+_SPANS = pa.list_(pa.struct([(c, pa.int64()) for c in ("start_char", "end_char", "start_word", "end_word")]))
+
+
+def read_templates(spark: SparkSession, path: str) -> dict[str, str]:
+    """A folder of licence texts, one a file, as templates by file name. A
+    licence list is short; it is kept on the driver and sent with the tasks."""
+    rows = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value").collect()
+    return {r.name: r.value for r in sorted(rows)}
 
 
 def scan_licenses(docs: DataFrame, *, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per match: doc_id, license, coverage (matched words over the
-    template's words), n_matched, start_char, end_char (the span in the text),
-    start_word, end_word. Of matches that overlap in a document the one with
-    more matched words is reported. Null and empty texts match nothing; ids
-    may be null or repeat; an empty table gives an empty result."""
+    template's words), whole (coverage of at least ``min_coverage``; others are
+    partial, with MIN_PARTIAL and MIN_WORDS at least), n_matched, start_char,
+    end_char, start_word, end_word of all of it, and ``spans``, the same of each
+    span (runs at most BAND words apart are one). Of matches whose spans overlap in a document the one with more
+    matched words is reported, then the one that lacks fewer, then the earlier,
+    then the template named first. Null and empty texts match nothing; ids may
+    be null or repeat, each row is scanned by itself; other columns are left
+    out; an empty table, or no templates, gives an empty result."""
     prepare(docs.sparkSession)
     templates = dict(TEMPLATES if templates is None else templates)
-    schema = "doc_id long, license string, coverage double, n_matched int, start_char long, end_char long, start_word long, end_word long"
-    types = [pa.int64(), pa.string(), pa.float64(), pa.int32(), *[pa.int64()] * 4]
+    schema = "doc_id long, license string, coverage double, whole boolean, n_matched int, start_char long, end_char long, start_word long, end_word long, spans array<struct<start_char:long,end_char:long,start_word:long,end_word:long>>"
+    names = ["doc_id", "license", "coverage", "whole", "n_matched", "start_char", "end_char", "start_word", "end_word", "spans"]
+    types = [pa.int64(), pa.string(), pa.float64(), pa.bool_(), pa.int32(), *[pa.int64()] * 4, _SPANS]
 
     def scan(batches):
         index = Index(templates)
@@ -164,18 +263,19 @@ def scan_licenses(docs: DataFrame, *, templates: dict[str, str] | None = None, m
                 g = windows(h, GRAM)
                 count = np.maximum(0, np.diff(batch.first) - GRAM + 1)
                 docs_hit = np.flatnonzero(np.add.reduceat(np.concatenate((index.known(g), [False] * GRAM)).astype(np.int64), batch.first[:-1]) * (count > 0)) if len(h) else []
-                ids, out = b.column("doc_id").to_pylist(), []
+                todo, ids, out = [], b.column("doc_id").to_pylist(), []
                 for i in docs_hit:
-                    first, last = batch.first[i], batch.first[i + 1]
+                    first, last = int(batch.first[i]), int(batch.first[i + 1])
                     own = g[first : first + count[i]]
                     hits = np.flatnonzero(winnow(own) & index.known(own))
-                    if not len(hits):
-                        continue
-                    for t, matched, lo, hi in _matches(index, h[first:last], own, hits, min_coverage):
-                        begin = batch.begin[i]
-                        a, z = batch.starts[first + lo], batch.ends[first + hi - 1]
-                        start = len(batch.bytes[begin:a].tobytes().decode("utf-8", "replace"))
-                        out.append((ids[i], index.names[t], matched / len(index.words[t]), int(matched), start, start + len(batch.bytes[a:z].tobytes().decode("utf-8", "replace")), int(lo), int(hi)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 8, types, strict=True)], ["doc_id", "license", "coverage", "n_matched", "start_char", "end_char", "start_word", "end_word"])
+                    todo += _candidates(index, int(i), first, last, own, hits)
+                for i, rows in sorted(_matches(index, h, todo, min_coverage).items()):
+                    begin, first = batch.begin[i], int(batch.first[i])
+                    chars = np.concatenate(([0], np.cumsum((batch.bytes[begin : batch.ends[batch.first[i + 1] - 1]] & 0xC0) != 0x80)))
+                    for t, matched, spans in rows:
+                        each = [(int(chars[batch.starts[a] - begin]), int(chars[batch.ends[z - 1] - begin]), a - first, z - first) for a, z in spans]
+                        cover = matched / len(index.words[t])
+                        out.append((ids[i], index.names[t], cover, cover >= min_coverage, matched, each[0][0], each[-1][1], each[0][2], each[-1][3], [dict(zip(_SPANS.value_type.names, e, strict=True)) for e in each]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(names), types, strict=True)], names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, schema)

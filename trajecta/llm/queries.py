@@ -60,7 +60,8 @@ def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", F.to_json("spans"))
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
