@@ -33,6 +33,9 @@ MIN_COVERAGE = 0.8
 MIN_PARTIAL, MIN_WORDS = 0.25, 20
 #: A piece is worth its matched words times this, less the text words skipped.
 WORTH = 20
+#: Template words without a hit that end a candidate, and that it reaches
+#: beyond its hits: longer runs than GRAM + WINDOW - 2 words always hold one.
+APART, REACH = 64, 2 * BAND
 #: Cells of the alignments made together.
 CELLS = 8_000_000
 #: ASCII other than letters and digits parts words; other bytes belong to them.
@@ -67,6 +70,7 @@ class Index:
         batch = _words(pa.array([templates[n] for n in self.names], pa.string()))
         h = batch.words()
         self.words = [h[a:b] for a, b in zip(batch.first[:-1], batch.first[1:], strict=True)]
+        self.flat, self.base = h, batch.first
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, w in enumerate(self.words):
             g = windows(w, GRAM)
@@ -81,21 +85,22 @@ class Index:
         return self.hashes[at] == grams
 
 
-def align(template: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray, shift: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Best local alignment of ``template`` with each stretch ``low`` to
-    ``high`` of ``words`` within BAND of the diagonal word = place + shift:
-    the places of its matched words in the template and in ``words``."""
-    rows, width, n = len(template), 2 * BAND + 1, len(low)
+def align(flat: np.ndarray, t_low: np.ndarray, t_high: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray, shift: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Best local alignment of each template stretch ``t_low`` to ``t_high`` of
+    ``flat`` with the stretch ``low`` to ``high`` of ``words`` within BAND of
+    the diagonal word = place + shift: the places of its matched words in
+    ``flat`` and in ``words``."""
+    rows, width, n = int((t_high - t_low).max()), 2 * BAND + 1, len(low)
     k = np.arange(width)
-    left = (shift - BAND)[:, None] + k  # word met by the template's first, per diagonal
+    left = (t_low + shift - BAND)[:, None] + k  # word met by the stretch's first, per diagonal
     above = np.zeros((n, width), np.int32)
     step = np.zeros((rows, n, width), np.uint8)
     top, at_row, at_k = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)
     up = np.full((n, width), _GAP, np.int32)
     for i in range(rows):
         place = left + i
-        inside = (place >= low[:, None]) & (place < high[:, None])
-        same = words[np.clip(place, 0, len(words) - 1)] == template[i]
+        inside = (place >= low[:, None]) & (place < high[:, None]) & (t_low + i < t_high)[:, None]
+        same = words[np.clip(place, 0, len(words) - 1)] == flat[np.minimum(t_low + i, len(flat) - 1)][:, None]
         diagonal = above + np.where(same, _MATCH, _MISS)
         up[:, :-1] = above[:, 1:] + _GAP  # a template word is missing
         here = np.where(inside, np.maximum(np.maximum(diagonal, up), 0), 0)
@@ -112,13 +117,13 @@ def align(template: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.nda
     while len(live):
         i, j = at_row[live], at_k[live]
         how, place = step[i, live, j], left[live, j] + i
-        hit = (how == 1) & (words[np.clip(place, 0, len(words) - 1)] == template[i])
+        hit = (how == 1) & (words[np.clip(place, 0, len(words) - 1)] == flat[t_low[live] + i])
         met[live[hit], i[hit]] = place[hit]
         at_row[live] -= (how == 1) | (how == 2)
         at_k[live] += (how == 2).astype(np.int64) - (how == 3)
         live = live[(how > 0) & (at_row[live] >= 0)]
     found = [np.flatnonzero(m >= 0) for m in met]
-    return [(f, m[f]) for f, m in zip(found, met, strict=True)]
+    return [(f + t, m[f]) for f, m, t in zip(found, met, t_low, strict=True)]
 
 
 def chains(pieces: list[tuple[np.ndarray, np.ndarray]], length: int) -> list[list[np.ndarray]]:
@@ -154,18 +159,21 @@ def chains(pieces: list[tuple[np.ndarray, np.ndarray]], length: int) -> list[lis
 
 def _candidates(index: Index, doc: int, first: int, last: int, grams: np.ndarray, hits: np.ndarray) -> list[tuple]:
     """(document, template, its first and end word, hits as rows of shift and
-    word) of near diagonals in one document."""
+    word) of near diagonals and neighbouring template words in one document."""
     by: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for p in hits.tolist():
         for t, q in index.places[int(grams[p])]:
-            by[t].append((first + p - q, first + p))
+            by[t].append((first + p - q - int(index.base[t]), first + p))
     out = []
     for t, spots in by.items():
         rows = np.array(sorted(spots))
         start = 0
         while start < len(rows):
             end = int(np.searchsorted(rows[:, 0], rows[start, 0] + BAND, side="right"))
-            out.append((doc, t, first, last, rows[start:end]))
+            near = rows[start:end]
+            near = near[np.argsort(near[:, 1] - near[:, 0], kind="stable")]
+            for part in np.split(near, np.flatnonzero(np.diff(near[:, 1] - near[:, 0]) > APART) + 1):
+                out.append((doc, t, first, last, part))
             start = end
     return out
 
@@ -173,28 +181,34 @@ def _candidates(index: Index, doc: int, first: int, last: int, grams: np.ndarray
 def _aligned(index: Index, words: np.ndarray, todo: list[tuple]) -> dict[tuple[int, int], list]:
     """Pieces of every (document, template): unbroken runs of its alignments."""
     pieces: dict[tuple[int, int], list] = defaultdict(list)
+    width = 2 * BAND + 1
     while todo:
-        by: dict[int, list[tuple]] = defaultdict(list)
-        for c in todo:
-            by[c[1]].append(c)
-        todo = []
-        for t, group in by.items():
-            template = index.words[t]
-            many = max(1, CELLS // (len(template) * (2 * BAND + 1)))
-            for part in (group[a : a + many] for a in range(0, len(group), many)):
-                shift = np.array([c[4][len(c[4]) // 2, 0] for c in part])
-                low, high = np.array([c[2] for c in part]), np.array([c[3] for c in part])
-                for (doc, _, lo, hi, rows), (of, at) in zip(part, align(template, words, low, high, shift), strict=True):
-                    if not len(at):
-                        continue
-                    runs = np.flatnonzero((np.diff(of) != 1) | (np.diff(at) != 1)) + 1
-                    own = list(zip(np.split(of, runs), np.split(at, runs), strict=True))
-                    pieces[doc, t] += own
-                    # a path beyond this band may fill what lies between
-                    for a, z in zip([lo, *[int(x[-1]) + 1 for _, x in own]], [*[int(x[0]) for _, x in own], hi], strict=True):
-                        rest = rows[(rows[:, 1] >= a) & (rows[:, 1] + GRAM <= z)]
-                        if len(rest):
-                            todo.append((doc, t, a, z, rest))
+        ends = []
+        for _, t, _, _, rows in todo:
+            q = rows[:, 1] - rows[:, 0]
+            ends.append((max(int(index.base[t]), int(q.min()) - REACH), min(int(index.base[t + 1]), int(q.max()) + GRAM + REACH)))
+        reach = np.array(ends)
+        # stretches of like lengths together
+        order = np.argsort(reach[:, 1] - reach[:, 0], kind="stable")
+        now, todo, start = todo, [], 0
+        while start < len(order):
+            size = (reach[order[start:], 1] - reach[order[start:], 0]) * np.arange(1, len(order) - start + 1) * width
+            end = start + max(1, int(np.searchsorted(size, CELLS, side="right")))
+            part, span = [now[c] for c in order[start:end]], reach[order[start:end]]
+            start = end
+            shift = np.array([np.sort(c[4][:, 0])[len(c[4]) // 2] for c in part])
+            low, high = np.array([c[2] for c in part]), np.array([c[3] for c in part])
+            for (doc, t, lo, hi, rows), (of, at) in zip(part, align(index.flat, span[:, 0], span[:, 1], words, low, high, shift), strict=True):
+                if not len(at):
+                    continue
+                runs = np.flatnonzero((np.diff(of) != 1) | (np.diff(at) != 1)) + 1
+                own = list(zip(np.split(of, runs), np.split(at, runs), strict=True))
+                pieces[doc, t] += own
+                # a path beyond this band may fill what lies between
+                for a, z in zip([lo, *[int(x[-1]) + 1 for _, x in own]], [*[int(x[0]) for _, x in own], hi], strict=True):
+                    rest = rows[(rows[:, 1] >= a) & (rows[:, 1] + GRAM <= z)]
+                    if len(rest):
+                        todo.append((doc, t, a, z, rest))
     return pieces
 
 
