@@ -99,7 +99,15 @@ def first_count(text: Column) -> Column:
     return F.when(found.rlike(r"^\d+$"), found.cast("int")).otherwise(F.try_element_at(words, found))
 
 
+_LATEX = {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"} | {c: "\\" + c for c in "&%$#_{}"}
+
+
 def latex_escape(text: str) -> str:
     """For report cells."""
-    table = {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"} | {c: "\\" + c for c in "&%$#_{}"}
-    return "".join(table.get(c, c) for c in text)
+    return "".join(_LATEX.get(c, c) for c in text)
+
+
+def latex_escaped(text: Column) -> Column:
+    """``latex_escape`` of a column, character by character."""
+    table = F.create_map(*[F.lit(x) for c, t in _LATEX.items() for x in (c, t)])
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")

@@ -62,12 +62,12 @@ def idf1(truth: DataFrame, found: DataFrame, scope: list[str], *, keys: list[str
     return n.join(hit, keys, "left").select(*keys, F.round(F.coalesce(2 * F.col("hit") / total, F.lit(0.0)), 6).alias("idf1"))
 
 
-def attribute_accuracy(rows: DataFrame) -> DataFrame:
-    """``(attribute, truth, value, uncertain)`` -> per attribute the counts and
-    the precision of what was answered and its coverage."""
+def attribute_accuracy(rows: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
+    """``(keys.., attribute, truth, value, uncertain)`` -> per key and attribute
+    the counts and the precision of what was answered and its coverage."""
     known = F.col("truth").isNotNull()
     said = F.col("value").isNotNull() & ~F.coalesce("uncertain", F.lit(False))
-    df = rows.groupBy("attribute").agg(F.count_if(known & said & (F.col("value") == F.col("truth"))).alias("correct"), F.count_if(known & said & (F.col("value") != F.col("truth"))).alias("wrong"), F.count_if(known & ~said).alias("abstained"), F.count_if(~known).alias("missing_truth"))
+    df = rows.groupBy(*keys, "attribute").agg(F.count_if(known & said & (F.col("value") == F.col("truth"))).alias("correct"), F.count_if(known & said & (F.col("value") != F.col("truth"))).alias("wrong"), F.count_if(known & ~said).alias("abstained"), F.count_if(~known).alias("missing_truth"))
     answered = F.col("correct") + F.col("wrong")
     return df.withColumns({"precision": F.round(F.try_divide(F.col("correct"), answered), 4), "coverage": F.round(F.try_divide(answered, answered + F.col("abstained")), 4)})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,26 @@ def artifact(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(ARTIFACTS[kind]).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+#: Fixed value: the key of a document that nobody has corrected yet.
+UNREVIEWED = "REMOVE_THIS_KEY_ONCE_REVIEWED"
+
+
+def reviewed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents of ground truth or questions, one a file: no rows where
+    ``path`` (a file, a folder or a pattern) does not exist, an error where a
+    document still has the key of unreviewed templates or is malformed."""
+    try:
+        raw = spark.read.schema(f"{schema}, `{UNREVIEWED}` string").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    left = raw.where(F.col(UNREVIEWED).isNotNull()).select(F.input_file_name().alias("file")).distinct().orderBy("file").take(5)
+    if left:
+        raise ValueError(f"unreviewed templates, correct them and delete {UNREVIEWED}: " + ", ".join(r.file for r in left))
+    return raw.drop(UNREVIEWED)
+
+
 def save(df: DataFrame, path: str, *, scope: tuple = ("video_id",)) -> None:
     """Replace the rows of exactly the scopes in ``df`` (a video's artifacts
     are rewritten as a whole), other scopes stay."""
