@@ -4,9 +4,9 @@ Modules hold ``QUERIES``: name -> (callable, SQL or None)."""
 
 from __future__ import annotations
 
-from . import detections, documents, evidence, graph, motion, payload, questions, reports, review, search
+from . import detections, documents, evidence, graph, motion, payload, questions, reports, review, search, tracks
 
-_ALL = {**motion.QUERIES, **evidence.QUERIES, **graph.QUERIES, **search.QUERIES, **documents.QUERIES, **review.QUERIES, **questions.QUERIES, **detections.QUERIES, **payload.QUERIES, **reports.QUERIES}
+_ALL = {**motion.QUERIES, **evidence.QUERIES, **graph.QUERIES, **search.QUERIES, **documents.QUERIES, **review.QUERIES, **questions.QUERIES, **detections.QUERIES, **payload.QUERIES, **reports.QUERIES, **tracks.QUERIES}
 
 
 def queries() -> dict:
