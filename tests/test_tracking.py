@@ -98,3 +98,32 @@ def test_odd_questions(spark):
     assert (r.color, r.vehicle_type, r.classes, r.other_color, r.other_vehicle_type, r.other_classes, r.relations) == ("white", "sedan", ["car"], "blue", None, ["truck"], ["OVERTAKE"])
     assert (rows[4].color, rows[4].vehicle_type, rows[4].classes) == ("red", None, ["bus"])
     assert qu.parse(df.limit(0)).count() == 0
+
+
+def test_clips_share_calls(spark):
+    """Many short clips in one call, cut by small batches, are each tracked as
+    if alone; crowded frames go by arrays and give the same."""
+    rng = np.random.default_rng(8)
+    rows = [(c, f, c * 1000 + f * 10 + k, float(rng.choice([0.2, 0.9])), float(x), 0.0, float(x) + 30, 20.0) for c in range(12) for f in range(8) for k, x in enumerate(rng.integers(0, 60, rng.integers(0, 5)))]
+    df = spark.createDataFrame(rows, "clip_id int, frame_id int, id long, confidence double, x1 double, y1 double, x2 double, y2 double").withColumn("video_id", F.lit("v"))
+    frames = df.select("video_id", "clip_id", "frame_id").distinct()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        whole = tk.follow(frames, df)
+        got = {(r.clip_id, r.id): r.track for r in whole.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in whole._jdf.queryExecution().toString()
+    want = {}
+    for c in range(12):
+        tracks, number = [], 1
+        for at, f in enumerate(sorted({r[1] for r in rows if r[0] == c})):
+            mine = sorted((r for r in rows if r[:2] == (c, f)), key=lambda r: r[2])
+            tracks, given, number = tk.update(tracks, at, np.array([r[4:] for r in mine]), np.array([r[3] for r in mine]), tk.Tracking(), number)
+            want.update({(c, r[2]): n for r, n in zip(mine, given, strict=True) if n > 0})
+    assert got == want and len(want) > 40
+    corner = rng.integers(0, 50, (2, 12, 2))
+    a, b = ([tuple(map(float, x)) for x in side] for side in np.concatenate([corner, corner + rng.integers(1, 30, (2, 12, 2))], axis=2))
+    m = tk.overlap_matrix(np.array(a), np.array(b))
+    want = {(i, j): m[i, j] for i in range(12) for j in range(12) if m[i, j] > 0}
+    assert tk._overlaps(a, b) == want == {(i, j): x for i in range(12) for j in range(12) for x in tk._overlaps(a[i : i + 1], b[j : j + 1]).values()}

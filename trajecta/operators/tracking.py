@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .groups import codes, fold_groups
 from .matching import hungarian
 
 
@@ -36,35 +37,64 @@ def overlap_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
 
 
-def match(a: np.ndarray, b: np.ndarray, far: float) -> list[tuple[int, int]]:
+#: Pairs of boxes up to which plain numbers cost less than arrays.
+SMALL = 64
+
+
+def _overlaps(a: list[tuple], b: list[tuple]) -> dict[tuple[int, int], float]:
+    """The overlaps above 0 of ``overlap_matrix``, in its order."""
+    if len(a) * len(b) > SMALL:
+        m = overlap_matrix(np.array(a), np.array(b))
+        return {(int(i), int(j)): float(m[i, j]) for i, j in np.argwhere(m > 0)}
+    out = {}
+    for i, (ax1, ay1, ax2, ay2) in enumerate(a):
+        for j, (bx1, by1, bx2, by2) in enumerate(b):
+            w = (ax2 if ax2 < bx2 else bx2) - (ax1 if ax1 > bx1 else bx1)
+            h = (ay2 if ay2 < by2 else by2) - (ay1 if ay1 > by1 else by1)
+            if w > 0 and h > 0:
+                inter = w * h
+                union = max(ax2 - ax1, 0.0) * max(ay2 - ay1, 0.0) + max(bx2 - bx1, 0.0) * max(by2 - by1, 0.0) - inter
+                if union > 0:
+                    out[i, j] = inter / union
+    return out
+
+
+def match(a: list[tuple], b: list[tuple], far: float) -> list[tuple[int, int]]:
     """Optimal pairs by overlap, of which those beyond ``far`` are given up.
     Boxes without any overlap take no part in the choice."""
-    if not len(a) or not len(b):
-        return []
-    overlap = overlap_matrix(a, b)
-    rows, columns = np.flatnonzero(overlap.any(axis=1)), np.flatnonzero(overlap.any(axis=0))
-    if not len(rows):
-        return []
-    some = overlap[np.ix_(rows, columns)]
-    pairs = [np.unravel_index(some.argmax(), some.shape)] if min(some.shape) == 1 else hungarian(some)
-    return [(int(rows[i]), int(columns[j])) for i, j in pairs if 1 - some[i, j] <= far]
+    overlap = _overlaps(a, b)
+    if len(overlap) < 2:
+        return [p for p, x in overlap.items() if 1 - x <= far]
+    rows, columns = sorted({i for i, _ in overlap}), sorted({j for _, j in overlap})
+    if min(len(rows), len(columns)) == 1:
+        pairs = [max(overlap, key=overlap.get)]
+    else:
+        some = np.zeros((len(rows), len(columns)))
+        for (i, j), x in overlap.items():
+            some[rows.index(i), columns.index(j)] = x
+        pairs = [(rows[i], columns[j]) for i, j in hungarian(some)]
+    return [p for p in pairs if 1 - overlap.get(p, 0.0) <= far]
 
 
 class Track:
     """A box that moves on by its last velocity a frame until it is seen."""
 
-    def __init__(self, number: int, frame: int, box: np.ndarray):
-        self.number, self.seen, self.n, self.box, self.speed = number, frame, 1, box, np.zeros(4)
+    __slots__ = ("number", "seen", "n", "box", "speed")
+
+    def __init__(self, number: int, frame: int, box: tuple):
+        self.number, self.seen, self.n, self.box, self.speed = number, frame, 1, box, (0.0, 0.0, 0.0, 0.0)
 
-    def expected(self, frame: int) -> np.ndarray:
-        return self.box + self.speed * (frame - self.seen)
+    def expected(self, frame: int) -> tuple:
+        k, (a, b, c, d), (p, q, r, s) = frame - self.seen, self.box, self.speed
+        return a + p * k, b + q * k, c + r * k, d + s * k
 
-    def see(self, frame: int, box: np.ndarray) -> None:
-        self.speed = (box - self.box) / (frame - self.seen)
+    def see(self, frame: int, box: tuple) -> None:
+        k = frame - self.seen
+        self.speed = tuple([(y - x) / k for x, y in zip(self.box, box, strict=True)])
         self.seen, self.n, self.box = frame, self.n + 1, box
 
 
-def update(tracks: list[Track], frame: int, boxes: np.ndarray, confidence: np.ndarray, cfg: Tracking, next_number: int) -> tuple[list[Track], list[int], int]:
+def update(tracks: list[Track], frame: int, boxes: list[tuple], confidence: list[float], cfg: Tracking, next_number: int) -> tuple[list[Track], list[int], int]:
     """One frame: (tracks still followed, the track's number of every box or
     -1, next free number). Sure boxes meet all tracks first, then the unsure
     ones those still seen in the frame before, then tracks seen only once take
@@ -75,13 +105,13 @@ def update(tracks: list[Track], frame: int, boxes: np.ndarray, confidence: np.nd
     known, once = [t for t in tracks if t.n > 1], [t for t in tracks if t.n == 1]
 
     def stage(some: list[Track], rows: list[int], far: float) -> None:
-        want = np.array([t.expected(frame) for t in some]).reshape(-1, 4)
-        for i, j in match(want, boxes[rows].reshape(-1, 4), far):
-            some[i].see(frame, boxes[rows[j]])
-            given[rows[j]] = some[i].number
+        if some and rows:
+            for i, j in match([t.expected(frame) for t in some], [boxes[r] for r in rows], far):
+                some[i].see(frame, boxes[rows[j]])
+                given[rows[j]] = some[i].number
 
     stage(known, sure, cfg.far[0])
-    stage([t for t in known if t.seen == frame - 1], unsure, cfg.far[1])
+    stage([t for t in known if t.seen == frame - 1] if unsure else [], unsure, cfg.far[1])
     stage(once, [i for i in sure if given[i] < 0], cfg.far[2])
     kept = [t for t in tracks if t.seen == frame or (t.n > 1 and frame - t.seen <= cfg.lost_frames)]
     for i in sure:
@@ -107,24 +137,28 @@ def follow(frames: DataFrame, detections: DataFrame, cfg: Tracking = Tracking(),
     columns = [*scope, "frame_id", "id", "confidence", "x1", "y1", "x2", "y2"]
     types = {**dict(frames.dtypes), **kinds}
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_id", "id"], kind="stable")
-        frame = pdf["frame_id"].to_numpy()
-        begins = np.flatnonzero(np.concatenate(([True], frame[1:] != frame[:-1])))
-        boxes, confidence = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["confidence"].to_numpy(float)
+    def fold(pdf: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        clip = np.repeat(np.arange(len(first)), np.diff([*first, len(pdf)]))
+        frame = codes(pdf["frame_id"])
+        lows = np.flatnonzero(np.concatenate(([True], (frame[1:] != frame[:-1]) | (clip[1:] != clip[:-1]))))
+        sure = pdf["confidence"].to_numpy(float, na_value=np.nan)
+        boxes = list(zip(*[pdf[c].to_numpy(float, na_value=np.nan).tolist() for c in ("x1", "y1", "x2", "y2")], strict=True))
+        confidence, real, of = sure.tolist(), (~np.isnan(sure)).tolist(), clip[lows].tolist()
         track = np.zeros(len(pdf), np.int64)
-        tracks, number = [], 1
-        for at, (lo, hi) in enumerate(zip(begins.tolist(), [*begins[1:].tolist(), len(pdf)], strict=True)):
-            real = lo + np.flatnonzero(~np.isnan(confidence[lo:hi]))
-            tracks, given, number = update(tracks, at, boxes[real], confidence[real], cfg, number)
-            track[real] = given
-        many = np.bincount(np.maximum(track, 0))[np.maximum(track, 0)]
+        tracks, number, at, now = [], 1, 0, -1
+        for lo, hi, c in zip(lows.tolist(), [*lows[1:].tolist(), len(pdf)], of, strict=True):
+            if c != now:
+                tracks, number, at, now = [], 1, 0, c
+            here = [i for i in range(lo, hi) if real[i]]
+            tracks, given, number = update(tracks, at, [boxes[i] for i in here], [confidence[i] for i in here], cfg, number)
+            at += 1
+            track[here] = given
+        own = np.unique(clip * (len(pdf) + 1) + np.maximum(track, 0), return_inverse=True)[1]
+        many = np.bincount(own, minlength=1)[own]
         return pdf.assign(track=track)[(track > 0) & (many >= cfg.confirmed_after)][[*columns, "track"]]
 
     schema = ", ".join([*[f"{c} {types[c]}" for c in columns], "track int"])
-    # a stated number of partitions: the boxes are few, the work on them is not
-    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *scope)
-    return dealt.groupBy(*scope).applyInPandas(fold, schema)
+    return fold_groups(rows, list(scope), ["frame_id", "id"], fold, schema)
 
 
 def track_summary(tracked: DataFrame, *, scope: tuple = ("video_id", "clip_id")) -> DataFrame:
