@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Events
 from ..functions.geometry import along, clip01, in_polygon, segments_cross, turn
+from .groups import fold_groups
 
 
 def stops(traj: DataFrame, cfg: Events = Events(), *, key: str = "obj") -> DataFrame:
@@ -45,19 +46,18 @@ def candidate_windows(traj: DataFrame, test: Callable[[dict, dict], Column], sho
 def thin(candidates: DataFrame, *, key: str = "obj") -> DataFrame:
     """Greedy choice of non-overlapping windows: the first start, then the
     first start after its end, and so on. Order-dependent, so one pass over
-    each object's candidates."""
-    schema = f"{key} {dict(candidates.dtypes)[key]}, i {dict(candidates.dtypes)['i']}, j {dict(candidates.dtypes)['j']}"
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        i, j = pdf["i"].to_numpy(), pdf["j"].to_numpy()
-        at, keep = 0, []
-        while at < len(i):
-            keep.append(at)
-            at = int(np.searchsorted(i, j[at], side="right"))
+    the objects' candidates in order, many objects a call."""
+    kinds = dict(candidates.dtypes)
+
+    def choose(pdf: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        i, j, opens, keep, end = pdf["i"].tolist(), pdf["j"].tolist(), set(first.tolist()), [], None
+        for at in range(len(i)):
+            if at in opens or i[at] > end:
+                keep.append(at)
+                end = j[at]
         return pdf.iloc[keep]
 
-    return candidates.select(key, "i", "j").groupBy(key).applyInPandas(choose, schema)
+    return fold_groups(candidates.select(key, "i", "j"), [key], ["i"], choose, f"{key} {kinds[key]}, i {kinds['i']}, j {kinds['j']}")
 
 
 def _spans(traj: DataFrame, windows: DataFrame, key: str) -> DataFrame:
