@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,25 @@ OUT = "video_id long, clip_no long, first_frame timestamp, last_frame timestamp,
 _STATE = "first timestamp, last timestamp, n long, sampled long"
 
 
+def _spans(rows: Iterator[pd.DataFrame], every: int) -> dict[int, tuple]:
+    """Of each clip in the rows: first and last time, frames, sampled frames."""
+    out: dict[int, tuple] = {}
+    for pdf in rows:
+        if pdf["clip_no"].hasnans:
+            pdf = pdf[pdf["clip_no"].notna()]
+        if not len(pdf):
+            continue
+        clip = pdf["clip_no"].to_numpy().astype("int64")
+        order = np.argsort(clip, kind="stable")
+        clip, ts, hit = clip[order], pdf["ts"].to_numpy("datetime64[ns]")[order], (pdf["frame_no"].to_numpy()[order] % every == 0).astype("int64")
+        at = np.flatnonzero(np.concatenate(([True], clip[1:] != clip[:-1])))
+        parts = zip(clip[at].tolist(), np.minimum.reduceat(ts, at), np.maximum.reduceat(ts, at), np.diff([*at, len(clip)]).tolist(), np.add.reduceat(hit, at).tolist(), strict=True)
+        for k, first, last, n, sampled in parts:
+            f, t, m, s = out.get(k, (pd.Timestamp.max, pd.Timestamp.min, 0, 0))
+            out[k] = (min(f, pd.Timestamp(first)), max(t, pd.Timestamp(last)), n + m, sampled + s)
+    return out
+
+
 class _Clips(StatefulProcessor):
     """Open clips of one video by number; ``closed`` is the last one sent."""
 
@@ -48,22 +68,31 @@ class _Clips(StatefulProcessor):
         return out
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, seen = [], -(1 << 62)
-        for pdf in rows:
-            for clip, part in pdf.groupby("clip_no"):
-                clip = int(clip)
-                first, last, n, sampled = part["ts"].min(), part["ts"].max(), len(part), int((part["frame_no"] % self.every == 0).sum())
-                if clip <= self._sent():
-                    out.append(self._row(key, clip, first, last, n, sampled, True))
-                    continue
-                if self.open.containsKey((clip,)):
-                    f, t, m, s = self.open.getValue((clip,))
-                    first, last, n, sampled = min(first, pd.Timestamp(f)), max(last, pd.Timestamp(t)), n + m, sampled + s
-                else:
-                    self.handle.registerTimer((clip + 1) * self.seconds * 1000)
-                self.open.updateValue((clip,), (first.to_pydatetime(), last.to_pydatetime(), n, sampled))
-                seen = max(seen, clip)
-        out += self._close(key, seen)
+        new = _spans(rows, self.every)
+        if not new:
+            return
+        sent = self._sent()
+        out = [self._row(key, k, *v, True) for k, v in sorted(new.items()) if k <= sent]
+        new = {k: v for k, v in new.items() if k > sent}
+        held = {k[0]: v for k, v in self.open.iterator()} if new else {}
+        for k in new.keys() & held.keys():
+            f, t, m, n = held[k]
+            first, last, frames, sampled = new[k]
+            new[k] = (min(first, pd.Timestamp(f)), max(last, pd.Timestamp(t)), frames + m, sampled + n)
+        # a clip that a later one of the same rows closes never gets into the state
+        seen = max(new, default=-(1 << 62))
+        done = {k: v for k, v in {**held, **new}.items() if k < seen}
+        for k, v in sorted(done.items()):
+            out.append(self._row(key, k, *v, False))
+            if k in held:
+                self.open.removeKey((k,))
+        if done:
+            self.closed.update((max(done),))
+        for k, (first, last, frames, sampled) in new.items():
+            if k not in done:
+                if k not in held:
+                    self.handle.registerTimer((k + 1) * self.seconds * 1000)
+                self.open.updateValue((k,), (first.to_pydatetime(), last.to_pydatetime(), frames, sampled))
         if out:
             yield pd.DataFrame(out)
 
