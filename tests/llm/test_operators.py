@@ -171,6 +171,59 @@ def test_forest_leaves_against_prefixes(spark, monkeypatch, partitions):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("partitions", ["2", "50"])
+def test_forest_overfull_regions_against_counts(spark, monkeypatch, partitions):
+    """Every row of a region above LEAF, once, wherever spans part the order."""
+    rng = random.Random(12)
+    keys = {i: (rng.randrange(2), tuple(min(rng.randrange(5), rng.randrange(5)) for _ in range(near_dedup.DEPTH))) for i in range(700)}
+    keys |= {1000 + i: (1, (7,) * near_dedup.DEPTH) for i in range(90)}
+    rows = [(t, np.array(k, ">u4").tobytes(), np.array(k[: near_dedup.MIN_DEPTH], ">u4").tobytes(), i, bytes(24)) for i, (t, k) in keys.items()]
+    monkeypatch.setattr(near_dedup, "LEAF", 12)
+    monkeypatch.setattr(near_dedup, "SPAN", 30)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        order = near_dedup.forest_order(spark.createDataFrame(rows, "tree int, key binary, prefix binary, rep long, sketch binary"))
+        hot = near_dedup.split_order(order, threshold=80).where("depth IS NULL").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    size, same = {}, {}
+    for t, k in keys.values():
+        size[t, k[:2]] = size.get((t, k[:2]), 0) + 1
+        same[t, k] = same.get((t, k), 0) + 1
+    assert sorted((r.tree, r.member) for r in hot) == sorted((t, i) for i, (t, k) in keys.items() if size[t, k[:2]] > 12)
+    assert all(r.alike == same[keys[r.member]] for r in hot if r.member < 1000)
+    blocks = {}
+    for r in hot:
+        blocks[r.block] = blocks.get(r.block, 0) + 1
+    assert max(blocks.values()) <= 12
+
+
+def test_near_duplicates_in_few_tasks(spark, monkeypatch):
+    """Each further pass costs as many tasks as there are partitions, however
+    few rows are left: overfull regions take two passes, and one scan for sets."""
+    rows, _ = edited_copies(300, random.Random(6), [1, 3])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    monkeypatch.setattr(near_dedup, "LEAF", 16)
+    monkeypatch.setattr(near_dedup, "WIDE", 48)
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    sc, group = spark.sparkContext, "few-tasks"
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    sc.setJobGroup(group, group)
+    try:
+        near_dedup.near_duplicates(df, words=4, threshold=87).collect()
+    finally:
+        sc._jsc.clearJobGroup()
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+    assert 0 < tasks < 2000
+
+
 def test_substring_dedup(spark, docs, odd, none):
     seen, want = set(), {}
     for i, t in sorted(texts(docs).items()):

@@ -2,9 +2,9 @@
 
 Plan (n documents, all steps linear in n):
 
-1. One scan gives every document a 128-bit hash of its shingle set and a
-   MinHash signature. Equal sets fall into one class, so copies by the
-   thousand cost one row from here on.
+1. One scan gives every document a 128-bit hash of its shingle set, a MinHash
+   signature and a sketch of it. Equal sets fall into one class, so copies by
+   the thousands cost one row from here on.
 2. Forest: the signature is cut into ``TREES`` keys, each of which puts the
    class representatives in one sorted order. Neighbours in an order share a
    prefix of their keys; a run of rows that share ``MIN_DEPTH`` values is a
@@ -12,14 +12,16 @@ Plan (n documents, all steps linear in n):
    longest common prefix is shorter than 3 values, then 4, until the parts fit
    (``leaves``); all pairs of a part are met. Candidates are thinned by a
    sketch of the signature that misses a true pair with a chance below 1e-6.
-3. Candidate groups are confirmed on full shingle sets: first the shallow ones
-   of ``FIRST_TREES`` trees, then all others, but only those that join
-   different components. Only a spanning set of links leaves a group.
-4. What a raised depth parts is still looked at. The rows of a region that was
-   split meet its hub, the row whose keys most others repeat, in step 3. Then
-   every two of its rows that are still in different components meet in a pair
-   of blocks (``block_groups``). Rows of its largest component do not meet each
-   other, so a family that is linked costs one pass.
+3. One more scan of the documents gives the full shingle sets of all
+   candidates. Groups are confirmed on them in two passes. The first takes the
+   leaves of ``FIRST_TREES`` trees and, as the rows of a region that was split
+   must be looked at beyond their parts, these rows beside its hub, the row
+   whose keys most others repeat.
+4. The second pass takes what still joins different components: all other
+   leaves, and every two rows of a split region, in a pair of blocks
+   (``block_groups``). Rows of its largest component do not meet each other, so
+   a family that is linked costs one pass. Only a spanning set of links leaves
+   a group.
 5. Components of the links by contraction (``components``).
 
 A pair at the threshold shares a prefix in at least one tree with probability
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import cut, fresh, join_by_size, prepare, width
+from .common import cut, fresh, prepare, width
 from .components import components
 from .wordhash import Batch, mix, slices, span_sums, windows
 
@@ -97,10 +99,10 @@ def _binary(matrix: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, *, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row_key, n_shingles, set_hi, set_lo, sig): row_key is a hash
-    of the text, sig holds HASHES MinHash values, null for texts without
-    words."""
-    schema = "doc_id long, row_key long, n_shingles long, set_hi long, set_lo long, sig binary"
+    """(doc_id, row_key, n_shingles, set_hi, set_lo, sig, sketch): row_key is a
+    hash of the text, sig holds HASHES MinHash values (big-endian, so bytes sort
+    as values do), sketch two bits of each; both null for texts without words."""
+    schema = "doc_id long, row_key long, n_shingles long, set_hi long, set_lo long, sig binary, sketch binary"
 
     def scan(batches):
         for whole in batches:
@@ -116,34 +118,21 @@ def signatures(docs: DataFrame, *, words: int, id_col: str = "doc_id", text_col:
                     x = (flat >> np.uint64(32)).astype(np.uint32)
                     for j in range(HASHES):
                         sig[full, j] = np.minimum.reduceat(x * _MULT[j], at)
-                column = _binary(sig)
+                bits = mix(sig.astype(np.uint64))
+                planes = [np.packbits(((bits >> np.uint64(s)) & np.uint64(1)).astype(np.uint8), axis=1) for s in (7, 41)]
+                columns = [_binary(sig.astype(">u4")), _binary(np.concatenate(planes, axis=1))]
                 if len(full) < n:
-                    column = pa.array([v if s else None for v, s in zip(column.to_pylist(), sizes.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("row_key"), pa.array(sizes), pa.array(hi), pa.array(lo), column], ["doc_id", "row_key", "n_shingles", "set_hi", "set_lo", "sig"])
+                    columns = [pa.array([v if s else None for v, s in zip(c.to_pylist(), sizes.tolist(), strict=True)], pa.binary()) for c in columns]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("row_key"), pa.array(sizes), pa.array(hi), pa.array(lo), *columns], ["doc_id", "row_key", "n_shingles", "set_hi", "set_lo", "sig", "sketch"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
 
 
 def _tree_rows(reps: DataFrame) -> DataFrame:
-    """One row per representative and tree: the tree's key (big-endian, so
-    bytes sort as values do), its region's prefix and a two-bit sketch of the
-    whole signature."""
-    schema = "tree int, key binary, rep long, sketch binary"
-
-    def scan(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(b.num_rows, HASHES)
-            ids = b.column("node")
-            bits = mix(sig.astype(np.uint64))
-            planes = [np.packbits(((bits >> np.uint64(s)) & np.uint64(1)).astype(np.uint8), axis=1) for s in (7, 41)]
-            sketch = _binary(np.concatenate(planes, axis=1))
-            for t in range(TREES):
-                key = _binary(sig[:, t * DEPTH : (t + 1) * DEPTH].astype(">u4"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), key, ids, sketch], ["tree", "key", "rep", "sketch"])
-
-    rows = reps.select("node", "sig").mapInArrow(scan, schema)
+    """One row per representative and tree: the tree's key, its region's prefix
+    and the sketch of the whole signature."""
+    rows = reps.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), F.col("node").alias("rep"), "sig", "sketch")
+    rows = rows.select("tree", F.expr(f"substring(sig, {4 * DEPTH} * tree + 1, {4 * DEPTH})").alias("key"), "rep", "sketch")
     return rows.withColumn("prefix", F.substring("key", 1, 4 * MIN_DEPTH))
 
 
@@ -248,18 +237,22 @@ def leaves(lcp: np.ndarray, leaf: int, least: int, most: int) -> list[tuple[int,
     return out
 
 
-def candidate_groups(order: DataFrame, *, threshold: int) -> DataFrame:
-    """(tree, depth, gid, member): groups that may hold pairs at the threshold,
-    from the leaves of the sorted orders ``forest_order``; a group's id is a
-    hash of its members, so trees that agree repeat it.
+def split_order(order: DataFrame, *, threshold: int) -> DataFrame:
+    """The leaves and the overfull regions of the sorted orders ``forest_order``.
+
+    Rows with a ``depth``: (tree, depth, gid, member), groups that may hold
+    pairs at the threshold; a group's id is a hash of its members, so trees that
+    agree repeat it. Rows without: (tree, prefix, member, sketch, alike, block),
+    the rows of regions above LEAF; alike counts the rows of the same key near
+    it, a block is LEAF rows of the order.
 
     The order is dealt in spans of SPAN rows with LEAF rows of the spans beside
     it: a run that reaches from a span's own rows to the end of what it sees is
     too large in any case, so all spans agree on a leaf, and the span of its
-    first row returns it."""
+    first row returns it; a row of an overfull region comes from its own span."""
     least, leaf, span = _least(threshold), LEAF, SPAN
     spans = F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - leaf) / span)).cast("int"), F.floor((F.col("pos") + leaf) / span).cast("int")))
-    dealt = order.select("tree", "key", "rep", "sketch", "pos", spans.alias("span"))
+    dealt = order.select("tree", "key", "rep", "sketch", "prefix", "pos", spans.alias("span"))
 
     def split(table: pa.Table) -> pa.Table:
         pos = table.column("pos").to_numpy()
@@ -267,8 +260,9 @@ def candidate_groups(order: DataFrame, *, threshold: int) -> DataFrame:
         tree, ids = (table.column(c).to_numpy() for c in ("tree", "rep"))
         keys = np.frombuffer(b"".join(table.column("key").to_pylist()), ">u4").reshape(len(ids), -1)
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        shared = common_prefix(tree, keys)
         trees, depths, gids, members = [], [], [], []
-        for depth, lo, hi in leaves(common_prefix(tree, keys), leaf, MIN_DEPTH, DEPTH):
+        for depth, lo, hi in leaves(shared, leaf, MIN_DEPTH, DEPTH):
             if pos[lo] // span != own:
                 continue
             for found in _clusters(sketch[lo:hi], least):
@@ -278,28 +272,34 @@ def candidate_groups(order: DataFrame, *, threshold: int) -> DataFrame:
                 gids.append(np.full(len(group), mix(group.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)))
                 members.append(group)
         columns = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((trees, np.int32), (depths, np.int32), (gids, np.int64), (members, np.int64))]
-        return pa.table(dict(zip(("tree", "depth", "gid", "member"), columns, strict=True)))
+        groups = pa.table(dict(zip(("tree", "depth", "gid", "member"), columns, strict=True)))
+        region, alike = (np.concatenate(([0], np.cumsum(shared < depth))) for depth in (MIN_DEPTH, DEPTH))
+        over = np.flatnonzero((np.bincount(region)[region] > leaf) & (pos // span == own))
+        hot = table.take(pa.array(over)).select(["tree", "prefix", "rep", "sketch"]).rename_columns(["tree", "prefix", "member", "sketch"])
+        hot = hot.append_column("alike", pa.array(np.bincount(alike)[alike][over])).append_column("block", pa.array(pos[over] // leaf))
+        both = pa.concat_tables([groups, hot], promote_options="default")
+        return both.select(["tree", "depth", "gid", "member", "prefix", "sketch", "alike", "block"])
 
-    return dealt.groupBy("span").applyInArrow(split, "tree int, depth int, gid long, member long")
+    return dealt.groupBy("span").applyInArrow(split, "tree int, depth int, gid long, member long, prefix binary, sketch binary, alike long, block long")
 
 
-def hub_groups(hot: DataFrame, total: int) -> DataFrame:
+def candidate_groups(order: DataFrame, *, threshold: int) -> DataFrame:
+    """(tree, depth, gid, member): the groups of ``split_order``."""
+    return split_order(order, threshold=threshold).where("depth IS NOT NULL").select("tree", "depth", "gid", "member")
+
+
+def hub_groups(hot: DataFrame) -> DataFrame:
     """(gid, member, lead): every row of the overfull regions beside its
     region's hub, the lead. The text that many others were made from repeats the most keys."""
     place = ["tree", "prefix"]
-    same = hot.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"))
-    scored = join_by_size(hot.select(*place, "key", "rep", "size"), same, ["tree", "key"], "n", total)
-    scored = cut(scored.withColumn("score", F.sum("n").over(Window.partitionBy("rep"))).select(*place, "rep", "size", "score"))
-    hub = scored.groupBy(*place).agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub"), F.count(F.lit(1)).alias("all"))
-    pairs = join_by_size(scored, hub, place, "all", total)
-    pairs = cut(pairs.groupBy("hub", "rep").agg(F.max("size").alias("size")).where("hub <> rep"))
-    parts = F.ceil(F.col("size") / LEAF)
-    pairs = pairs.withColumn("gid", F.xxhash64("hub", parts, F.pmod(F.xxhash64("rep"), parts)))
-    leads = pairs.select("gid", F.col("hub").alias("member"), F.lit(True).alias("lead")).distinct()
-    return leads.unionByName(pairs.select("gid", F.col("rep").alias("member"), F.lit(False).alias("lead")))
-
-
-def block_groups(hot: DataFrame, label: DataFrame, total: int, *, threshold: int) -> DataFrame:
+    scored = cut(hot.select(*place, "rep", "block", F.sum("alike").over(Window.partitionBy("rep")).alias("score")))
+    hub = scored.groupBy(*place).agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("hub"))
+    pairs = scored.join(hub, place).where("hub <> rep").groupBy("hub", "rep").agg(F.min(F.struct("tree", "block")).alias("at"))
+    ends = F.explode(F.array(F.struct(F.col("rep").alias("member"), F.lit(False).alias("lead")), F.struct(F.col("hub").alias("member"), F.lit(True).alias("lead"))))
+    return pairs.select(F.xxhash64("hub", "at.tree", "at.block").alias("gid"), ends.alias("end")).select("gid", "end.*").distinct()
+
+
+def block_groups(hot: DataFrame, label: DataFrame, *, threshold: int) -> DataFrame:
     """(gid, member, known): groups that hold, for every two rows of an overfull
     region in different components of ``label(node, component)`` whose
     sketches agree, both of them.
@@ -313,7 +313,7 @@ def block_groups(hot: DataFrame, label: DataFrame, total: int, *, threshold: int
     per = h.groupBy(*place, "known").agg(F.count(F.lit(1)).alias("n"))
     top = per.groupBy(*place).agg(F.max_by("known", F.struct("n", "known")).alias("top"), F.max("n").alias("inner"), F.sum("n").alias("all"))
     top = top.where("all > inner").select(*place, "top", "all", F.ceil(F.col("inner") / WIDE).alias("inside"), F.ceil((F.col("all") - F.col("inner")) / WIDE).alias("outside"))
-    h = join_by_size(h, top, place, "all", total).withColumn("is_in", F.expr("known = top"))
+    h = h.join(top.drop("all"), place).withColumn("is_in", F.expr("known = top"))
     h = h.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("is_in"), F.col("inside")).otherwise(F.col("outside"))))
     # (kind, i, j, second): kind 1 has an inner block j; second tells the side
     meets = F.expr("""explode(if(is_in,
@@ -347,14 +347,10 @@ def block_groups(hot: DataFrame, label: DataFrame, total: int, *, threshold: int
     return met.distinct()
 
 
-def _confirm(docs: DataFrame, groups: DataFrame, classes: DataFrame, *, words: int, threshold: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) on full shingle sets within ``groups(gid, member, known)``,
-    members being nodes of ``classes(node, set_hi, set_lo, rep)``.
-    ``known`` is the component already found; only links that join different
-    ones are looked for. With a column ``lead``, only links of the leads are."""
-    if "lead" not in groups.columns:
-        groups = groups.withColumn("lead", F.lit(False))
-    wanted_sets = cut(classes.join(groups.select(F.col("member").alias("node")).distinct(), "node").select(F.col("node").alias("member"), "set_hi", "set_lo", "rep"))
+def _full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, *, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(member, shingles): the full shingle sets of ``members(member)``, nodes of
+    ``classes(node, set_hi, set_lo, rep)``, in one scan of the documents."""
+    wanted_sets = cut(classes.withColumnRenamed("node", "member").join(members, "member", "left_semi").select("member", "set_hi", "set_lo", "rep"))
     bits = bloom.build(wanted_sets.select("rep"))
 
     def scan(batches):
@@ -370,7 +366,14 @@ def _confirm(docs: DataFrame, groups: DataFrame, classes: DataFrame, *, words: i
     source = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     source = source.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = source.mapInArrow(scan, "set_hi long, set_lo long, rep long, shingles binary")
-    sets = sets.join(wanted_sets, ["set_hi", "set_lo", "rep"]).select("member", "shingles")
+    return cut(sets.join(wanted_sets, ["set_hi", "set_lo", "rep"]).select("member", "shingles"))
+
+
+def _confirm(groups: DataFrame, sets: DataFrame, *, threshold: int) -> DataFrame:
+    """Links (a, b) between components on full shingle ``sets(member,
+    shingles)`` within ``groups(gid, member, known, lead)``. ``known`` is the
+    component already found; only links that join different ones are looked
+    for. In a group with leads only links of the leads are."""
 
     def verify(table: pa.Table) -> pa.Table:
         ids, known, raw = table.column("member").to_pylist(), table.column("known").to_pylist(), table.column("shingles").to_pylist()
@@ -394,7 +397,7 @@ def _confirm(docs: DataFrame, groups: DataFrame, classes: DataFrame, *, words: i
             common = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(size[others])[:-1])))
             for j in others[100 * common >= threshold * (size[others] + size[i] - common)]:
                 if label[j] != label[i]:
-                    links.append((ids[i], ids[j]))
+                    links.append((one[ids[i]][0], one[ids[j]][0]))
                     label[label == label[j]] = label[i]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
@@ -423,49 +426,42 @@ def _judged(docs: DataFrame, *, words: int, threshold: int, id_col: str, text_co
     prepare(docs.sparkSession)
     base = cut(signatures(docs, words=words, id_col=id_col, text_col=text_col))
     some = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    classes = some.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    rows = _tree_rows(classes)
-    classes = classes.drop("sig")
-    order = forest_order(rows)
-    found = cut(candidate_groups(order, threshold=threshold))
-    # regions that were split: at most a LEAF-th of the rows
-    split = cut(order.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LEAF))
-    how = {"words": words, "threshold": threshold, "id_col": id_col, "text_col": text_col}
-    total, overfull = TREES * classes.count(), not split.isEmpty()
-    hot = cut(join_by_size(order.drop("pos"), split, ["tree", "prefix"], "size", total)) if overfull else None
-
-    # whole regions of the first trees, and hubs of the others
-    first = (F.col("tree") < FIRST_TREES) & (F.col("depth") == MIN_DEPTH)
+    order = forest_order(_tree_rows(classes))
+    classes = classes.drop("sig", "sketch")
+    split = cut(split_order(order, threshold=threshold))
+    sets = _full_sets(docs, classes, split.select("member"), words=words, id_col=id_col, text_col=text_col)
+    found = split.where("depth IS NOT NULL").select("tree", "gid", "member")
+    hot = split.where("depth IS NULL").select("tree", "prefix", F.col("member").alias("rep"), "sketch", "alike", "block")
+    overfull = not hot.isEmpty()
+
+    # leaves of the first trees, and hubs
+    first = F.col("tree") < FIRST_TREES
     part = found.where(first).select("gid", "member").distinct().withColumn("lead", F.lit(False))
-    part = cut(part.unionByName(hub_groups(hot, total)) if overfull else part)
-    links = cut(_confirm(docs, part.withColumn("known", F.col("member")), classes, **how))
-    label = cut(components(links))
+    part = part.unionByName(hub_groups(hot)) if overfull else part
+    label = cut(components(_confirm(part.withColumn("known", F.col("member")), sets, threshold=threshold)))
 
-    # all other leaves, where they join different components
+    # all other leaves and every pair of overfull regions, where they join
+    # different components
     own = found.where(~first).select("gid", "member").distinct()
     own = own.join(label.select(F.col("node").alias("member"), F.col("component").alias("known")), "member", "left").withColumn("known", F.coalesce("known", "member"))
     whole = Window.partitionBy("gid")
-    own = cut(own.withColumns({"lo": F.min("known").over(whole), "hi": F.max("known").over(whole)}).where("lo <> hi").drop("lo", "hi"))
+    own = own.withColumns({"lo": F.min("known").over(whole), "hi": F.max("known").over(whole)}).where("lo <> hi").drop("lo", "hi")
+    own = cut((own.unionByName(block_groups(hot, label, threshold=threshold)) if overfull else own).withColumn("lead", F.lit(False)))
+    placed = classes.join(label, "node", "left").withColumns({"linked": F.col("component").isNotNull(), "component": F.coalesce("component", "node")})
     if not own.isEmpty():
-        links = cut(links.unionByName(_confirm(docs, own, classes, **how)))
-        label = cut(components(links))
-
-    # every pair of overfull regions that is still apart
-    met = cut(block_groups(hot, label, total, threshold=threshold)) if overfull else None
-    if met is not None and not met.isEmpty():
-        links = cut(links.unionByName(_confirm(docs, met, classes, **how)))
-        label = cut(components(links))
+        merged = cut(components(_confirm(own, sets, threshold=threshold))).select(F.col("node").alias("component"), F.col("component").alias("into"))
+        placed = placed.join(merged, "component", "left").withColumns({"linked": F.expr("linked OR into IS NOT NULL"), "component": F.coalesce("into", "component")})
 
     # a component's id is its least document; classes of one row, in no
     # component, need no join
-    placed = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = placed.where("component <> node OR copies > 1").select("component").distinct().join(placed, "component").groupBy("component").agg(F.min("rep").alias("least"))
-    placed = cut(placed.join(least, "component").select("set_hi", "set_lo", "copies", F.col("least").alias("component_id")))
+    placed = cut(placed.where("linked OR copies > 1").select("set_hi", "set_lo", "rep", "component"))
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    placed = placed.join(least, "component").select("set_hi", "set_lo", "component_id")
     result = ["doc_id", "row_key", "n_shingles"]
     alone = base.where("n_shingles = 0 OR doc_id IS NULL").select(*result, F.col("doc_id").alias("component_id"))
-    others = join_by_size(some, placed, ["set_hi", "set_lo"], "copies", base.count(), how="left")
-    others = others.select(*result, F.coalesce("component_id", "doc_id").alias("component_id"))
+    others = some.join(placed, ["set_hi", "set_lo"], "left").select(*result, F.coalesce("component_id", "doc_id").alias("component_id"))
     joined = alone.unionByName(others)
     return joined.select(*result, "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
