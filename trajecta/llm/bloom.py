@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import prepare
+from .memory import tidy
 from .wordhash import mix
 
 #: Binary logarithms of the least and the largest number of bits: 16 KB and
@@ -63,5 +64,5 @@ def build(ids: DataFrame) -> bytes:
         return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
 
     schema = "segment int, bits binary"
-    found = {r[0]: bytes(r[1]) for r in ids.mapInArrow(partial, schema).groupBy("segment").applyInArrow(merge, schema).collect()}
+    found = {r[0]: bytes(r[1]) for r in ids.mapInArrow(tidy(partial), schema).groupBy("segment").applyInArrow(merge, schema).collect()}
     return b"".join(found.get(s, bytes(seg_bytes)) for s in range(SEGMENTS))

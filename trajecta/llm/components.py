@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .memory import tidy
 
 #: Links that a task contracts at once.
 CHUNK = 1 << 20
@@ -71,7 +72,7 @@ def _round(links: DataFrame) -> DataFrame:
         if size:
             yield flush(held)[0]
 
-    return links.mapInArrow(scan, "a long, b long")
+    return links.mapInArrow(tidy(scan), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -82,9 +83,9 @@ def components(links: DataFrame) -> DataFrame:
     a round. Nodes without links do not appear; null ends and loops are
     ignored; repeated links count once. An empty table gives an empty result.
     """
-    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
-    # links are contracted where they are before they travel
-    left = _round(ends.select(F.col("b").alias("key"), "a", "b")).where("a IS NOT NULL")
+    # not contracted where they are: links come from Python, and a task with two
+    # Python steps takes two workers, which stay
+    left = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
     while True:
         both = left.select(F.explode(F.array("a", "b")).alias("key"), "a", "b").repartition("key").sortWithinPartitions("key")
         left = cut(_round(both))

@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from . import bloom
 from .common import cut, fresh, prepare, width
 from .components import components
-from .wordhash import Batch, mix, slices, span_sums, windows
+from .memory import tidy, tidy_group
+from .wordhash import HASHED, Batch, mix, slices, span_sums, windows
 
 TREES = 12
 DEPTH = 8
@@ -106,7 +107,7 @@ def signatures(docs: DataFrame, *, words: int, id_col: str = "doc_id", text_col:
 
     def scan(batches):
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", HASHED):
                 flat, bounds = shingle_sets(b.column("text"), words)
                 sizes = np.diff(bounds)
                 full = np.flatnonzero(sizes)
@@ -125,7 +126,7 @@ def signatures(docs: DataFrame, *, words: int, id_col: str = "doc_id", text_col:
                     columns = [pa.array([v if s else None for v, s in zip(c.to_pylist(), sizes.tolist(), strict=True)], pa.binary()) for c in columns]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("row_key"), pa.array(sizes), pa.array(hi), pa.array(lo), *columns], ["doc_id", "row_key", "n_shingles", "set_hi", "set_lo", "sig", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_key"), F.col(text_col).alias("text")).mapInArrow(tidy(scan), schema)
 
 
 def _tree_rows(reps: DataFrame) -> DataFrame:
@@ -199,7 +200,7 @@ def _runs(rows: DataFrame) -> DataFrame:
         if held is not None:
             yield held
 
-    return ordered.mapInArrow(scan, ordered.schema)
+    return ordered.mapInArrow(tidy(scan), ordered.schema)
 
 
 def forest_order(rows: DataFrame) -> DataFrame:
@@ -209,9 +210,10 @@ def forest_order(rows: DataFrame) -> DataFrame:
     sizes = {r["_part"]: r["n"] for r in ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, at = [], 0
     for part in range(max(sizes, default=0) + 1):
-        starts.append((part, at))
+        starts.append(at)
         at += sizes.get(part, 0)
-    starts = F.broadcast(rows.sparkSession.createDataFrame(starts, "_part int, _start long"))
+    # from an Arrow table: rows would start a second set of Python workers
+    starts = F.broadcast(rows.sparkSession.createDataFrame(pa.table({"_part": pa.array(range(len(starts)), pa.int32()), "_start": pa.array(starts, pa.int64())})))
     return ordered.join(starts, "_part").withColumn("pos", F.col("_start") + F.col("_at")).drop("_part", "_start", "_at")
 
 
@@ -280,7 +282,7 @@ def split_order(order: DataFrame, *, threshold: int) -> DataFrame:
         both = pa.concat_tables([groups, hot], promote_options="default")
         return both.select(["tree", "depth", "gid", "member", "prefix", "sketch", "alike", "block"])
 
-    return dealt.groupBy("span").applyInArrow(split, "tree int, depth int, gid long, member long, prefix binary, sketch binary, alike long, block long")
+    return dealt.groupBy("span").applyInArrow(tidy_group(split), "tree int, depth int, gid long, member long, prefix binary, sketch binary, alike long, block long")
 
 
 def candidate_groups(order: DataFrame, *, threshold: int) -> DataFrame:
@@ -343,7 +345,7 @@ def block_groups(hot: DataFrame, label: DataFrame, *, threshold: int) -> DataFra
         gid = np.repeat(np.array(gids, np.int64), [len(m) for m in members]) if members else flat
         return pa.table({"gid": gid, "member": ids[flat], "known": known[flat]})
 
-    met = h.groupBy(*place, "kind", "i", "j").applyInArrow(meet, "gid long, member long, known long")
+    met = h.groupBy(*place, "kind", "i", "j").applyInArrow(tidy_group(meet), "gid long, member long, known long")
     return met.distinct()
 
 
@@ -358,14 +360,14 @@ def _full_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, *, words
         for whole in batches:
             ids = whole.column("doc_id").to_numpy(zero_copy_only=False)
             whole = whole.filter(pa.array(wanted.might_contain(ids)))
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", HASHED):
                 flat, bounds = shingle_sets(b.column("text"), words)
                 data, (hi, lo) = flat.tobytes(), set_hashes(flat, bounds)
                 yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), b.column("doc_id"), pa.array([data[8 * x : 8 * y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())], ["set_hi", "set_lo", "rep", "shingles"])
 
     source = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     source = source.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = source.mapInArrow(scan, "set_hi long, set_lo long, rep long, shingles binary")
+    sets = source.mapInArrow(tidy(scan), "set_hi long, set_lo long, rep long, shingles binary")
     return cut(sets.join(wanted_sets, ["set_hi", "set_lo", "rep"]).select("member", "shingles"))
 
 
@@ -401,7 +403,7 @@ def _confirm(groups: DataFrame, sets: DataFrame, *, threshold: int) -> DataFrame
                     label[label == label[j]] = label[i]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return groups.join(sets, "member").groupBy("gid").applyInArrow(verify, "a long, b long")
+    return groups.join(sets, "member").groupBy("gid").applyInArrow(tidy_group(verify), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .bpe import CHUNK, WS, public_path
 from .common import cut, prepare, width
+from .memory import tidy
 from .wordhash import slices
 
 CAPACITY = 2048
@@ -116,6 +117,11 @@ def _tokenizer(path: str) -> Tokenizer:
     return _vocabulary[path]
 
 
+def _forget() -> None:
+    """The pieces are there: a worker needs no tokenizer from here on."""
+    _vocabulary.clear()
+
+
 def pieces(docs: DataFrame, *, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): a document's ids, then
     END_ID, cut into pieces of ``capacity``; the first takes the remainder.
@@ -143,7 +149,7 @@ def pieces(docs: DataFrame, *, vocabulary: str | None = None, capacity: int = CA
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(scan), schema)
 
 
 class OpenBins:
@@ -203,6 +209,7 @@ def _round(rows: DataFrame, number: int, capacity: int, open_bins: int, last: bo
     arrow = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
     def pack(batches):
+        _forget()
         bins = OpenBins(capacity, open_bins)
         base, n, out = (number << 56) | (TaskContext.get().partitionId() << 32), 0, []
 
@@ -231,7 +238,7 @@ def _round(rows: DataFrame, number: int, capacity: int, open_bins: int, last: bo
         if out:
             yield flush()
 
-    return rows.select(*_COLUMNS).mapInArrow(pack, _PLACED)
+    return rows.select(*_COLUMNS).mapInArrow(tidy(pack), _PLACED)
 
 
 def pack(parts: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
+from .memory import tidy
 from .wordhash import slices
 
 #: Bounds of what is learned from.
@@ -216,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = MAX_PER_LABEL, m
                     out.append(f.astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "features"])
 
-    rows = texts.mapInArrow(features, "doc_id long, label int, features binary").orderBy("doc_id").collect()
+    rows = texts.mapInArrow(tidy(features), "doc_id long, label int, features binary").orderBy("doc_id").collect()
     chains = [np.frombuffer(r.features, "<f4").reshape(-1, WIDTH).astype(float) for r in rows]
     keep = [i for i, c in enumerate(chains) if len(c)]
     label = np.array([rows[i].label for i in keep])
@@ -237,7 +238,7 @@ def score(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([model.score(t) for t in texts], pa.float64()), pa.array([sum(1 for x in t.split("\n") if x.strip()) for t in texts], pa.int32())], ["doc_id", "score", "n_lines"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, "doc_id long, score double, n_lines int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(scan), "doc_id long, score double, n_lines int")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -250,4 +251,4 @@ def keep_good(docs: DataFrame, model: QualityModel, *, threshold: float = 0.3, t
             for b in slices(whole, text_col):
                 yield b.filter(pa.array([model.score(t or "") >= threshold for t in b.column(names.index(text_col)).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(tidy(scan), docs.schema)

@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .common import cut, fresh, join_by_size, prepare
-from .wordhash import LANES, Batch, mix, slices, span_sums
+from .memory import tidy, tidy_group
+from .wordhash import HASHED, LANES, Batch, mix, slices, span_sums
 
 BLOCK = 1 << 20  # windows
 BLOCK_DOCS = 1 << 15
@@ -132,7 +133,7 @@ def _sketches(docs: DataFrame, window: int, shard_bits: int) -> DataFrame:
             yield _rows(list(_sketch_block((task << 24) + seq, hashes, directory, shard_bits)), *_PIECES)
 
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", HASHED):
                 batch = Batch(b.column("text"))
                 hashes, bounds = window_hashes(batch, window, 0)
                 ids, keys = b.column("id").to_pylist(), b.column("row_key").to_pylist()
@@ -148,7 +149,7 @@ def _sketches(docs: DataFrame, window: int, shard_bits: int) -> DataFrame:
         if directory:
             yield from close()
 
-    return docs.mapInArrow(scan, "shard long, block long, kind int, a binary, b binary")
+    return docs.mapInArrow(tidy(scan), "shard long, block long, kind int, a binary, b binary")
 
 
 def _merge(table: pa.Table) -> pa.Table:
@@ -156,18 +157,19 @@ def _merge(table: pa.Table) -> pa.Table:
     out, sketches = [], []
     for block, kind, a, b in zip(*(table.column(c).to_pylist() for c in ("block", "kind", "a", "b")), strict=True):
         if kind == _SKETCH:
-            sketches.append((block, np.cumsum(_wide(a)), _wide(b) - 1))
+            sketches.append((block, np.cumsum(_wide(a)).astype(np.uint32), _wide(b).astype(np.uint32)))
         else:
             out.append((block, kind, a))
     if sketches:
-        cells = np.sort(np.concatenate([c for _, c, _ in sketches]))
+        cells = np.concatenate([c for _, c, _ in sketches])
+        cells.sort()
         twice = np.unique(cells[1:][cells[1:] == cells[:-1]])
         if len(twice):
             for block, cells, place in sketches:
                 at = np.minimum(np.searchsorted(twice, cells), len(twice) - 1)
-                hot = place[(twice[at] == cells) & (place >= 0)]
+                hot = place[(twice[at] == cells) & (place > 0)]
                 if len(hot):
-                    out.append((block, _HOT, _few_bytes(hot)))
+                    out.append((block, _HOT, _few_bytes(hot - 1)))
     return pa.Table.from_batches([_rows(out, ["block", "kind", "a"], [pa.int64(), pa.int32(), pa.binary()])])
 
 
@@ -199,7 +201,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(filter_.might_contain(b.column("id").to_numpy(zero_copy_only=False))))
 
-    near = docs.mapInArrow(scan, "id long, row_key long, text string").dropDuplicates(["id", "row_key"])
+    near = docs.mapInArrow(tidy(scan), "id long, row_key long, text string").dropDuplicates(["id", "row_key"])
     return near.join(wanted, ["id", "row_key"])
 
 
@@ -224,7 +226,7 @@ def _first_places(estimated: DataFrame, window: int, shard_bits: int) -> DataFra
 
     def scan(batches):
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", HASHED):
                 batch = Batch(b.column("text"))
                 hi, bounds = window_hashes(batch, window, 0)
                 lo, _ = window_hashes(batch, window, 1)
@@ -261,8 +263,8 @@ def _first_places(estimated: DataFrame, window: int, shard_bits: int) -> DataFra
         edge = np.concatenate(([0], np.flatnonzero((np.diff(ids) != 0) | (np.diff(keys) != 0)) + 1, [len(ids)]))
         return pa.Table.from_batches([_rows([(int(ids[x]), int(keys[x]), _few_bytes(place[x:y])) for x, y in zip(edge[:-1], edge[1:], strict=True)], ["id", "row_key", "first"], [pa.int64(), pa.int64(), pa.binary()])])
 
-    shards = estimated.mapInArrow(scan, "shard long, hi binary, lo binary, rows binary, row binary, place binary")
-    firsts = shards.groupBy("shard").applyInArrow(first, "id long, row_key long, first binary")
+    shards = estimated.mapInArrow(tidy(scan), "shard long, hi binary, lo binary, rows binary, row binary, place binary")
+    firsts = shards.groupBy("shard").applyInArrow(tidy_group(first), "id long, row_key long, first binary")
     return firsts.groupBy("id", "row_key").agg(F.collect_list("first").alias("firsts"))
 
 
@@ -291,8 +293,8 @@ def repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
     size = docs.select(F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0))).first()[0]
     shard_bits = int(np.ceil(np.log2(max(MIN_SHARDS, size / 6 / SHARD))))
 
-    pieces = _sketches(source, window, shard_bits).groupBy("shard").applyInArrow(_merge, "block long, kind int, a binary")
-    rows = pieces.groupBy("block").applyInArrow(_by_document, "id long, row_key long, n_words long, sha binary, hot binary, n_hot long")
+    pieces = _sketches(source, window, shard_bits).groupBy("shard").applyInArrow(tidy_group(_merge), "block long, kind int, a binary")
+    rows = pieces.groupBy("block").applyInArrow(tidy_group(_by_document), "id long, row_key long, n_words long, sha binary, hot binary, n_hot long")
     rows = cut(rows.dropDuplicates(["id", "row_key"]))
 
     rows = cut(_with_copies(rows, window))
@@ -334,7 +336,7 @@ def kept_texts(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", tex
 
     def scan(batches):
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", HASHED):
                 batch = Batch(b.column("text"))
                 out = []
                 for i, (lo, hi) in enumerate(zip(b.column("lo").to_pylist(), b.column("hi").to_pylist(), strict=True)):
@@ -343,7 +345,7 @@ def kept_texts(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", tex
                     out.append(b" ".join(batch.joined(first + x, first + y) for x, y in stay if y > x))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row_key"), pa.array(out, pa.binary()).cast(pa.string())], ["id", "row_key", "kept"])
 
-    return _texts_of(source, some).mapInArrow(scan, "id long, row_key long, kept string")
+    return _texts_of(source, some).mapInArrow(tidy(scan), "id long, row_key long, kept string")
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> list:

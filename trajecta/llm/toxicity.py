@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
+from .memory import tidy
 from .wordhash import mix, slices
 
 #: Bounds of what is learned from.
@@ -301,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = MAX_PER_LABEL, i
                 found = [list(_family(set(TOKEN.findall(t.lower())))) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "family"])
 
-    toxic_docs = texts.where("label = 1").select("doc_id", "text").mapInArrow(family, "doc_id long, family array<long>").collect()  # six numbers each of at most per_label
+    toxic_docs = texts.where("label = 1").select("doc_id", "text").mapInArrow(tidy(family), "doc_id long, family array<long>").collect()  # six numbers each of at most per_label
     n_clean = texts.where("label = 0").count()
     if not toxic_docs or not n_clean:
         return ToxicityModel()
@@ -311,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = MAX_PER_LABEL, i
     weight = np.array([1 / size[f] for f in families])
     votes = {doc: float(weight[i]) for doc, i in index.items()}  # at most per_label
 
-    counted = texts.mapInArrow(count, "term string, stem boolean, clean long, toxic array<long>, support double")
+    counted = texts.mapInArrow(tidy(count), "term string, stem boolean, clean long, toxic array<long>, support double")
     counted = counted.groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.flatten(F.collect_list("toxic")).alias("toxic"), F.sum("support").alias("support"))
     # families vote, not documents; sums of shares are rounded
     base = len(toxic_docs) / (len(toxic_docs) + n_clean)
@@ -339,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = MAX_PER_LABEL, i
                 hits = [scanner.hits(t) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([[h[0] for h in x] for x in hits], pa.list_(pa.int32())), pa.array([[h[1] for h in x] for x in hits], pa.list_(pa.int32())), pa.array([[h[2] for h in x] for x in hits], pa.list_(pa.float64()))], ["label", "term", "edits", "context"])
 
-    seen = texts.mapInArrow(features, "label int, term array<int>, edits array<int>, context array<double>").collect()
+    seen = texts.mapInArrow(tidy(features), "label int, term array<int>, edits array<int>, context array<double>").collect()
     fuzzy_counts: np.ndarray = np.zeros((len(terms), 2))
     for r in seen:
         for t in {t for t, e in zip(r.term, r.edits, strict=True) if e}:
@@ -385,7 +386,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
                 hits = [scanner.hits(t) if t else [] for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([model.score(_sums(model, h)) for h in hits], pa.float64()), pa.array([len(h) for h in hits], pa.int32())], ["doc_id", "score", "n_hits"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, "doc_id long, score double, n_hits int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(scan), "doc_id long, score double, n_hits int")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -400,4 +401,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.7,
                 hits = [scanner.hits(t) if t else [] for t in b.column(names.index(text_col)).to_pylist()]
                 yield b.filter(pa.array([model.score(_sums(model, h)) < threshold for h in hits], pa.bool_()))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(tidy(scan), docs.schema)

@@ -131,6 +131,11 @@ def windows(hashes: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
     return mix(span_sums(hashes, at, at + size, LANES[1 - lane]))
 
 
+#: Text bytes that are hashed at once: the arrays above take some 50 bytes for
+#: each, and the powers that a worker keeps follow the longest slice.
+HASHED = 1 << 18
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Cut a record batch into runs of rows of at most ``limit`` text bytes
     (a longer text stands alone), to bound what the arrays above take."""
