@@ -319,6 +319,47 @@ def test_packing_ids_are_those_of_tokenizers():
         assert own.encode(texts_) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts_]
 
 
+def test_packing_reads_columns_with_nulls_and_wide_spaces():
+    import random
+
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own, rng = Tokenizer.from_file(path), packing.Tokenizer(path), random.Random(6)
+    parts = [*sorted(packing.WHITE), *" \n'", "'s", "S", "t", "5", "!", "'", "é", "×", "Ā", "\u0301", "漢", "½", "<|endoftext|>"]
+    given = [None if k % 9 == 4 else "".join(rng.choices(parts, k=rng.randrange(20))) for k in range(600)]
+    ids, ends = own.encode_column(pa.array(given, pa.string()).slice(3), 7)
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 7] for t in given[3:]]
+    assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+    assert own.encode([]) == [] and own.encode(["", ""]) == [b"", b""]
+
+
+def test_packing_reads_known_text_in_less_than_a_pattern_takes():
+    """A word is learned once whatever signs stand around it, and known words
+    cost less than it takes to cut the text by a pattern."""
+    import time
+
+    import public_tokenizers
+
+    own = packing.Tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [a + b for a in ("ba", "che", "do", "fi", "gu") for b in ("lan", "mer", "nost")]
+    own.encode([" ".join(f"{a}-{b}/{c}" for a in words for b in words for c in words)])
+    assert len(own.known) <= 2 * len(words) + 4
+    texts = [" ".join(words[(i * k) % len(words)] for k in range(i % 300)) for i in range(6000)]
+
+    def least(what):
+        took = []
+        for _ in range(4):
+            began = time.process_time()
+            what()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: own.encode(texts)) < least(lambda: [bpe.CHUNK.findall(t) for t in texts])
+
+
 def test_open_bins_take_the_best_fit():
     bins = packing.OpenBins(10, 2)
     assert bins.add("a", 6) is None and bins.add("b", 3) is None  # one bin, 1 free

@@ -12,16 +12,17 @@ round. Only lengths and ids travel: nothing of the texts is shuffled.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CHUNK, WS, public_path
+from .bpe import CHUNK, public_path
 from .common import cut, prepare, width
 from .memory import tidy
 from .wordhash import slices
@@ -40,11 +41,59 @@ MAX_CACHED = 200_000
 LONGEST_CACHED = 64
 #: New chunks that go through the tokenizer at once.
 JOINED = 2000
+#: Text bytes that are read at once.
+READ = 1 << 21
 WHITE = frozenset(c for c in map(chr, range(0x3001)) if not CHUNK.fullmatch("x" + c))
-#: Letters before an ASCII sign, white space or the end are a pre-token of their
-#: own, so that a word is learned once and not with every mark behind it.
-LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-PART = re.compile(rf" ?[{LETTERS}]++(?=[!-@\[-`{{-~{WS}]|\Z)|{CHUNK.pattern}")
+_WIDE = sorted(c.encode() for c in WHITE if c > "\x7f")
+_LAST = {c.encode()[-1] for c in WHITE}
+#: Kinds of bytes; _OTHER is all that may be anything beyond ASCII.
+_OTHER, _LETTER, _DIGIT, _SIGN, _SPACE = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+for _byte in range(0x80):
+    _KIND[_byte] = _SPACE if chr(_byte) in WHITE else _LETTER if chr(_byte).isalpha() else _DIGIT if chr(_byte).isdigit() else _SIGN
+#: Whether a chunk ends between two kinds, at 8 * the first + the second.
+_PARTS = np.zeros(64, bool)
+for _x in range(5):
+    for _y in range(5):
+        _PARTS[8 * _x + _y] = _x != _y and (_SPACE in (_x, _y) or _OTHER not in (_x, _y))
+
+
+def chunk_starts(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Where the chunks of UTF-8 texts start that share no pre-token: runs of
+    letters (to U+00FF), digits or other ASCII signs, each with the one space
+    before it, runs with anything else in them, and other white space.
+    ``begin`` are the texts' starts, and the end of ``data``.
+    """
+    n = len(data)
+    kind = _KIND[data]
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    for size in (2, 3):
+        wide = [w for w in _WIDE if len(w) == size]
+        lead = np.flatnonzero(np.isin(data, [w[0] for w in wide]))
+        code = sum(data[lead + k].astype(np.int64) << 8 * k for k in range(size))
+        lead = lead[np.isin(code, [int.from_bytes(w, "little") for w in wide])]
+        for k in range(size):
+            kind[lead + k] = _SPACE
+    starts = np.zeros(n + 1, bool)
+    starts[1:n] = _PARTS[8 * kind[:-1] + kind[1:]]
+    # a letter behind an apostrophe may belong to it
+    quote = np.flatnonzero(data[:-1] == 0x27) + 1
+    starts[quote[kind[quote] == _LETTER]] = False
+    # the last of white space within a text stands apart, or with what follows
+    space = kind == _SPACE
+    last = np.flatnonzero(space[:-1] & ~space[1:])
+    inside = np.ones(n + 1, bool)
+    inside[begin] = False
+    last = last[inside[last + 1]]
+    starts[last[data[last] == 0x20] + 1] = False
+    for _ in range(2):
+        last = last - (data[last] & 0xC0 == 0x80)
+    starts[last] = True
+    starts[begin] = True
+    return np.flatnonzero(starts[:n])
+
 
 _vocabulary: dict = {}
 
@@ -53,11 +102,11 @@ class Tokenizer:
     """Ids of whole texts by ``tokenizers``, as ``encode(text,
     add_special_tokens=False)`` gives them.
 
-    A text is read in chunks that share no pre-token: a run without white
-    space, with the one space before it, its first letters apart, or other
-    white space. A chunk's ids are taken from ``tokenizers`` when it is
-    first met and kept. A text that holds an added token's string goes through
-    ``tokenizers`` whole: white space before such a string is cut differently.
+    Texts are read in ``chunk_starts``' chunks, many texts at once: equal chunks
+    are found by Arrow and looked up once, and only the lookup is Python. A
+    chunk's ids are taken from ``tokenizers`` when it is first met and kept. A
+    text that holds an added token's string is one chunk: white space before
+    such a string is cut differently.
     """
 
     def __init__(self, path: str):
@@ -66,45 +115,95 @@ class Tokenizer:
 
         self.model = tokenizers.Tokenizer.from_file(path)
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.marks = [t.encode() for t in self.added]
         #: bytes of every token: the vocabulary writes each byte as one character
         self.width = np.zeros(self.model.get_vocab_size(), np.int64)
         for token, i in self.model.get_vocab(with_added_tokens=False).items():
             self.width[i] = len(token)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        whole = [any(t in text for t in self.added) for text in texts]
-        chunks = [[] if w else PART.findall(text) for text, w in zip(texts, whole, strict=True)]
+        ids, ends = self.encode_column(pa.array(texts, pa.large_string()))
+        return [ids[lo:hi].tobytes() for lo, hi in pairwise([0, *ends.tolist()])]
+
+    def encode_column(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts (null: empty) in a row, each text's
+        with ``end`` behind them if given, and where each text's end."""
+        if column.null_count:
+            column = column.fill_null("")
+        whole = np.zeros(len(column), bool)
+        for token in self.added:
+            whole |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        column = column.cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1] or bytes(8), np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        begin = offsets - offsets[0]
+        if len(data):
+            starts = chunk_starts(data, begin)
+            if whole.any():
+                text = np.searchsorted(begin, starts, "right") - 1
+                starts = starts[~whole[text] | (starts == begin[text])]
+            ids, ends = self._chunks(data, starts)
+            ends = ends[np.searchsorted(starts, begin[1:])]
+        else:
+            ids, ends = np.zeros(0, "<u4"), np.zeros(len(column), np.int64)
+        if end is not None:
+            ids, ends = np.insert(ids, ends, end), ends + np.arange(1, len(ends) + 1)
+        return ids, ends
+
+    def _chunks(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks in a row, and how many stand before each chunk
+        and behind all."""
+        places = np.append(starts, len(data))
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(data)]).dictionary_encode()
+        which = chunks.indices.to_numpy()
+        found = self._ids(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+        many = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        first, each = np.cumsum(many) - many, many[which]
+        ends = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(each, out=ends[1:])
+        at = np.repeat(first[which] - ends[:-1], each)
+        at += np.arange(len(at))
+        return np.frombuffer(b"".join(found), "<u4")[at], ends
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of different chunks."""
         if len(self.known) > MAX_CACHED:
             self.known, self.older = {}, self.known
-        wanted = set().union(*chunks).difference(self.known)
-        self.known.update({c: self.older[c] for c in wanted if c in self.older})
-        new = [c for c in wanted if c not in self.known]
-        self._learn(new)
-        out = [self._whole(text) if w else b"".join(map(self.known.__getitem__, c)) for text, w, c in zip(texts, whole, chunks, strict=True)]
-        for chunk in new:
-            if len(chunk) > LONGEST_CACHED:
-                del self.known[chunk]
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of new chunks. Those that begin with a space and go on without
-        keep apart when joined, so that they go through together; their tokens'
-        bytes tell them apart again."""
-        joined = [c for c in new if len(c) > 1 and c[0] == " " and c[1] not in WHITE]
+        found = list(map(self.known.get, chunks))
+        missing = [c for c, ids in zip(chunks, found, strict=True) if ids is None]
+        if not missing:
+            return found
+        fresh = {c: ids for c, ids in zip(missing, map(self.older.get, missing), strict=True) if ids is not None}
+        fresh |= self._learned([c for c in missing if c not in fresh])
+        self.known.update((c, ids) for c, ids in fresh.items() if len(c) <= LONGEST_CACHED)
+        return [fresh[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
+
+    def _learned(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new chunks. All but white space keep apart when joined, those
+        without a space in front behind a line end, so that they go through
+        together; their tokens' bytes tell them apart again."""
+        alone = {c for c in new if c[-1] in _LAST and c.decode()[-1] in WHITE}
+        for mark in self.marks:
+            alone.update(c for c in new if mark in c)
+        joined = [c for c in new if c[0] == 0x20 and c not in alone]
+        for c in new:
+            if c[0] != 0x20 and c not in alone:
+                joined += (b"\n", c)
         groups = [joined[lo : lo + JOINED] for lo in range(0, len(joined), JOINED)]
-        for some, found in zip(groups, self.model.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+        out = {c: self._whole(c.decode()) for c in alone}
+        for some, found in zip(groups, self.model.encode_batch_fast([b"".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
             ends = np.cumsum(self.width[ids])
-            at = np.cumsum([len(c.encode()) for c in some])
+            at = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
             cut_ = (np.searchsorted(ends, at) + 1).tolist()
             if not np.array_equal(ends[np.array(cut_) - 1], at):
                 raise ValueError("a token spans two chunks")
             data = ids.tobytes()
-            self.known.update(zip(some, (data[4 * x : 4 * y] for x, y in zip([0, *cut_[:-1]], cut_, strict=True)), strict=True))
-        self.known.update({c: self._whole(c) for c in new if c not in self.known})
+            out.update(zip(some, (data[4 * x : 4 * y] for x, y in zip([0, *cut_[:-1]], cut_, strict=True)), strict=True))
+        return out
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -128,21 +227,20 @@ def pieces(docs: DataFrame, *, vocabulary: str | None = None, capacity: int = CA
     ids (little-endian unsigned 32-bit, one binary) only with ``with_ids``."""
     prepare(docs.sparkSession)
     path = vocabulary or public_path("byte_bpe_50k.json")
-    end = np.array([END_ID], "<u4").tobytes()
 
     def scan(batches):
         tokenizer = _tokenizer(path)
         for whole in batches:
-            for b in slices(whole, "text"):
-                out = []
-                texts = [t or "" for t in b.column("text").to_pylist()]
-                for doc, ids in zip(b.column("doc_id").to_pylist(), tokenizer.encode(texts), strict=True):
-                    ids += end
-                    n = len(ids) // 4
+            for b in slices(whole, "text", READ):
+                out, at = [], 0
+                ids, ends = tokenizer.encode_column(b.column("text"), END_ID)
+                for doc, end in zip(b.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                    n = end - at
                     starts = [0, *range(n % capacity or capacity, n, capacity)]
                     for k, (lo, hi) in enumerate(zip(starts, [*starts[1:], n], strict=True)):
-                        part = ids[4 * lo : 4 * hi]
-                        out.append((doc, k, lo, hi - lo, zlib.crc32(part), part))
+                        part = ids[at + lo : at + hi]
+                        out.append((doc, k, lo, hi - lo, zlib.crc32(part), part.tobytes() if with_ids else None))
+                    at = end
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
                 columns = list(zip(*out, strict=True)) if out else [[]] * 6
