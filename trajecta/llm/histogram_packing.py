@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bpe import public_path
 from .common import prepare, written
-from .packing import CAPACITY, _tokenizer
+from .packing import CAPACITY, READ, _tokenizer
 from .wordhash import slices
 
 END_ID = 1
@@ -42,26 +42,26 @@ def tails(docs: DataFrame, *, vocabulary: str | None = None, capacity: int = CAP
     of one length in one part, whole_no the whole windows before it there."""
     prepare(docs.sparkSession)
     path = vocabulary or public_path("byte_bpe_50k.json")
-    end = np.array([END_ID], "<u4").tobytes()
     powers = [1 << k for k in reversed(range(capacity.bit_length()))]
 
     def scan(batches):
         tokenizer, part = _tokenizer(path), TaskContext.get().partitionId()
         met, n_whole = [0] * capacity, 0
         for batch in batches:
-            for b in slices(batch, "text"):
-                out = []
-                for doc, ids in zip(b.column("doc_id").to_pylist(), tokenizer.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
+            for b in slices(batch, "text", READ):
+                out, begin = [], 0
+                ids, ends = tokenizer.encode_column(b.column("text"), END_ID)
+                for doc, end in zip(b.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                    n = end - begin
                     tail = n % capacity
-                    at = 4 * (n - tail)
-                    whole = [zlib.crc32(ids[lo : lo + 4 * capacity]) for lo in range(0, at, 4 * capacity)]
-                    crc, digits = zlib.crc32(ids[at:]), []
+                    at = end - tail
+                    whole = [zlib.crc32(ids[lo : lo + capacity]) for lo in range(begin, at, capacity)]
+                    crc, digits = zlib.crc32(ids[at:end]), []
                     for power in powers:
                         if tail & power:
-                            digits.append(zlib.crc32(ids[at : at + 4 * power]))
-                            at += 4 * power
+                            digits.append(zlib.crc32(ids[at : at + power]))
+                            at += power
+                    begin = end
                     out.append((doc, part, n, tail, met[tail], crc, digits, whole, n_whole))
                     met[tail] += 1
                     n_whole += len(whole)
